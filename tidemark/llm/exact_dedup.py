@@ -1,7 +1,8 @@
 """Exact duplicates by a content sort, in DataFrame operations only.
 
 Texts are range-partitioned by sampled splitters and sorted externally, so that equal ones lie beside each other; a
-window compares neighbours in full. A group of equal texts may hold a third of all rows, so its rows carry one of
+window compares neighbours in full. Splitters are the first bytes of a text and its hash, so that the sample the
+driver sees stays small however long the texts are. A group of equal texts may hold a third of all rows, so its rows carry one of
 `salts` salts (by doc_id) as a second sort key: each salted run is decided by itself, and the runs of one text, at
 most `salts`, are joined through the text's sha256. Only ids and digests leave the sort, never texts.
 
@@ -22,8 +23,9 @@ def exact_duplicates(docs: DataFrame, salts: int = 16, keep: str = "largest") ->
     wanted = F.desc_nulls_last("doc_id") if keep == "largest" else F.asc_nulls_last("doc_id")
     best = F.max("run_keep") if keep == "largest" else F.min("run_keep")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    spread = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).repartitionByRange("text", "salt")
-    run = Window.partitionBy("text", "salt")
+    keyed = rows.select("*", F.substring("text", 1, 48).alias("head"), F.xxhash64("text").alias("hash"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"))
+    spread = keyed.repartitionByRange("head", "hash", "salt")
+    run = Window.partitionBy("head", "hash", "text", "salt")
     runs = spread.select(
         "doc_id",
         "salt",
@@ -33,10 +35,12 @@ def exact_duplicates(docs: DataFrame, salts: int = 16, keep: str = "largest") ->
         F.count(F.lit(1)).over(run).alias("run_size"),
     )
     runs = stored(runs, "runs")
-    groups = runs.where("place = 1").groupBy("text_sha256").agg(best.alias("keep_id"), F.sum("run_size").alias("group_size"))
-    groups = groups.withColumn("keep_salt", F.pmod(F.xxhash64("keep_id"), F.lit(salts)).cast("int"))
+    # One head per run, so at most `salts` rows a text here, however large its group.
+    same = Window.partitionBy("text_sha256")
+    heads = runs.where("place = 1").select("text_sha256", "salt", best.over(same).alias("keep_id"), F.sum("run_size").over(same).alias("group_size"))
+    heads = heads.withColumn("keep_salt", F.pmod(F.xxhash64("keep_id"), F.lit(salts)).cast("int"))
     kept = (F.col("place") == 1) & (F.col("salt") == F.col("keep_salt")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    return runs.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    return runs.join(heads, ["text_sha256", "salt"]).select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def deduplicated(docs: DataFrame, salts: int = 16) -> DataFrame:
