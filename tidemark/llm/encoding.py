@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -19,7 +20,15 @@ MARKS = r"!-/:-@\[-`{-~¡¿«»§©®°·–—‘’“”…•€"
 UNUSUAL = re.compile(rf"[^\t\n\r 0-9{LETTERS}{MARKS}]")
 SPACED = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[{MARKS}]+|\s+(?!\S)|\s+")
 BARE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[{MARKS}]+")
-CACHED_WORDS = 400_000
+CACHED_WORDS = 500_000
+
+
+def byte_characters() -> list[str]:
+    """The printable character by which byte-level vocabularies write each byte: itself, or the next from U+0100."""
+    kept = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in kept)
+    shown = {b: chr(256 + k) for k, b in enumerate(others)} | {b: chr(b) for b in kept}
+    return [shown[b] for b in range(256)]
 
 
 class Words(dict):
@@ -32,7 +41,7 @@ class Words(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHED_WORDS:
             self.clear()
-        ids = np.asarray(self.encode(word), dtype="<u4").tobytes()
+        ids = array("I", self.encode(word)).tobytes()
         if len(word) <= 64:
             self[word] = ids
         return ids
@@ -51,15 +60,21 @@ class Encoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.lower = self.library.normalizer is not None
         self.pattern = BARE if self.lower else SPACED
+        self.model, self.shown = self.library.model, byte_characters()
         # At most a handful of layouts exist here; any other one is left to the library alone.
         self.splits = self._splits_as_expected()
-        self.words = Words(lambda word: self.library.encode(word, add_special_tokens=False).ids)
+        self.words = Words(self.word_ids)
+
+    def word_ids(self, word: str) -> list[int]:
+        """A word of plain characters, already split and in lower case where that is asked for, by the model alone."""
+        shown = "".join(map(self.shown.__getitem__, word.encode()))
+        return [t.id for t in self.model.tokenize(shown)]
 
     def _splits_as_expected(self) -> bool:
         sample = "It's 20 o'CLOCK,  she'll pay 3.50 \n\n for «Größe» — naïve\tcafé's! "
         whole = self.library.encode(sample, add_special_tokens=False).ids
         parts = self.pattern.findall(sample.lower() if self.lower else sample)
-        return whole == [i for part in parts for i in self.library.encode(part, add_special_tokens=False).ids]
+        return whole == [i for part in parts for i in self.word_ids(part)]
 
     def plain(self, text: str) -> bool:
         return self.splits and UNUSUAL.search(text) is None and not any(s in text for s in self.special)
