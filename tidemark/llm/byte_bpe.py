@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,11 +24,11 @@ from pyspark.sql import functions as F
 
 from .encoding import SPACED, UNUSUAL
 
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
 
 
 class RankQueue:
-    """Least rank first; positions of a rank come in ascending order."""
+    """Buckets of positions by rank, and which bucket is the lowest."""
 
     def __init__(self) -> None:
         self.low: dict[int, int] = {}
@@ -37,36 +36,31 @@ class RankQueue:
         self.top = 0
         self.buckets: dict[int, list[int]] = {}
 
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heapq.heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
+    def open(self, rank: int, positions: list[int]) -> None:
+        """Give a rank that has no bucket one."""
+        self.buckets[rank] = positions
         a, b = rank >> 6, rank >> 12
         self.low[a] = self.low.get(a, 0) | 1 << (rank & 63)
         self.mid[b] = self.mid.get(b, 0) | 1 << (a & 63)
         self.top |= 1 << b
 
-    def first(self) -> int:
-        """The least rank that has a bucket, or -1."""
+    def take(self) -> tuple[int, list[int]]:
+        """Remove the lowest rank; its positions in ascending order. (-1, []) at the end."""
         if not self.top:
-            return -1
+            return -1, []
         b = (self.top & -self.top).bit_length() - 1
         x = self.mid[b]
         a = b << 6 | (x & -x).bit_length() - 1
         x = self.low[a]
-        return a << 6 | (x & -x).bit_length() - 1
-
-    def drop(self, rank: int) -> None:
-        """Remove the empty bucket of a rank."""
-        del self.buckets[rank]
-        a, b = rank >> 6, rank >> 12
-        self.low[a] &= ~(1 << (rank & 63))
-        if not self.low[a]:
-            self.mid[b] &= ~(1 << (a & 63))
-            if not self.mid[b]:
-                self.top &= ~(1 << b)
+        rank = a << 6 | (x & -x).bit_length() - 1
+        self.low[a] = x = x & (x - 1)
+        if not x:
+            self.mid[b] = x = self.mid[b] & (self.mid[b] - 1)
+            if not x:
+                self.top &= self.top - 1
+        bucket = self.buckets.pop(rank)
+        bucket.sort()
+        return rank, bucket
 
 
 class ByteBpe:
@@ -77,7 +71,7 @@ class ByteBpe:
             pairs = [line.split() for line in f if line.strip()]
         self.tokens = {int(r): base64.b64decode(t) for t, r in pairs}
         ranks = {t: r for r, t in self.tokens.items()}
-        self.byte_ids = [ranks[bytes([b])] for b in range(256)]
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         # (left id << 32 | right id) -> rank, filled as pairs are met: a pair's rank is that of its joined bytes.
         self.ranks, self.pairs = ranks, {}
         self.pattern = regex.compile(pattern)
@@ -88,59 +82,75 @@ class ByteBpe:
 
     def merge(self, words: list[str]) -> list[bytes]:
         """The ids of each word as little-endian unsigned 32-bit integers."""
-        ids: list[int] = []
-        ends: list[int] = []
-        for word in words:
-            ids += map(self.byte_ids.__getitem__, word.encode("utf-8", "surrogatepass"))
-            ends.append(len(ids))
-            ids.append(-1)  # no pair spans two words
-        n = len(ids)
+        data = [w.encode("utf-8", "surrogatepass") for w in words]
+        # One list over all words; a place of -1 after each, so that no pair spans two.
+        flat = np.full(sum(map(len, data)) + len(data), -1, dtype=np.int64)
+        ends = np.cumsum([len(d) + 1 for d in data]) - 1
+        flat[np.delete(np.arange(len(flat)), ends)] = self.byte_ids[np.frombuffer(b"".join(data), dtype=np.uint8)]
+        n, queue = len(flat), RankQueue()
+        pairs, buckets, rank_of = self.pairs, queue.buckets, self.rank_of
+        keys, which = np.unique(flat[:-1] << 32 | flat[1:], return_inverse=True)
+        first = np.array([rank_of(k) if k >= 0 and k & 0xFFFFFFFF < 1 << 31 else -1 for k in keys.tolist()], dtype=np.int64)[which]
+        at = np.flatnonzero(first >= 0)
+        at = at[np.argsort(first[at], kind="stable")]
+        cuts = np.flatnonzero(np.diff(first[at], prepend=-1, append=-1))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            queue.open(int(first[at[a]]), at[a:b].tolist())
+        ids, begins = flat.tolist(), [*first.tolist(), -1]  # begins: the rank of the pair that begins here
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pairs, ranks, tokens, queue = self.pairs, self.ranks, self.tokens, RankQueue()
-
-        def rank_of(left: int, right: int) -> int:
-            key = left << 32 | right
-            rank = pairs.get(key)
-            if rank is None:
-                rank = ranks.get(tokens[left] + tokens[right], -1)
-                if len(pairs) < 2_000_000:
-                    pairs[key] = rank
-            return rank
-
-        begins: list[int] = [-1] * n  # the rank of the pair that begins here
-        for i in range(n - 1):
-            if ids[i] >= 0 and ids[i + 1] >= 0:
-                begins[i] = rank = rank_of(ids[i], ids[i + 1])
-                if rank >= 0:
-                    queue.push(rank, i)
-        while (rank := queue.first()) >= 0:
-            bucket = queue.buckets[rank]
-            i = heapq.heappop(bucket)
-            if not bucket:
-                queue.drop(rank)
-            if begins[i] != rank:
-                continue  # stale
-            gone = after[i]
-            nxt = after[gone]
-            ids[i], after[i], begins[gone] = rank, nxt, -1
-            before[nxt] = i
-            begins[i] = new = rank_of(rank, ids[nxt]) if ids[nxt] >= 0 else -1
-            if new >= 0:
-                queue.push(new, i)
-            p = before[i]
-            if p >= 0 and ids[p] >= 0:
-                begins[p] = new = rank_of(ids[p], rank)
-                if new >= 0:
-                    queue.push(new, p)
-        out, at = [], 0
-        for end in ends:
-            word = []
-            while at < end:
-                word.append(ids[at])
-                at = after[at]
-            out.append(np.array(word, dtype="<u4").tobytes())
-            at = end + 1
-        return out
+        while True:
+            rank, bucket = queue.take()
+            if rank < 0:
+                break
+            left = rank << 32
+            for k, i in enumerate(bucket):
+                if begins[i] != rank:
+                    continue  # stale
+                gone = after[i]
+                after[i] = right = after[gone]
+                before[right] = i
+                ids[i], ids[gone], begins[gone], lower = rank, -2, -1, False
+                x = ids[right]
+                if x >= 0:
+                    new = pairs.get(left | x)
+                    if new is None:
+                        new = rank_of(left | x)
+                    begins[i] = new
+                    if new >= 0:
+                        lower = new < rank
+                        if new in buckets:
+                            buckets[new].append(i)
+                        else:
+                            queue.open(new, [i])
+                else:
+                    begins[i] = -1
+                p = before[i]
+                if p >= 0 and (x := ids[p]) >= 0:
+                    new = pairs.get(x << 32 | rank)
+                    if new is None:
+                        new = rank_of(x << 32 | rank)
+                    begins[p] = new
+                    if new >= 0:
+                        lower = lower or new < rank
+                        if new in buckets:
+                            buckets[new].append(p)
+                        else:
+                            queue.open(new, [p])
+                if lower:  # the merge made a pair that goes first
+                    if k + 1 < len(bucket):
+                        queue.open(rank, bucket[k + 1 :])
+                    break
+        flat = np.array(ids, dtype=np.int64)
+        out = flat[flat >= 0].astype("<u4").tobytes()
+        counts = np.cumsum(flat >= 0)[ends] * 4
+        return [out[a:b] for a, b in zip([0, *counts[:-1].tolist()], counts.tolist(), strict=True)]
+
+    def rank_of(self, pair: int) -> int:
+        """The rank of the joined bytes of (left id << 32 | right id), or -1."""
+        rank = self.ranks.get(self.tokens[pair >> 32] + self.tokens[pair & 0xFFFFFFFF], -1)
+        if len(self.pairs) < 2_000_000:
+            self.pairs[pair] = rank
+        return rank
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; words are merged once a batch and remembered."""
@@ -150,8 +160,8 @@ class ByteBpe:
         if len(known) + len(new) > CACHED_WORDS:
             known.clear()
             new = list({w for words in split for w in words})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        for at in range(0, len(new), 500):
+            part = new[at : at + 500]
             known.update(zip(part, self.merge(part), strict=True))
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
