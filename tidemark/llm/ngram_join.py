@@ -75,7 +75,7 @@ def gram_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     return out
 
 
-def sets_of(docs: DataFrame, words: int, often: int = 4) -> DataFrame:
+def sets_of(docs: DataFrame, words: int, often: int = 2) -> DataFrame:
     """A row per document with its class and size, the set itself where the task meets the class first, and a row
     per task with the grams that at least `often` of its classes hold."""
 
@@ -121,15 +121,21 @@ def sets_of(docs: DataFrame, words: int, often: int = 4) -> DataFrame:
     return rows.mapInArrow(run, SETS)
 
 
-def common_grams(sets: DataFrame, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def common_grams(sets: DataFrame, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """Grams that many classes hold, ascending, and their counts: only the order of grams depends on them.
 
-    At most `most` come back, the most frequent ones, so that what tasks get has a bound.
+    The least count asked for is the lowest that at most `most` grams reach, so that what tasks get has a bound.
     """
     pairs = sets.where("common is not null").select(F.explode(F.arrays_zip("common", "counts")).alias("p")).select("p.common", "p.counts")
-    found = pairs.groupBy("common").agg(F.sum("counts").alias("n")).orderBy(F.desc("n"), "common").limit(most).toPandas()
-    found = found.sort_values("common")
-    return found["common"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+    found = stored(pairs.groupBy("common").agg(F.sum("counts").alias("n")), "common")
+    held, least = 0, 1 << 62
+    for row in found.groupBy(F.least("n", F.lit(4096)).alias("n")).count().orderBy(F.desc("n")).collect():
+        held += row["count"]
+        if held > most:
+            break
+        least = row["n"]
+    rows = found.where(F.col("n") >= least).toPandas().sort_values("common")
+    return rows["common"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
 
 
 def prefixes(sets: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
@@ -247,20 +253,24 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("a", "chunk").applyInPandas(compare, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, stars: int = 3) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, stars: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     sets = stored(sets_of(docs, words), "sets")
     together = Window.partitionBy("gram")
     prefix = prefixes(sets, common_grams(sets), percent)
     # Grams of two classes at least; a class that several tasks met counts once.
     held = prefix.withColumn("low", F.min("cid").over(together)).withColumn("high", F.max("cid").over(together))
-    held = stored(held.where("low <> high").select("gram", "cid", "n").distinct(), "prefixes")
+    held = held.where("low <> high").select("gram", "cid", "n").distinct()
+    # The original of a family shares all its grams; an edited copy has some of its own.
+    held = stored(held.withColumn("share", F.count("*").over(Window.partitionBy("cid")) / F.col("n")), "prefixes")
     links = held.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)
     roots = None
-    for _ in range(stars):
-        # Components so far: one member of each in a gram, and the least of them is the anchor of the others.
+    for star in range(stars):
+        # Of each component one member in a gram, and one of these is the anchor of the others: first the one that
+        # shares most of its grams, later one by chance.
         seats = held.withColumn("root", F.col("cid")) if roots is None else rooted(held, roots)
-        one = seats.groupBy("gram", "root").agg(F.min(F.struct("cid", "n")).alias("m"))
+        first = F.xxhash64("cid", F.lit(star)) if star else -F.col("share")
+        one = seats.groupBy("gram", "root").agg(F.min(F.struct(first.alias("key"), "cid", "n")).alias("m"))
         one = one.select("gram", "m.cid", "m.n", F.min("m").over(together).alias("anchor"))
         pairs = one.select(F.col("anchor.cid").alias("a"), F.col("anchor.n").alias("na"), F.col("cid").alias("b"), F.col("n").alias("nb")).where(F.col("a") != F.col("b")).where(alike_sizes(percent))
         # Half of the shared grams is enough here: a gram may have had another anchor.
