@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators import joins, splits
+from ..operators import timeseries as ts
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
+HOUR, DAY = 3_600_000_000, 86_400_000_000
 
 
 def queries() -> dict[str, Query]:
@@ -17,3 +22,263 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_oracles)
+
+
+def query(sql: str) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _queries[f.__name__], _oracles[f.__name__] = f, sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def r6(c) -> F.Column:
+    return F.round(c, 6)
+
+
+LAG = "SELECT *, epoch_us(ts) AS t, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events"
+ISLANDS = f"SELECT *, sum(CASE WHEN gap > {12 * HOUR} OR gap <= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM ({LAG})"
+SPANS = f"SELECT user_id, min(t) AS span_start, max(t) AS span_end, count(*) AS n_rows FROM ({ISLANDS}) GROUP BY user_id, island"
+SLOPE = f"""SELECT *, epoch_us(ts) AS t, regr_slope(value, (epoch_us(ts) - 1704067200000000) / 86400000000.0) OVER w AS slope, count(value) OVER w AS support
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN {3 * DAY} PRECEDING AND CURRENT ROW)"""
+LABEL = "CASE WHEN slope < -20 THEN 'FALLING' WHEN slope > 20 THEN 'RISING' ELSE 'STABLE' END"
+
+
+@query(f"SELECT user_id, {LABEL} AS label, count(*) AS n FROM ({SLOPE}) WHERE support >= 4 GROUP BY ALL")
+def entry_trend_label_counts(spark, d):
+    rows = ts.trailing_slope(table(spark, d, "events"), "user_id", 3).where("support >= 4")
+    return rows.groupBy("user_id", ts.label(F.col("slope"), 20).alias("label")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def p01_coerce_props(spark, d):
+    return table(spark, d, "events").select("event_id", F.expr("try_cast(get_json_object(props, '$.k') as bigint)").alias("k"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice < 100000 THEN 'low' WHEN o_totalprice < 300000 THEN 'mid' ELSE 'high' END AS bin FROM orders")
+def p05_fixed_bins(spark, d):
+    p = F.col("o_totalprice")
+    return table(spark, d, "orders").select("o_orderkey", F.when(p < 100000, "low").when(p < 300000, "mid").otherwise("high").alias("bin"))
+
+
+@query(f"SELECT user_id, count(*) AS n, count_if(gap = 0) AS duplicates, count_if(gap < 0) AS backwards, count_if(gap > {12 * HOUR}) AS gaps, max(gap) AS max_gap FROM ({LAG}) GROUP BY user_id")
+def w01_lag_profile(spark, d):
+    rows = ts.with_lag(table(spark, d, "events"), "user_id")
+    return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("gap") == 0).alias("duplicates"), F.count_if(F.col("gap") < 0).alias("backwards"), F.count_if(F.col("gap") > 12 * HOUR).alias("gaps"), F.max("gap").alias("max_gap"))
+
+
+@query(SPANS)
+def w02_spans(spark, d):
+    return ts.spans(table(spark, d, "events"), "user_id", 12 * HOUR)
+
+
+def _type_spans(spark, d, kind):
+    return ts.spans(table(spark, d, "events").where(F.col("event_type") == kind), "user_id", 2 * DAY)
+
+
+def _type_spans_sql(kind):
+    lag = f"SELECT user_id, event_id, ts, epoch_us(ts) AS t, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events WHERE event_type = '{kind}'"
+    isl = f"SELECT *, sum(CASE WHEN gap > {2 * DAY} OR gap <= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM ({lag})"
+    return f"SELECT user_id, min(t) AS span_start, max(t) AS span_end FROM ({isl}) GROUP BY user_id, island"
+
+
+BOTH = f"({_type_spans_sql('click')} UNION ALL {_type_spans_sql('view')})"
+
+
+@query(f"""WITH a AS (SELECT *, max(span_end) OVER (PARTITION BY user_id ORDER BY span_start, span_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {BOTH}),
+b AS (SELECT *, sum(CASE WHEN span_start <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY span_start, span_end) AS part FROM a)
+SELECT user_id, min(span_start) AS span_start, max(span_end) AS span_end FROM b GROUP BY user_id, part""")
+def w03_span_union(spark, d):
+    both = _type_spans(spark, d, "click").union(_type_spans(spark, d, "view")).select("user_id", "span_start", "span_end")
+    return ts.merge_spans(both, "user_id")
+
+
+@query(f"""SELECT a.user_id, sum(least(a.span_end, b.span_end) - greatest(a.span_start, b.span_start))::BIGINT AS overlap FROM ({_type_spans_sql('click')}) a
+JOIN ({_type_spans_sql('view')}) b ON a.user_id = b.user_id AND a.span_start < b.span_end AND b.span_start < a.span_end GROUP BY a.user_id""")
+def j07_overlap_duration(spark, d):
+    return ts.overlap_micros(_type_spans(spark, d, "click"), _type_spans(spark, d, "view"), "user_id")
+
+
+@query(f"SELECT event_id FROM events e WHERE EXISTS (SELECT 1 FROM ({SPANS}) s WHERE s.user_id = e.user_id AND s.span_start <= epoch_us(e.ts) - {DAY} AND s.span_end >= epoch_us(e.ts))")
+def j06_containment(spark, d):
+    events = table(spark, d, "events")
+    points = events.select("event_id", "user_id", (ts.micros("ts") - DAY).alias("a"), ts.micros("ts").alias("b"))
+    return joins.contained(points, ts.spans(events, "user_id", 12 * HOUR), "user_id", "a", "b").select("event_id")
+
+
+def _smooth(spark, d, how):
+    return ts.smooth(table(spark, d, "events"), "user_id", how).select("event_id", r6("smoothed").alias("smoothed"))
+
+
+@query("SELECT event_id, round(quantile_cont(value, 0.5) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS smoothed FROM events")
+def w04_smooth_median3(spark, d):
+    return _smooth(spark, d, "median3")
+
+
+@query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS smoothed FROM events")
+def w04_smooth_mean3(spark, d):
+    return _smooth(spark, d, "mean3")
+
+
+@query(f"SELECT event_id, round(slope, 6) AS slope, support FROM ({SLOPE}) WHERE support >= 4")
+def w05_ols(spark, d):
+    return ts.trailing_slope(table(spark, d, "events"), "user_id", 3).where("support >= 4").select("event_id", r6("slope").alias("slope"), "support")
+
+
+@query(f"""SELECT tau, count_if(slope < -tau) AS falling, count_if(abs(slope) <= tau) AS stable, count_if(slope > tau) AS rising
+FROM ({SLOPE}) CROSS JOIN (VALUES (10.0::DOUBLE), (20.0::DOUBLE), (40.0::DOUBLE)) v(tau) WHERE support >= 4 GROUP BY tau""")
+def w06_label_grid(spark, d):
+    rows = ts.trailing_slope(table(spark, d, "events"), "user_id", 3).where("support >= 4").select("slope", F.explode(F.array(*map(F.lit, (10.0, 20.0, 40.0)))).alias("tau"))
+    s, tau = F.col("slope"), F.col("tau")
+    return rows.groupBy("tau").agg(F.count_if(s < -tau).alias("falling"), F.count_if(F.abs(s) <= tau).alias("stable"), F.count_if(s > tau).alias("rising"))
+
+
+@query(f"""WITH i AS (SELECT *, row_number() OVER (PARTITION BY user_id, island ORDER BY ts, event_id) - 1 AS r FROM ({ISLANDS})),
+b AS (SELECT *, r // 4 AS block, value - lag(value) OVER (PARTITION BY user_id, island, r // 4 ORDER BY ts, event_id) AS step FROM i)
+SELECT user_id, min(t) AS window_start, max(t) AS window_end, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, min(value) AS low, max(value) AS high,
+round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.75), 6) AS q75, round(avg(abs(step)), 6) AS mean_step FROM b GROUP BY user_id, island, block HAVING count(*) = 4""")
+def w08_window_features(spark, d):
+    rows = ts.tumbling(table(spark, d, "events"), "user_id", 4, 12 * HOUR)
+    step = F.col("value") - F.lag("value").over(Window.partitionBy("user_id", "island", "block").orderBy("ts", "event_id"))
+    t = ts.micros("ts")
+    return rows.withColumn("step", step).groupBy("user_id", "island", "block").agg(
+        F.min(t).alias("window_start"), F.max(t).alias("window_end"), r6(F.avg("value")).alias("mean"), r6(F.stddev_pop("value")).alias("std"), F.min("value").alias("low"), F.max("value").alias("high"),
+        r6(F.percentile("value", 0.25)).alias("q25"), r6(F.percentile("value", 0.75)).alias("q75"), r6(F.avg(F.abs("step"))).alias("mean_step"),
+    ).drop("island", "block")
+
+
+@query(f"""SELECT p.event_id, count(*) AS n, round(avg(w.value), 6) AS mean, round(stddev_pop(w.value), 6) AS std, min(w.value) AS low, max(w.value) AS high, arg_max(w.value, epoch_us(w.ts)) AS last
+FROM events p JOIN events w ON w.user_id = p.user_id AND epoch_us(w.ts) BETWEEN epoch_us(p.ts) - {3 * DAY} AND epoch_us(p.ts) WHERE p.event_type = 'purchase' GROUP BY p.event_id HAVING count(*) >= 3""")
+def j08_history_features(spark, d):
+    e = table(spark, d, "events").withColumn("t", ts.micros("ts"))
+    points = e.where("event_type = 'purchase'").select("event_id", "user_id", (F.col("t") - 3 * DAY).alias("a"), F.col("t").alias("b"))
+    found = joins.history_join(points, e.select("user_id", "value", "t"), "user_id", "a", "b", "t", 3 * DAY)
+    out = found.groupBy("event_id").agg(F.count("*").alias("n"), r6(F.avg("value")).alias("mean"), r6(F.stddev_pop("value")).alias("std"), F.min("value").alias("low"), F.max("value").alias("high"), F.max_by("value", "t").alias("last"))
+    return out.where("n >= 3")
+
+
+@query("SELECT l.event_id, r.value AS next_value FROM (SELECT * FROM events WHERE event_type = 'click') l ASOF LEFT JOIN (SELECT user_id, ts, value FROM events WHERE event_type = 'purchase') r ON l.user_id = r.user_id AND l.ts <= r.ts")
+def j09_asof_next(spark, d):
+    e = table(spark, d, "events")
+    left, right = e.where("event_type = 'click'").select("event_id", "user_id", "ts"), e.where("event_type = 'purchase'").select("user_id", "ts", F.col("value").alias("next_value"))
+    return joins.next_as_of(left, right, "user_id", "ts", "next_value").select("event_id", "next_value")
+
+
+SPLIT = f"""WITH a AS (SELECT event_id, user_id, epoch_us(ts) AS t, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events),
+b AS (SELECT *, least(greatest(floor(n * 0.6::DOUBLE), 1), n - 2) AS i1 FROM a), c AS (SELECT *, least(greatest(floor(n * (0.6::DOUBLE + 0.2::DOUBLE)), i1 + 1), n - 1) AS i2 FROM b),
+e AS (SELECT *, max(CASE WHEN i = i1 THEN t END) OVER (PARTITION BY user_id) AS b1, max(CASE WHEN i = i2 THEN t END) OVER (PARTITION BY user_id) AS b2 FROM c),
+f AS (SELECT *, CASE WHEN i < i1 THEN 'train' WHEN i < i2 THEN 'validation' ELSE 'test' END AS part FROM e)
+SELECT event_id, user_id, t, CASE WHEN (part = 'train' AND t >= b1 - {DAY}) OR (part = 'validation' AND (t < b1 + {DAY} OR t >= b2 - {DAY})) OR (part = 'test' AND t < b2 + {DAY}) THEN 'excluded_embargo' ELSE part END AS split FROM f"""
+
+
+@query(f"SELECT event_id, split FROM ({SPLIT})")
+def w13_embargo(spark, d):
+    return splits.chronological_split(table(spark, d, "events"), "user_id", DAY).select("event_id", "split")
+
+
+@query(f"SELECT count_if(later) AS violations FROM (SELECT CASE split WHEN 'train' THEN 0 WHEN 'validation' THEN 1 ELSE 2 END < lag(CASE split WHEN 'train' THEN 0 WHEN 'validation' THEN 1 ELSE 2 END) OVER (PARTITION BY user_id ORDER BY t) AS later FROM ({SPLIT}) WHERE split <> 'excluded_embargo')")
+def w16_chronology(spark, d):
+    rows = splits.chronological_split(table(spark, d, "events"), "user_id", DAY).where("split <> 'excluded_embargo'")
+    rank = F.when(F.col("split") == "train", 0).when(F.col("split") == "validation", 1).otherwise(2)
+    return rows.select((rank < F.lag(rank).over(Window.partitionBy("user_id").orderBy("t"))).alias("later")).agg(F.count_if("later").alias("violations"))
+
+
+@query("""WITH a AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+SELECT x.event_id, y.value AS shifted FROM a x JOIN a y ON x.user_id = y.user_id AND y.i = (x.i + greatest(1, round_even(x.n * 0.25, 0)::BIGINT)) % x.n""")
+def w10_shift_features(spark, d):
+    return splits.circular_shift(table(spark, d, "events"), "user_id", 0.25, "value").select("event_id", "shifted")
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.05), 6) AS q05, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.95), 6) AS q95, round(stddev_pop(value), 6) AS std0, round(stddev_samp(value), 6) AS std1 FROM events GROUP BY event_type")
+def a08_quantiles(spark, d):
+    q = lambda p: r6(F.percentile("value", p))
+    return table(spark, d, "events").groupBy("event_type").agg(q(0.05).alias("q05"), q(0.5).alias("q50"), q(0.95).alias("q95"), r6(F.stddev_pop("value")).alias("std0"), r6(F.stddev_samp("value")).alias("std1"))
+
+
+@query("SELECT event_type, round(skewness(value), 6) AS skew, round(corr(value, epoch_us(ts)::DOUBLE), 6) AS pearson FROM events GROUP BY event_type")
+def a27_adjusted_moments(spark, d):
+    n = F.count("value")
+    skew = F.skewness("value") * F.sqrt(n * (n - 1)) / (n - 2)
+    return table(spark, d, "events").groupBy("event_type").agg(r6(skew).alias("skew"), r6(F.corr("value", ts.micros("ts").cast("double"))).alias("pearson"))
+
+
+@query("""WITH dims AS (SELECT a.event_type, b.h FROM (SELECT DISTINCT event_type FROM events) a CROSS JOIN range(24) b(h)), c AS (SELECT event_type, hour(ts) AS h, count(*) AS n FROM events GROUP BY ALL)
+SELECT event_type, h::INTEGER AS h, coalesce(n, 0) AS n, round(coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY event_type), 6) AS share FROM dims LEFT JOIN c USING (event_type, h)""")
+def a03_dense_counts(spark, d):
+    e = table(spark, d, "events").withColumn("h", F.hour("ts"))
+    dims = e.select("event_type").distinct().select("event_type", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("h"))
+    rows = dims.join(e.groupBy("event_type", "h").agg(F.count("*").alias("n")), ["event_type", "h"], "left").fillna(0, ["n"])
+    return rows.withColumn("share", r6(F.col("n") / F.sum("n").over(Window.partitionBy("event_type"))))
+
+
+@query("SELECT coalesce(event_type, 'all') AS event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY GROUPING SETS ((), (event_type))")
+def a16_grouping_sets(spark, d):
+    rows = table(spark, d, "events").rollup("event_type").agg(F.count("*").alias("n"), r6(F.avg("value")).alias("mean"))
+    return rows.withColumn("event_type", F.coalesce("event_type", F.lit("all")))
+
+
+@query("""WITH c AS (SELECT quality AS y, toxic AS p, count(*)::DOUBLE AS n FROM labels GROUP BY ALL), t AS (SELECT sum(n) AS total, sum(n) FILTER (y = p) AS agree FROM c),
+e AS (SELECT sum(a.n * b.n) AS chance FROM (SELECT y AS k, sum(n) AS n FROM c GROUP BY y) a JOIN (SELECT p AS k, sum(n) AS n FROM c GROUP BY p) b USING (k))
+SELECT round((agree / total - chance / (total * total)) / (1 - chance / (total * total)), 6) AS kappa FROM t, e""")
+def a21_kappa(spark, d):
+    c = table(spark, d, "labels").agg(*(F.count_if((F.col("quality") == y) & (F.col("toxic") == p)).cast("double").alias(f"n{y}{p}") for y in (0, 1) for p in (0, 1)))
+    n = F.col("n00") + F.col("n01") + F.col("n10") + F.col("n11")
+    chance = ((F.col("n00") + F.col("n01")) * (F.col("n00") + F.col("n10")) + (F.col("n10") + F.col("n11")) * (F.col("n01") + F.col("n11"))) / (n * n)
+    return c.select(r6(((F.col("n00") + F.col("n11")) / n - chance) / (1 - chance)).alias("kappa"))
+
+
+@query("""WITH k AS (SELECT unnest([0, 1]) AS class), c AS (SELECT class, count_if(quality = class AND toxic = class) AS tp, count_if(toxic = class) AS pp, count_if(quality = class) AS support FROM k CROSS JOIN labels GROUP BY class)
+SELECT class, round(coalesce(tp / nullif(pp, 0), 0), 6) AS prec, round(coalesce(tp / nullif(support, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(pp + support, 0), 0), 6) AS f1, support FROM c""")
+def m10_prf(spark, d):
+    rows = table(spark, d, "labels").select("quality", "toxic", F.explode(F.array(F.lit(0), F.lit(1))).alias("class"))
+    hit = lambda c: F.col(c) == F.col("class")
+    c = rows.groupBy("class").agg(F.count_if(hit("quality") & hit("toxic")).alias("tp"), F.count_if(hit("toxic")).alias("pp"), F.count_if(hit("quality")).alias("support"))
+    ratio = lambda a, b: r6(F.coalesce(F.try_divide(a, b), F.lit(0.0)))
+    return c.select("class", ratio(F.col("tp"), F.col("pp")).alias("prec"), ratio(F.col("tp"), F.col("support")).alias("recall"), ratio(2 * F.col("tp"), F.col("pp") + F.col("support")).alias("f1"), "support")
+
+
+@query("SELECT user_id, arg_max(event_id, value) AS event_id, max(value) AS value FROM (SELECT * FROM events ORDER BY event_id) GROUP BY user_id")
+def t02_argmax(spark, d):
+    return table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct("value", -F.col("event_id"))).alias("event_id"), F.max("value").alias("value"))
+
+
+@query("SELECT o_orderkey FROM orders o WHERE EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey AND c.c_mktsegment = 'BUILDING')")
+def j04_semi(spark, d):
+    return table(spark, d, "orders").join(table(spark, d, "customer").where("c_mktsegment = 'BUILDING'"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("o_orderkey")
+
+
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def j05_anti(spark, d):
+    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left_anti")
+
+
+@query("SELECT d.doc_id, d.lang, l.quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def j03_left(spark, d):
+    return table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+
+
+@query("SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels")
+def u03_intersect(spark, d):
+    return table(spark, d, "documents").select("doc_id").intersect(table(spark, d, "labels").select("doc_id"))
+
+
+@query("SELECT event_id, round((value - q50) / greatest(q75 - q25, 1e-12), 6) AS scaled FROM events JOIN (SELECT user_id, quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS q50, quantile_cont(value, 0.75) AS q75 FROM events GROUP BY user_id) USING (user_id)")
+def w18_robust_scale(spark, d):
+    e = table(spark, d, "events").select("event_id", "user_id", "value")
+    q = e.groupBy("user_id").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    return e.join(q, "user_id").select("event_id", r6((F.col("value") - F.col("q")[1]) / F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(1e-12))).alias("scaled"))
+
+
+@query("SELECT doc_id, sha256(text) AS digest FROM documents")
+def s14_digest(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
+@query("SELECT count(*) - count(DISTINCT (user_id, ts)) AS duplicate_keys, count_if(value IS NULL OR NOT isfinite(value)) AS bad_values, count_if(event_type NOT IN ('click', 'view', 'purchase')) AS other_types FROM events")
+def v01_contract(spark, d):
+    e, bad = table(spark, d, "events"), F.col("value").isNull() | F.isnan("value") | (F.abs("value") == float("inf"))
+    return e.agg((F.count("*") - F.count_distinct("user_id", "ts")).alias("duplicate_keys"), F.count_if(bad).alias("bad_values"), F.count_if(~F.col("event_type").isin("click", "view", "purchase")).alias("other_types"))
