@@ -282,3 +282,78 @@ def s14_digest(spark, d):
 def v01_contract(spark, d):
     e, bad = table(spark, d, "events"), F.col("value").isNull() | F.isnan("value") | (F.abs("value") == float("inf"))
     return e.agg((F.count("*") - F.count_distinct("user_id", "ts")).alias("duplicate_keys"), F.count_if(bad).alias("bad_values"), F.count_if(~F.col("event_type").isin("click", "view", "purchase")).alias("other_types"))
+
+
+@query("""WITH r AS (SELECT event_type, rank() OVER (PARTITION BY event_type ORDER BY value) + (count(*) OVER (PARTITION BY event_type, value) - 1) / 2.0 AS a,
+rank() OVER (PARTITION BY event_type ORDER BY user_id) + (count(*) OVER (PARTITION BY event_type, user_id) - 1) / 2.0 AS b FROM events)
+SELECT event_type, round(corr(a, b), 6) AS spearman FROM r GROUP BY event_type""")
+def a14_spearman(spark, d):
+    ranked = lambda c: F.rank().over(Window.partitionBy("event_type").orderBy(c)) + (F.count("*").over(Window.partitionBy("event_type", c)) - 1) / 2
+    rows = table(spark, d, "events").select("event_type", ranked("value").alias("a"), ranked("user_id").alias("b"))
+    return rows.groupBy("event_type").agg(r6(F.corr("a", "b")).alias("spearman"))
+
+
+@query("""WITH s AS (SELECT n_chars AS score, sum(quality) AS tp, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY n_chars),
+c AS (SELECT tp, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn, sum(tp) OVER () AS pos FROM s WINDOW w AS (ORDER BY score DESC))
+SELECT round(sum(tp / pos * ctp / cn), 6) AS average_precision FROM c""")
+def m14_ap(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "n_chars").join(table(spark, d, "labels"), "doc_id")
+    steps = rows.groupBy("n_chars").agg(F.sum("quality").alias("tp"), F.count("*").alias("n"))
+    # Cumulated within ranges of the score first, so that no task sorts all thresholds.
+    ranges = steps.withColumn("part", F.floor(F.col("n_chars") / 4096))
+    above = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranges.groupBy("part").agg(F.sum("tp").alias("t"), F.sum("n").alias("m"))
+    base = totals.select("part", F.coalesce(F.sum("t").over(above), F.lit(0)).alias("t0"), F.coalesce(F.sum("m").over(above), F.lit(0)).alias("m0"), F.sum("t").over(Window.partitionBy()).alias("pos"))
+    w = Window.partitionBy("part").orderBy(F.desc("n_chars"))
+    rows = ranges.withColumn("t", F.sum("tp").over(w)).withColumn("m", F.sum("n").over(w)).join(base, "part")
+    return rows.agg(r6(F.sum(F.col("tp") / F.col("pos") * (F.col("t") + F.col("t0")) / (F.col("m") + F.col("m0")))).alias("average_precision"))
+
+
+DFT = """(SELECT vec_id, k, power(list_sum(list_transform(range(64), lambda i: embedding[i + 1]::DOUBLE * cos(2 * pi() * k * i / 64))), 2)
+  + power(list_sum(list_transform(range(64), lambda i: embedding[i + 1]::DOUBLE * sin(2 * pi() * k * i / 64))), 2) AS p FROM embeddings CROSS JOIN range(1, 33) r(k))"""
+
+
+@query(f"SELECT vec_id, round(sum(p) FILTER (k BETWEEN 2 AND 8) / sum(p), 5) AS band_ratio FROM {DFT} GROUP BY vec_id")
+def n02_band_ratio(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    wave = lambda f: F.expr(f"aggregate(transform(x, (v, i) -> v * {f}(2 * pi() * k * i / 64)), 0D, (a, b) -> a + b)")
+    power = rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(32)))).withColumn("p", wave("cos") * wave("cos") + wave("sin") * wave("sin"))
+    return power.groupBy("vec_id").agg(F.round(F.sum(F.when(F.col("k").between(2, 8), F.col("p"))) / F.sum("p"), 5).alias("band_ratio"))
+
+
+@query("""WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v FROM embeddings)
+SELECT vec_id, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 6) AS iqr, count(DISTINCT v) / count(*) AS unique_share FROM x GROUP BY vec_id""")
+def n03_channel_quality(spark, d):
+    x = table(spark, d, "embeddings").select("vec_id", F.explode(F.col("embedding").cast("array<double>")).alias("v"))
+    return x.groupBy("vec_id").agg(
+        r6(F.avg("v")).alias("mean"), r6(F.stddev_pop("v")).alias("std"), r6(F.percentile("v", 0.5)).alias("median"),
+        r6(F.percentile("v", 0.75) - F.percentile("v", 0.25)).alias("iqr"), (F.count_distinct("v") / F.count("*")).alias("unique_share"),
+    )
+
+
+@query(f"""SELECT p.event_id, round(quantile_cont((b.value - a.value) / ((epoch_us(b.ts) - epoch_us(a.ts)) / {DAY}.0), 0.5), 6) AS slope FROM events p
+JOIN events a ON a.user_id = p.user_id AND epoch_us(a.ts) BETWEEN epoch_us(p.ts) - {3 * DAY} AND epoch_us(p.ts) JOIN events b ON b.user_id = p.user_id AND epoch_us(b.ts) BETWEEN epoch_us(p.ts) - {3 * DAY} AND epoch_us(p.ts) AND a.ts < b.ts
+WHERE p.event_type = 'purchase' GROUP BY p.event_id""")
+def w05_theil_sen(spark, d):
+    w = Window.partitionBy("user_id").orderBy(ts.micros("ts")).rangeBetween(-3 * DAY, 0)
+    rows = table(spark, d, "events").withColumn("seen", F.collect_list(F.struct(ts.micros("ts").alias("t"), "value")).over(w)).where("event_type = 'purchase'")
+    a = rows.select("event_id", "seen", F.explode("seen").alias("a")).select("event_id", "a", F.explode("seen").alias("b")).where("a.t < b.t")
+    slope = (F.col("b.value") - F.col("a.value")) / ((F.col("b.t") - F.col("a.t")) / F.lit(float(DAY)))
+    return a.groupBy("event_id").agg(r6(F.percentile(slope, 0.5)).alias("slope"))
+
+
+@query("SELECT event_type, count_if(user_id % 2 = 0) AS even, count_if(user_id % 2 = 1) AS odd FROM events GROUP BY event_type")
+def a18_pivot(spark, d):
+    rows = table(spark, d, "events").withColumn("side", F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd"))
+    return rows.groupBy("event_type").pivot("side", ["even", "odd"]).count().fillna(0)
+
+
+@query("SELECT user_id, ts, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) AS r FROM events) WHERE r = 1")
+def w15_dedupe(spark, d):
+    w = Window.partitionBy("user_id", F.date_trunc("day", "ts")).orderBy("ts", "event_id")
+    return table(spark, d, "events").withColumn("r", F.row_number().over(w)).where("r = 1").select("user_id", "ts", "event_id")
+
+
+@query("SELECT o_orderkey, round(cume_dist() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice), 6) AS ecdf FROM orders")
+def a32_ecdf(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", r6(F.cume_dist().over(Window.partitionBy("o_orderstatus").orderBy("o_totalprice"))).alias("ecdf"))
