@@ -7,7 +7,9 @@
 3. Prefix grams that only one class has are dropped. Star rounds then link each class of a gram to one anchor of it,
    which turns a large group of near copies into as many candidate pairs as it has members, not their square.
 4. What star rounds have not joined is settled exactly: every pair of classes that share prefix grams and lie in
-   different components is a candidate, if it shares as many of them as the similarity demands.
+   different components is a candidate, if it shares as many of them as the similarity demands. Rows of this join
+   are kept only if the places of the gram in both sets, counted without grams that one class alone has, leave room
+   for the overlap that is needed; so a copy with many words of its own meets few of its family.
 5. Candidates are verified exactly. The sets compared with one anchor form a trie over the global order; it is walked
    once, partial overlaps are shared along the common paths, and subtrees are pruned by remaining-length bounds.
    An anchor with many candidates is split into chunks of bounded size.
@@ -139,7 +141,7 @@ def common_grams(sets: DataFrame, most: int = 1 << 18) -> tuple[np.ndarray, np.n
 
 
 def prefixes(sets: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
-    """gram, cid, n for each gram of a class's prefix."""
+    """gram, cid, n, at for each gram of a class's prefix; at is its place there."""
     shared = sets.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +152,7 @@ def prefixes(sets: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: in
             at = np.searchsorted(grams, flat)
             at[at == len(grams)] = 0
             often = np.where(grams[at] == flat, counts[at], 0) if len(grams) else np.zeros(len(flat), np.int64)
-            out, sizes = [], []
+            out, sizes, places = [], [], []
             for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 s, o, n = flat[a:b], often[a:b], b - a
                 p = n - (percent * n + 99) // 100 + 1
@@ -158,12 +160,13 @@ def prefixes(sets: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: in
                     s = s[np.lexsort((s, o))]
                 out.append(s[:p])
                 sizes.append(len(out[-1]))
+                places.append(np.arange(sizes[-1]))
             cid, n = (np.repeat(batch.column(k).to_numpy(), sizes) for k in (0, 1))
-            whole = np.concatenate(out) if out else np.zeros(0, np.int64)
+            whole, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out, places))
             for k in range(0, len(whole), 500_000):
-                yield pa.record_batch([pa.array(x[k : k + 500_000]) for x in (whole, cid, n)], ["gram", "cid", "n"])
+                yield pa.record_batch([pa.array(x[k : k + 500_000]) for x in (whole, cid, n, place)], ["gram", "cid", "n", "at"])
 
-    return sets.where("grams is not null").select("cid", "n", "grams").mapInArrow(run, "gram long, cid long, n long")
+    return sets.where("grams is not null").select("cid", "n", "grams").mapInArrow(run, "gram long, cid long, n long, at long")
 
 
 def overlap_needed(na: Column, nb: Column, percent: int) -> Column:
@@ -176,6 +179,13 @@ def prefix_overlap_needed(percent: int) -> Column:
     return F.greatest(F.lit(1), overlap_needed(F.col("na"), F.col("nb"), percent) - F.greatest(rest("na"), rest("nb")))
 
 
+def room_for_overlap(percent: int) -> Column:
+    """Whether a and b that share a gram with `before` shared grams ahead of it and at most `after` behind it can
+    reach their overlap: grams ahead of it in one set can't meet grams behind it in the other."""
+    most = F.least("before_a", "before_b") + 1 + F.least("after_a", "after_b")
+    return most >= overlap_needed(F.col("na"), F.col("nb"), percent)
+
+
 def alike_sizes(percent: int) -> Column:
     return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
 
@@ -260,9 +270,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, stars
     prefix = prefixes(sets, common_grams(sets), percent)
     # Grams of two classes at least; a class that several tasks met counts once.
     held = prefix.withColumn("low", F.min("cid").over(together)).withColumn("high", F.max("cid").over(together))
-    held = held.where("low <> high").select("gram", "cid", "n").distinct()
-    # The original of a family shares all its grams; an edited copy has some of its own.
-    held = stored(held.withColumn("share", F.count("*").over(Window.partitionBy("cid")) / F.col("n")), "prefixes")
+    held = held.where("low <> high").select("gram", "cid", "n", "at").distinct()
+    # The original of a family shares all its grams; an edited copy has some of its own. Those of the prefix that no
+    # other class has (all but `count` of its places) can't be in any overlap.
+    own, whole = Window.partitionBy("cid"), F.col("n") - F.ceil(F.col("n") * percent / 100 - F.lit(1e-9)) + 1
+    held = held.withColumn("share", F.count("*").over(own) / F.col("n")).withColumn("before", F.row_number().over(own.orderBy("at")) - 1)
+    held = stored(held.withColumn("after", F.col("n") - whole + F.count("*").over(own) - F.col("before") - 1).drop("at"), "prefixes")
     links = held.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)
     roots = None
     for star in range(stars):
@@ -283,9 +296,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, stars
     # Exact: all pairs that share a prefix gram across components.
     seats = held.withColumn("root", F.col("cid")) if roots is None else rooted(held, roots)
     seats = seats.withColumn("low", F.min("root").over(together)).withColumn("high", F.max("root").over(together)).where("low <> high")
-    seats = stored(seats.select("gram", "cid", "n", "root"), "seats")
-    other = seats.select("gram", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    pairs = seats.select("gram", F.col("cid").alias("a"), F.col("n").alias("na"), "root").join(other, "gram").where((F.col("a") < F.col("b")) & (F.col("root") != F.col("rb"))).where(alike_sizes(percent))
+    seats = stored(seats.select("gram", "cid", "n", "root", "before", "after"), "seats")
+    side = lambda x: seats.select("gram", F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"root_{x}"), F.col("before").alias(f"before_{x}"), F.col("after").alias(f"after_{x}"))
+    pairs = side("a").join(side("b"), "gram").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))).where(alike_sizes(percent) & room_for_overlap(percent))
     pairs = pairs.groupBy("a", "b", "na", "nb").count().where(F.col("count") >= prefix_overlap_needed(percent))
     new = stored(verified(stored(pairs.select("a", "b"), "pairs"), sets, percent), "links")
     if not new.isEmpty():
