@@ -95,6 +95,15 @@ def test_op3_against_all_pairs(spark, empty, n, percent):
     assert ngram_join.jaccard_components(empty).count() == 0
 
 
+def test_op3_bitmaps_never_exceed_the_difference():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 30, 400, 5000):
+        a, b = (np.unique(rng.integers(0, 2 * n + 1, n)) for _ in range(2))
+        apart = sum(int(x).bit_count() for x in (ngram_join.parities(a) ^ ngram_join.parities(b)).view(np.uint64))
+        assert apart <= len(np.setxor1d(a, b))
+        assert not (ngram_join.parities(a) ^ ngram_join.parities(a)).any()
+
+
 def test_op3_trie_is_exact():
     rng = np.random.default_rng(1)
     anchor = np.unique(rng.integers(-(10**18), 10**18, 60))

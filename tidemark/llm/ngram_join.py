@@ -9,7 +9,9 @@
 4. What star rounds have not joined is settled exactly: every pair of classes that share prefix grams and lie in
    different components is a candidate, if it shares as many of them as the similarity demands. Rows of this join
    are kept only if the places of the gram in both sets, counted without grams that one class alone has, leave room
-   for the overlap that is needed; so a copy with many words of its own meets few of its family.
+   for the overlap that is needed; so a copy with many words of its own meets few of its family. A parity bitmap of
+   each whole set then bounds from below in how many grams the two differ, which turns away the pairs of a family
+   that lie under the limit before the join makes a row of them.
 5. Candidates are verified exactly. The sets compared with one anchor form a trie over the global order; it is walked
    once, partial overlaps are shared along the common paths, and subtrees are pruned by remaining-length bounds.
    An anchor with many candidates is split into chunks of bounded size.
@@ -35,7 +37,8 @@ from .storage import stored
 
 BASE, INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 BLOCK = 256  # candidates of one trie
-SETS = "doc_id long, cid long, n long, grams array<long>, common array<long>, counts array<long>"
+SETS = "doc_id long, cid long, n long, grams array<long>, bits array<long>, common array<long>, counts array<long>"
+WORDS = 8  # longs of a parity bitmap
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -77,6 +80,13 @@ def gram_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     return out
 
 
+def parities(grams: np.ndarray) -> np.ndarray:
+    """A bitmap whose bits tell whether an odd number of grams fall on each: two sets differ in no fewer grams than
+    their bitmaps differ in bits."""
+    odd = np.bincount(grams & (64 * WORDS - 1), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sets_of(docs: DataFrame, words: int, often: int = 2) -> DataFrame:
     """A row per document with its class and size, the set itself where the task meets the class first, and a row
     per task with the grams that at least `often` of its classes hold."""
@@ -87,9 +97,10 @@ def sets_of(docs: DataFrame, words: int, often: int = 2) -> DataFrame:
         held, common = 0, defaultdict(int)
 
         def row(doc: list, cid: list, n: list, grams: list, extra: tuple | None = None) -> pa.RecordBatch:
-            kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 3
+            kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 4
             e = extra or ([None] * len(doc), [None] * len(doc))
-            return pa.record_batch([pa.array(c, k) for c, k in zip((doc, cid, n, grams, *e), kinds, strict=True)], ["doc_id", "cid", "n", "grams", "common", "counts"])
+            bits = [None if g is None else parities(g) for g in grams]
+            return pa.record_batch([pa.array(c, k) for c, k in zip((doc, cid, n, grams, bits, *e), kinds, strict=True)], ["doc_id", "cid", "n", "grams", "bits", "common", "counts"])
 
         def tally() -> None:
             if pending:
@@ -186,6 +197,12 @@ def room_for_overlap(percent: int) -> Column:
     return most >= overlap_needed(F.col("na"), F.col("nb"), percent)
 
 
+def few_differences(percent: int) -> Column:
+    """Whether a and b differ in no more grams than their overlap allows, as far as their bitmaps tell."""
+    apart = sum((F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(WORDS)), F.lit(0))
+    return F.col("na") + F.col("nb") - 2 * overlap_needed(F.col("na"), F.col("nb"), percent) >= apart
+
+
 def alike_sizes(percent: int) -> Column:
     return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
 
@@ -296,9 +313,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, stars
     # Exact: all pairs that share a prefix gram across components.
     seats = held.withColumn("root", F.col("cid")) if roots is None else rooted(held, roots)
     seats = seats.withColumn("low", F.min("root").over(together)).withColumn("high", F.max("root").over(together)).where("low <> high")
-    seats = stored(seats.select("gram", "cid", "n", "root", "before", "after"), "seats")
-    side = lambda x: seats.select("gram", F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"root_{x}"), F.col("before").alias(f"before_{x}"), F.col("after").alias(f"after_{x}"))
-    pairs = side("a").join(side("b"), "gram").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))).where(alike_sizes(percent) & room_for_overlap(percent))
+    # A class that several tasks met has as many equal bitmaps.
+    bits = sets.where("bits is not null").groupBy("cid").agg(F.first("bits").alias("bits"))
+    seats = stored(seats.select("gram", "cid", "n", "root", "before", "after").join(bits, "cid"), "seats")
+    side = lambda x: seats.select("gram", F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"root_{x}"), F.col("before").alias(f"before_{x}"), F.col("after").alias(f"after_{x}"), F.col("bits").alias(f"bits_{x}"))
+    pairs = side("a").join(side("b"), "gram").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))).where(alike_sizes(percent) & room_for_overlap(percent) & few_differences(percent))
     pairs = pairs.groupBy("a", "b", "na", "nb").count().where(F.col("count") >= prefix_overlap_needed(percent))
     new = stored(verified(stored(pairs.select("a", "b"), "pairs"), sets, percent), "links")
     if not new.isEmpty():
