@@ -33,3 +33,18 @@ def circular_shift(df: DataFrame, key: str, fraction: float, column: str, ts: st
     source = own.select(F.col(key), F.col("i").alias("from"), F.col(column).alias("shifted"))
     offset = F.greatest(F.lit(1), F.bround(F.col("n") * fraction).cast("int"))
     return own.withColumn("from", (F.col("i") + offset) % F.col("n")).join(source, [key, "from"])
+
+
+def inner_folds(df: DataFrame, key: str, folds: int, history: int, ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """Each row once for every fold k of 1..folds, with role: assess, train or unused.
+
+    A fold assesses rows [n k / (folds + 1), n (k + 1) / (folds + 1)) of its key; it trains on rows older than
+    `history` microseconds before the first of these.
+    """
+    whole = Window.partitionBy(key)
+    rows = df.withColumn("t", micros(ts)).withColumn("i", F.row_number().over(whole.orderBy(ts, tie)) - 1).withColumn("n", F.count("*").over(whole))
+    rows = rows.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(folds))))
+    edge = lambda k: F.floor(F.col("n") * k / (folds + 1))
+    rows = rows.withColumn("role", F.when((F.col("i") >= edge(F.col("fold"))) & (F.col("i") < edge(F.col("fold") + 1)), "assess"))
+    begins = F.min(F.when(F.col("role") == "assess", F.col("t"))).over(Window.partitionBy(key, "fold")) - history
+    return rows.withColumn("role", F.coalesce("role", F.when(F.col("t") < begins, "train").otherwise("unused")))

@@ -71,3 +71,23 @@ def tumbling(df: DataFrame, key: str, rows: int, max_gap: int, ts: str = "ts", t
     numbered = islands(df, key, max_gap, ts, tie).withColumn("block", F.floor((F.row_number().over(w) - 1) / rows))
     size = F.count("*").over(Window.partitionBy(key, "island", "block"))
     return numbered.withColumn("size", size).where(F.col("size") == rows).drop("size")
+
+
+def endpoint_delta(df: DataFrame, key: str, days: float, value: str = "value", ts: str = "ts") -> DataFrame:
+    """Adds delta: change a day between the first and last row of [ts - days, ts]; null where no time passed."""
+    w = Window.partitionBy(key).orderBy(micros(ts)).rangeBetween(-int(days * 86_400_000_000), 0)
+    elapsed = (F.max(micros(ts)).over(w) - F.min(micros(ts)).over(w)) / F.lit(86_400_000_000.0)
+    return df.withColumn("delta", F.when(elapsed > 0, (F.last(value).over(w) - F.first(value).over(w)) / elapsed))
+
+
+def eligible(df: DataFrame, key: str, days: float, support: int, max_gap: int, ts: str = "ts") -> DataFrame:
+    """Adds eligible: the range [ts - days, ts] has the rows, begins early enough and lies within one island."""
+    span = int(days * 86_400_000_000)
+    w = Window.partitionBy(key).orderBy(micros(ts)).rangeBetween(-span, 0)
+    whole = (F.count("*").over(w) >= support) & (F.min(micros(ts)).over(w) <= micros(ts) - span + max_gap)
+    return islands(df, key, max_gap, ts).withColumn("eligible", whole & (F.first("island").over(w) == F.col("island")))
+
+
+def row_blocks(df: DataFrame, key: str, rows: int, ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """Adds block: consecutive blocks of `rows` rows of a key, gaps or not; the last may be shorter."""
+    return df.withColumn("block", F.floor((F.row_number().over(Window.partitionBy(key).orderBy(ts, tie)) - 1) / rows))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import joins, splits
+from ..operators import evaluation, joins, signals, splits
 from ..operators import timeseries as ts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -357,3 +357,251 @@ def w15_dedupe(spark, d):
 @query("SELECT o_orderkey, round(cume_dist() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice), 6) AS ecdf FROM orders")
 def a32_ecdf(spark, d):
     return table(spark, d, "orders").select("o_orderkey", r6(F.cume_dist().over(Window.partitionBy("o_orderstatus").orderBy("o_totalprice"))).alias("ecdf"))
+
+
+ORDERED = "SELECT *, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events"
+PLACED = f"SELECT *, least(greatest(floor(n * 0.8::DOUBLE), i1 + 1), n - 1) AS i2 FROM (SELECT *, least(greatest(floor(n * 0.6::DOUBLE), 1), n - 2) AS i1 FROM ({ORDERED}))"
+SPLIT = f"SELECT *, CASE WHEN i < i1 THEN 'train' WHEN i < i2 THEN 'validation' ELSE 'test' END AS split FROM ({PLACED})"
+TRAIN_Q = f"SELECT user_id, quantile_cont(value, 0.1) AS q10, quantile_cont(value, 0.25) AS q25 FROM ({SPLIT}) WHERE split = 'train' GROUP BY user_id"
+
+
+def _slopes_sql(days):
+    return f"""SELECT event_id, user_id, {LABEL} AS label, slope FROM (SELECT *, regr_slope(value, (epoch_us(ts) - 1704067200000000) / 86400000000.0) OVER w AS slope, count(value) OVER w AS support
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN {days * DAY} PRECEDING AND CURRENT ROW)) WHERE support >= 4"""
+
+
+def _slopes(spark, d, days):
+    rows = ts.trailing_slope(table(spark, d, "events"), "user_id", days).where("support >= 4")
+    return rows.select("event_id", "user_id", ts.label(F.col("slope"), 20).alias("label"), "slope")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity >= 0 AND l_quantity < 10 THEN 0 WHEN l_quantity >= 10 AND l_quantity < 25 THEN 1 WHEN l_quantity >= 25 THEN 2 END AS bin FROM lineitem")
+def p04_halfopen_bins(spark, d):
+    q = F.col("l_quantity")
+    found = F.when((q >= 0) & (q < 10), 0).when((q >= 10) & (q < 25), 1).when(q >= 25, 2)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", found.alias("bin"))
+
+
+@query("SELECT event_id, concat_ws(';', CASE WHEN event_type = 'click' THEN 'click' END, CASE WHEN value < 20 THEN 'low' END, CASE WHEN hour(ts) < 6 THEN 'night' END) AS reasons FROM events")
+def p10_reason_codes(spark, d):
+    reasons = F.array(F.when(F.hour("ts") < 6, "night"), F.when(F.col("value") < 20, "low"), F.when(F.col("event_type") == "click", "click"))
+    return table(spark, d, "events").select("event_id", F.array_join(F.array_sort(F.array_compact(reasons)), ";").alias("reasons"))
+
+
+@query(f"SELECT event_id, split FROM ({SPLIT})")
+def w12_split(spark, d):
+    return splits.chronological_split(table(spark, d, "events"), "user_id", 0).select("event_id", "split")
+
+
+@query(f"""WITH f AS (SELECT * FROM ({ORDERED}) CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS fold)), a AS (SELECT *, i >= n * fold // 5 AND i < n * (fold + 1) // 5 AS assess FROM f),
+b AS (SELECT *, min(t) FILTER (assess) OVER (PARTITION BY user_id, fold) - {DAY} AS begins FROM a)
+SELECT user_id, fold, count_if(assess) AS n_assess, count_if(NOT assess AND t < begins) AS n_train FROM b GROUP BY ALL""")
+def w14_inner_folds(spark, d):
+    rows = splits.inner_folds(table(spark, d, "events"), "user_id", 4, DAY)
+    return rows.groupBy("user_id", "fold").agg(F.count_if(F.col("role") == "assess").alias("n_assess"), F.count_if(F.col("role") == "train").alias("n_train"))
+
+
+@query(f"SELECT a.event_id, b.event_type AS shifted FROM ({ORDERED}) a JOIN ({ORDERED}) b ON a.user_id = b.user_id AND b.i = (a.i + greatest(1, round_even(a.n * 0.25, 0)::BIGINT)) % a.n")
+def w11_shift_labels(spark, d):
+    return splits.circular_shift(table(spark, d, "events"), "user_id", 0.25, "event_type").select("event_id", "shifted")
+
+
+@query(f"""SELECT event_id, round((last_value(value) OVER w - first_value(value) OVER w) / nullif((max(epoch_us(ts)) OVER w - min(epoch_us(ts)) OVER w) / 86400000000.0, 0), 6) AS delta
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN {3 * DAY} PRECEDING AND CURRENT ROW)""")
+def w05_endpoint_delta(spark, d):
+    return ts.endpoint_delta(table(spark, d, "events"), "user_id", 3).select("event_id", r6("delta").alias("delta"))
+
+
+@query(f"""SELECT event_id, count(*) OVER w >= 2 AND min(t) OVER w <= t - {DAY} + {12 * HOUR} AND first_value(island) OVER w = island AS eligible
+FROM ({ISLANDS}) WINDOW w AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN {DAY} PRECEDING AND CURRENT ROW)""")
+def w05_eligible(spark, d):
+    return ts.eligible(table(spark, d, "events"), "user_id", 1, 2, 12 * HOUR).select("event_id", "eligible")
+
+
+@query(f"""SELECT user_id, island, block, count(*) AS n, round(avg(value), 6) AS mean FROM (SELECT *, (row_number() OVER (PARTITION BY user_id, island ORDER BY ts, event_id) - 1) // 4 AS block FROM ({ISLANDS}))
+GROUP BY ALL HAVING count(*) = 4""")
+def w07_tumbling(spark, d):
+    rows = ts.tumbling(table(spark, d, "events"), "user_id", 4, 12 * HOUR)
+    return rows.groupBy("user_id", "island", "block").agg(F.count("*").alias("n"), r6(F.avg("value")).alias("mean"))
+
+
+@query(f"SELECT user_id, i // 16 AS block, count(*) AS n, round(sqrt(avg(value * value)), 6) AS rms FROM ({ORDERED}) GROUP BY ALL HAVING count(*) >= 2")
+def w17_blocks_rms(spark, d):
+    rows = ts.row_blocks(table(spark, d, "events"), "user_id", 16).groupBy("user_id", "block")
+    return rows.agg(F.count("*").alias("n"), r6(F.sqrt(F.avg(F.col("value") * F.col("value")))).alias("rms")).where("n >= 2")
+
+
+def _train_quantiles(spark, d):
+    train = splits.chronological_split(table(spark, d, "events"), "user_id", 0).where("split = 'train'")
+    return train.groupBy("user_id").agg(F.percentile("value", 0.1).alias("q10"), F.percentile("value", 0.25).alias("q25"))
+
+
+@query(f"SELECT user_id, round(q10, 6) AS q10, round(q25, 6) AS q25 FROM ({TRAIN_Q})")
+def w19_thresholds(spark, d):
+    return _train_quantiles(spark, d).select("user_id", r6("q10").alias("q10"), r6("q25").alias("q25"))
+
+
+@query(f"SELECT event_id, round(CASE WHEN q25 <= 0 THEN 1.0 ELSE least(greatest(value / q25, 0.25), 1.0) END, 6) AS weight, value >= q10 AS kept FROM events JOIN ({TRAIN_Q}) USING (user_id)")
+def w20_policy(spark, d):
+    rows = table(spark, d, "events").join(_train_quantiles(spark, d), "user_id")
+    weight = F.when(F.col("q25") <= 0, 1.0).otherwise(F.least(F.greatest(F.col("value") / F.col("q25"), F.lit(0.25)), F.lit(1.0)))
+    return rows.select("event_id", r6(weight).alias("weight"), (F.col("value") >= F.col("q10")).alias("kept"))
+
+
+@query("SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 20")
+def t03_topk(spark, d):
+    return table(spark, d, "events").orderBy(F.desc("value"), "event_id").limit(20).select("event_id", "value")
+
+
+@query("SELECT doc_id, n_chars, quality, toxic FROM documents JOIN labels USING (doc_id)")
+def j01_inner(spark, d):
+    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("doc_id", "n_chars", "quality", "toxic")
+
+
+@query("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+def j14_pairs(spark, d):
+    n = table(spark, d, "nation").select("n_nationkey", "n_regionkey")
+    pairs = n.withColumnRenamed("n_nationkey", "a").join(n.withColumnRenamed("n_nationkey", "b"), "n_regionkey")
+    return pairs.where("a < b").select("a", "b")
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'click' UNION ALL SELECT event_id FROM events WHERE value > 50")
+def u01_union_all(spark, d):
+    e = table(spark, d, "events")
+    return e.where("event_type = 'click'").select("event_id").unionAll(e.where("value > 50").select("event_id"))
+
+
+@query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels WHERE quality = 1")
+def u02_difference(spark, d):
+    return table(spark, d, "documents").select("doc_id").subtract(table(spark, d, "labels").where("quality = 1").select("doc_id"))
+
+
+@query("SELECT DISTINCT lang, source FROM documents")
+def u04_distinct(spark, d):
+    return table(spark, d, "documents").select("lang", "source").distinct()
+
+
+@query(" UNION ALL ".join(f"SELECT {h} AS days, count_if(label = 'FALLING') AS falling, count_if(label = 'STABLE') AS stable, count_if(label = 'RISING') AS rising, count(*) AS eligible FROM ({_slopes_sql(h)})" for h in (2, 3, 5)))
+def a01_protocol_totals(spark, d):
+    n = lambda x: F.count_if(F.col("label") == x.upper()).alias(x)
+    of = lambda h: _slopes(spark, d, h).agg(n("falling"), n("stable"), n("rising"), F.count("*").alias("eligible")).select(F.lit(h).alias("days"), "*")
+    return of(2).unionAll(of(3)).unionAll(of(5))
+
+
+@query(f"SELECT label, count(DISTINCT user_id) AS users FROM ({_slopes_sql(3)}) GROUP BY label")
+def a02_participant_support(spark, d):
+    return _slopes(spark, d, 3).groupBy("label").agg(F.count_distinct("user_id").alias("users"))
+
+
+@query("""SELECT count(r) AS n, round(avg(r), 6) AS mean, round(quantile_cont(r, 0.5), 6) AS median, round(quantile_cont(r, 0.75) - quantile_cont(r, 0.25), 6) AS iqr, round(min(r), 6) AS low, round(max(r), 6) AS high
+FROM (SELECT user_id, corr(value, epoch_us(ts) / 86400000000.0) AS r FROM events GROUP BY user_id)""")
+def a15_corr_summary(spark, d):
+    r = table(spark, d, "events").groupBy("user_id").agg(F.corr("value", ts.micros("ts") / F.lit(86_400_000_000.0)).alias("r"))
+    iqr = F.percentile("r", 0.75) - F.percentile("r", 0.25)
+    return r.agg(F.count("r").alias("n"), r6(F.avg("r")).alias("mean"), r6(F.percentile("r", 0.5)).alias("median"), r6(iqr).alias("iqr"), r6(F.min("r")).alias("low"), r6(F.max("r")).alias("high"))
+
+
+@query("""WITH k AS (SELECT DISTINCT event_type AS k FROM events), c AS (SELECT before, event_type AS after, count(*) AS n FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS NOT NULL GROUP BY ALL)
+SELECT a.k AS before, b.k AS after, coalesce(n, 0) AS n FROM k a CROSS JOIN k b LEFT JOIN c ON before = a.k AND after = b.k""")
+def a19_transitions(spark, d):
+    e = table(spark, d, "events")
+    met = e.select(F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("before"), F.col("event_type").alias("after")).where("before IS NOT NULL")
+    kinds = e.agg(F.collect_set("event_type").alias("kinds"))  # a handful of event types
+    cells = kinds.select(F.explode("kinds").alias("before"), "kinds").select("before", F.explode("kinds").alias("after"))
+    return cells.join(met.groupBy("before", "after").agg(F.count("*").alias("n")), ["before", "after"], "left").fillna(0, ["n"])
+
+
+@query("""WITH c AS (SELECT count_if(quality = 1 AND toxic = 1) AS s, count_if(quality = 1) AS p, count_if(toxic = 1) AS q FROM labels)
+SELECT round(s / p, 6) AS of_primary, round(s / q, 6) AS of_candidate, round(s / (p + q - s), 6) AS jaccard FROM c""")
+def a20_overlap(spark, d):
+    q, t = F.col("quality") == 1, F.col("toxic") == 1
+    c = table(spark, d, "labels").agg(F.count_if(q & t).alias("s"), F.count_if(q).alias("p"), F.count_if(t).alias("q"))
+    return c.selectExpr("round(try_divide(s, p), 6) AS of_primary", "round(try_divide(s, q), 6) AS of_candidate", "round(try_divide(s, p + q - s), 6) AS jaccard")
+
+
+@query(f"""SELECT a.label = b.label AS agree, count(*) AS n, round(quantile_cont(abs(abs(a.slope) - 20), 0.1), 6) AS q10, round(quantile_cont(abs(abs(a.slope) - 20), 0.5), 6) AS q50, round(quantile_cont(abs(abs(a.slope) - 20), 0.9), 6) AS q90
+FROM ({_slopes_sql(3)}) a JOIN ({_slopes_sql(2)}) b USING (event_id) GROUP BY ALL""")
+def a22_margins(spark, d):
+    rows = _slopes(spark, d, 3).join(_slopes(spark, d, 2).select("event_id", F.col("label").alias("other")), "event_id")
+    rows = rows.select((F.col("label") == F.col("other")).alias("agree"), F.abs(F.abs("slope") - 20).alias("margin"))
+    q = lambda p: r6(F.percentile("margin", p / 100)).alias(f"q{p}")
+    return rows.groupBy("agree").agg(F.count("*").alias("n"), q(10), q(50), q(90))
+
+
+@query("""WITH k AS (SELECT event_type, count(*) / (SELECT count(*) FROM events) AS q FROM events GROUP BY event_type), u AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id),
+c AS (SELECT user_id, event_type, count(*) AS m FROM events GROUP BY ALL), t AS (SELECT user_id, sum(abs(coalesce(m, 0) / n - q)) / 2 AS distance FROM u CROSS JOIN k LEFT JOIN c USING (user_id, event_type) GROUP BY user_id)
+SELECT round(avg(distance), 6) AS mean, round(max(distance), 6) AS high FROM t""")
+def a23_tv_distance(spark, d):
+    rows = evaluation.total_variation(table(spark, d, "events"), "user_id", "event_type")
+    return rows.agg(r6(F.avg("distance")).alias("mean"), r6(F.max("distance")).alias("high"))
+
+
+@query(f"SELECT split, x AS threshold, count_if(value >= x) AS n, round(count_if(value >= x) / count(*), 6) AS fraction FROM ({SPLIT}) CROSS JOIN (SELECT unnest([10, 25, 50]) AS x) GROUP BY ALL")
+def a25_threshold_fractions(spark, d):
+    rows = splits.chronological_split(table(spark, d, "events"), "user_id", 0).select("split", "value", F.explode(F.array(*map(F.lit, (10, 25, 50)))).alias("threshold"))
+    over = F.count_if(F.col("value") >= F.col("threshold"))
+    return rows.groupBy("split", "threshold").agg(over.alias("n"), r6(over / F.count("*")).alias("fraction"))
+
+
+@query(f"""WITH u AS (SELECT user_id, count(DISTINCT label) AS kinds, count_if(label <> 'STABLE') / count(*) AS directional FROM ({_slopes_sql(3)}) GROUP BY user_id)
+SELECT count_if(kinds < 3) AS lacking, round(quantile_cont(directional, 0.5), 6) AS directional, CASE WHEN count_if(kinds < 3) > 0 OR quantile_cont(directional, 0.5) < 0.2 THEN 'LABEL_SUPPORT_RISK' ELSE 'PASS' END AS verdict FROM u""")
+def a26_gate(spark, d):
+    u = _slopes(spark, d, 3).groupBy("user_id").agg(F.count_distinct("label").alias("kinds"), F.avg((F.col("label") != "STABLE").cast("int")).alias("directional"))
+    c = u.agg(F.count_if(F.col("kinds") < 3).alias("lacking"), F.percentile("directional", 0.5).alias("directional"))
+    return c.select("lacking", r6("directional").alias("directional"), F.when((F.col("lacking") > 0) | (F.col("directional") < 0.2), "LABEL_SUPPORT_RISK").otherwise("PASS").alias("verdict"))
+
+
+@query("""SELECT vec_id, round(regr_slope(y, x), 6) AS slope, round(regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x), 5) AS rss
+FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS y, generate_subscripts(embedding, 1) - 1 AS x FROM embeddings) GROUP BY vec_id""")
+def n01_detrend(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", signals.detrended("embedding").alias("f"))
+    return rows.select("vec_id", r6("f.slope").alias("slope"), F.round(F.aggregate("f.residuals", F.lit(0.0), lambda s, r: s + r * r), 5).alias("rss"))
+
+
+@query("SELECT min(vec_id) AS vec_id, count(*) AS copies FROM embeddings GROUP BY embedding")
+def n07_array_equal(spark, d):
+    return table(spark, d, "embeddings").groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")).drop("embedding")
+
+
+@query("""SELECT vec_id, round(min(z), 5) AS low, round(max(z), 5) AS high FROM (SELECT vec_id, (y - avg(y) OVER v) / greatest(stddev_pop(y) OVER v, 1e-12) AS z FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS y FROM embeddings) WINDOW v AS (PARTITION BY vec_id)) GROUP BY vec_id""")
+def n09_normalize(spark, d):
+    z = table(spark, d, "embeddings").select("vec_id", signals.z_scores("embedding").alias("z"))
+    return z.select("vec_id", F.round(F.array_min("z"), 5).alias("low"), F.round(F.array_max("z"), 5).alias("high"))
+
+
+@query("SELECT round(avg(recall), 6) AS balanced_accuracy FROM (SELECT avg((quality = toxic)::INT) AS recall FROM labels GROUP BY quality)")
+def m12_balanced_acc(spark, d):
+    return evaluation.balanced_accuracy(table(spark, d, "labels"), "quality", "toxic").select(r6("balanced_accuracy").alias("balanced_accuracy"))
+
+
+@query("""SELECT class, round(count_if(quality = class AND toxic = class) / nullif(count_if(quality = class), 0), 6) AS sensitivity, round(count_if(quality <> class AND toxic <> class) / nullif(count_if(quality <> class), 0), 6) AS specificity
+FROM labels CROSS JOIN (SELECT unnest([0, 1]) AS class) GROUP BY class""")
+def m13_spec(spark, d):
+    rows = table(spark, d, "labels").select("quality", "toxic", F.explode(F.array(F.lit(0), F.lit(1))).alias("class"))
+    y, p = F.col("quality") == F.col("class"), F.col("toxic") == F.col("class")
+    part = lambda a, b, name: r6(F.try_divide(F.count_if(a), F.count_if(b))).alias(name)
+    return rows.groupBy("class").agg(part(y & p, y, "sensitivity"), part(~y & ~p, ~y, "specificity"))
+
+
+@query("SELECT quality, toxic, n, round(n / sum(n) OVER (PARTITION BY quality), 6) AS share FROM (SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL)")
+def m15_confusion(spark, d):
+    return evaluation.confusion(table(spark, d, "labels"), "quality", "toxic").withColumn("share", r6("share"))
+
+
+@query(f"""SELECT count(*) AS directional, round(avg((a.label <> b.label AND b.label <> 'STABLE')::INT), 6) AS opposite FROM ({_slopes_sql(3)}) a JOIN ({_slopes_sql(2)}) b USING (event_id) WHERE a.label <> 'STABLE'""")
+def m16_opposite(spark, d):
+    rows = _slopes(spark, d, 3).where("label <> 'STABLE'").join(_slopes(spark, d, 2).select("event_id", F.col("label").alias("other")), "event_id")
+    wrong = (F.col("label") != F.col("other")) & (F.col("other") != "STABLE")
+    return rows.agg(F.count("*").alias("directional"), r6(F.avg(wrong.cast("int"))).alias("opposite"))
+
+
+@query("SELECT event_type, round((1 + count_if(value >= 50)) / (1 + count(value)), 6) AS p FROM events GROUP BY event_type")
+def m20_tail(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(r6(evaluation.upper_tail(F.col("value"), 50.0)).alias("p"))
+
+
+@query(f"SELECT count_if(kinds < 3) AS lacking, count_if(unknown > 0) AS unknown FROM (SELECT user_id, count(DISTINCT split) AS kinds, count_if(split NOT IN ('train', 'validation', 'test')) AS unknown FROM ({SPLIT}) GROUP BY user_id)")
+def v03_split_contract(spark, d):
+    rows = splits.chronological_split(table(spark, d, "events"), "user_id", 0).groupBy("user_id")
+    u = rows.agg(F.count_distinct("split").alias("kinds"), F.count_if(~F.col("split").isin("train", "validation", "test")).alias("unknown"))
+    return u.agg(F.count_if(F.col("kinds") < 3).alias("lacking"), F.count_if(F.col("unknown") > 0).alias("unknown"))
