@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,3 +33,35 @@ def total_variation(df: DataFrame, group: str, kind: str) -> DataFrame:
 def upper_tail(null: Column, observed: float) -> Column:
     """Empirical upper-tail p of an observed value among null draws."""
     return (1 + F.count_if(null >= observed)) / (1 + F.count(null))
+
+
+def uniform(*parts: Column) -> Column:
+    """A number in [0, 1) that the parts alone decide, the same on every run and executor."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+def stratified_folds(df: DataFrame, identity: str, stratum: str, folds: int) -> DataFrame:
+    """Adds fold: each stratum dealt out evenly in an order given by digests, in 256 slices so that no task holds one."""
+    digest = F.md5(F.col(identity).cast("string"))
+    part = F.conv(F.substring(digest, 1, 2), 16, 10).cast("int")
+    w = Window.partitionBy(stratum, "part").orderBy("digest", identity)
+    rows = df.withColumn("digest", digest).withColumn("part", part)
+    return rows.withColumn("fold", (F.row_number().over(w) - 1 + F.col("part")) % folds).drop("digest", "part")
+
+
+def bootstrap_means(df: DataFrame, identity: str, value: str, draws: int) -> DataFrame:
+    """draw, mean: means of `value` where each row of `df` counts Poisson(1) times in a draw.
+
+    The rows of a draw add up map-side, so the shuffle carries a sum and a count for each draw and task.
+    """
+    rows = df.where(F.col(value).isNotNull()).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    u = uniform(F.col(identity), F.col("draw")) * math.e
+    times, reach = F.lit(6), 0.0
+    steps = []
+    for k in range(6):
+        reach += 1 / math.factorial(k)
+        steps.append((reach, k))
+    for limit, k in reversed(steps):
+        times = F.when(u < limit, k).otherwise(times)
+    rows = rows.withColumn("times", times)
+    return rows.groupBy("draw").agg(F.try_divide(F.sum(F.col(value) * F.col("times")), F.sum("times")).alias("mean"))

@@ -30,3 +30,14 @@ def z_scores(values: str | Column) -> Column:
     mean = F.try_divide(_sum(y), F.size(y))
     deviation = F.sqrt(F.try_divide(_sum(F.transform(y, lambda v: (v - mean) * (v - mean))), F.size(y)))
     return F.transform(y, lambda v: (v - mean) / F.greatest(deviation, F.lit(1e-12)))
+
+
+def relation(a: Column, b: Column) -> Column:
+    """Struct of Pearson r (null for a constant channel), and a's peak-to-peak and deviation over b's."""
+    x, y = _doubles(a), _doubles(b)
+    n = F.size(x)
+    centred = lambda v: F.transform(v, lambda e: e - F.try_divide(_sum(v), n))
+    dot = lambda p, q: _sum(F.zip_with(p, q, lambda i, j: i * j))
+    xx, yy, xy = dot(centred(x), centred(x)), dot(centred(y), centred(y)), dot(centred(x), centred(y))
+    reach = lambda v: F.array_max(v) - F.array_min(v)
+    return F.struct(F.try_divide(xy, F.sqrt(xx * yy)).alias("pearson"), F.try_divide(reach(x), reach(y)).alias("range_ratio"), F.sqrt(F.try_divide(xx, yy)).alias("deviation_ratio"))

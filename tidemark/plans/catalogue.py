@@ -605,3 +605,43 @@ def v03_split_contract(spark, d):
     rows = splits.chronological_split(table(spark, d, "events"), "user_id", 0).groupBy("user_id")
     u = rows.agg(F.count_distinct("split").alias("kinds"), F.count_if(~F.col("split").isin("train", "validation", "test")).alias("unknown"))
     return u.agg(F.count_if(F.col("kinds") < 3).alias("lacking"), F.count_if(F.col("unknown") > 0).alias("unknown"))
+
+
+@query(f"""WITH m AS (SELECT event_type FROM ({SPLIT}) WHERE split = 'train' GROUP BY event_type ORDER BY count(*) DESC, event_type LIMIT 1)
+SELECT any_value(m.event_type) AS majority, count(*) AS n, round(avg((s.event_type = m.event_type)::INT), 6) AS accuracy FROM ({SPLIT}) s CROSS JOIN m WHERE split = 'validation'""")
+def m04_constant_model(spark, d):
+    counts = splits.chronological_split(table(spark, d, "events"), "user_id", 0).groupBy("event_type")
+    part = lambda s: F.count_if(F.col("split") == s)
+    kinds = counts.agg(part("train").alias("seen"), part("validation").alias("held")).orderBy(F.desc("seen"), "event_type")
+    first = F.max_by(F.struct("event_type", "held"), F.struct("seen", F.negative(F.col("place"))))
+    kinds = kinds.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("event_type")))  # a row for each type
+    rows = kinds.agg(first.alias("m"), F.sum("held").alias("n"))
+    return rows.select(F.col("m.event_type").alias("majority"), "n", r6(F.col("m.held") / F.col("n")).alias("accuracy"))
+
+
+@query("""SELECT doc_id, (row_number() OVER (PARTITION BY quality, part ORDER BY digest, doc_id) - 1 + part) % 5 AS fold
+FROM (SELECT doc_id, quality, md5(doc_id::VARCHAR) AS digest, ('0x' || md5(doc_id::VARCHAR)[1:2])::INT AS part FROM labels)""")
+def m07_folds(spark, d):
+    return evaluation.stratified_folds(table(spark, d, "labels"), "doc_id", "quality", 5).select("doc_id", F.col("fold").cast("long").alias("fold"))
+
+
+@query("""WITH u AS (SELECT user_id, avg(value) FILTER (event_type = 'click') - avg(value) FILTER (event_type = 'view') AS delta FROM events GROUP BY user_id),
+r AS (SELECT draw, delta, ('0x' || md5(user_id || ':' || draw)[1:8])::BIGINT / 4294967296.0 * 2.718281828459045::DOUBLE AS x FROM u CROSS JOIN range(1, 501) t(draw) WHERE delta IS NOT NULL),
+w AS (SELECT draw, delta, (x >= 1)::INT + (x >= 2)::INT + (x >= 2.5)::INT + (x >= 2 + 0.5 + 1 / 6)::INT + (x >= 2.5 + 1 / 6 + 1 / 24)::INT + (x >= 2.5 + 1 / 6 + 1 / 24 + 1 / 120)::INT AS times FROM r),
+m AS (SELECT draw, sum(delta * times) / sum(times) AS mean FROM w GROUP BY draw)
+SELECT count(*) AS draws, round(quantile_cont(mean, 0.025), 5) AS low, round(quantile_cont(mean, 0.975), 5) AS high FROM m""")
+def m17_bootstrap(spark, d):
+    of = lambda kind: F.avg(F.when(F.col("event_type") == kind, F.col("value")))
+    users = table(spark, d, "events").groupBy("user_id").agg((of("click") - of("view")).alias("delta"))
+    means = evaluation.bootstrap_means(users, "user_id", "delta", 500)
+    return means.agg(F.count("*").alias("draws"), F.round(F.percentile("mean", 0.025), 5).alias("low"), F.round(F.percentile("mean", 0.975), 5).alias("high"))
+
+
+@query("""WITH c AS (SELECT vec_id, (generate_subscripts(embedding, 1) - 1) // 16 AS channel, (generate_subscripts(embedding, 1) - 1) % 16 AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)
+SELECT a.vec_id, a.channel::INT AS a, b.channel::INT AS b, round(corr(a.v, b.v), 5) AS pearson, round((max(a.v) - min(a.v)) / (max(b.v) - min(b.v)), 5) AS range_ratio, round(stddev_pop(a.v) / stddev_pop(b.v), 5) AS deviation_ratio
+FROM c a JOIN c b ON a.vec_id = b.vec_id AND a.i = b.i AND a.channel < b.channel GROUP BY a.vec_id, a.channel, b.channel""")
+def n06_cross_channel(spark, d):
+    channel = lambda k: F.slice("embedding", 16 * k + 1, 16)
+    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), signals.relation(channel(a), channel(b)).alias("f")) for a in range(4) for b in range(a + 1, 4)]
+    rows = table(spark, d, "embeddings").select("vec_id", F.explode(F.array(*pairs)).alias("p"))
+    return rows.select("vec_id", "p.a", "p.b", *(F.round(f"p.f.{c}", 5).alias(c) for c in ("pearson", "range_ratio", "deviation_ratio")))
