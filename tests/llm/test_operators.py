@@ -95,6 +95,16 @@ def test_op3_against_all_pairs(spark, empty, n, percent):
     assert ngram_join.jaccard_components(empty).count() == 0
 
 
+def test_op3_overlap_behind_one_prefix(spark):
+    """A prefix gram of a that lies behind b's prefix is in their overlap; c, too short, is the anchor of all they share."""
+    words = sorted((f"w{k}" for k in range(125)), key=lambda w: int(ngram_join.gram_sets([w], 1)[0][0]))
+    shared = words[10:95]
+    texts = [" ".join(t) for t in (shared + words[95:100], words[:10] + shared, shared[:5] + words[100:])]
+    # A task for each text, so that no gram is counted as common and hashes alone set the order.
+    df = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), 3), "doc_id long, text string")
+    assert sorted(map(tuple, ngram_join.jaccard_components(df, 1, 85).collect())) == brute_components(texts, 1, 85) == [(0, 90, 0), (1, 95, 0), (2, 30, 2)]
+
+
 def test_op3_bitmaps_never_exceed_the_difference():
     rng = np.random.default_rng(5)
     for n in (0, 1, 30, 400, 5000):

@@ -8,8 +8,8 @@
    which turns a large group of near copies into as many candidate pairs as it has members, not their square.
 4. What star rounds have not joined is settled exactly: every pair of classes that share prefix grams and lie in
    different components is a candidate, if it shares as many of them as the similarity demands. Rows of this join
-   are kept only if the places of the gram in both sets, counted without grams that one class alone has, leave room
-   for the overlap that is needed; so a copy with many words of its own meets few of its family. A parity bitmap of
+   are kept only if the places of the gram in both sets leave room for the overlap that is needed; grams ahead of it
+   that no other prefix has don't count, so a copy with many words of its own meets few of its family. A parity bitmap of
    each whole set then bounds from below in how many grams the two differ, which turns away the pairs of a family
    that lie under the limit before the join makes a row of them.
 5. Candidates are verified exactly. The sets compared with one anchor form a trie over the global order; it is walked
@@ -191,7 +191,7 @@ def prefix_overlap_needed(percent: int) -> Column:
 
 
 def room_for_overlap(percent: int) -> Column:
-    """Whether a and b that share a gram with `before` shared grams ahead of it and at most `after` behind it can
+    """Whether a and b that share a gram with `before` shared grams ahead of it and `after` grams behind it can
     reach their overlap: grams ahead of it in one set can't meet grams behind it in the other."""
     most = F.least("before_a", "before_b") + 1 + F.least("after_a", "after_b")
     return most >= overlap_needed(F.col("na"), F.col("nb"), percent)
@@ -288,11 +288,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, stars
     # Grams of two classes at least; a class that several tasks met counts once.
     held = prefix.withColumn("low", F.min("cid").over(together)).withColumn("high", F.max("cid").over(together))
     held = held.where("low <> high").select("gram", "cid", "n", "at").distinct()
-    # The original of a family shares all its grams; an edited copy has some of its own. Those of the prefix that no
-    # other class has (all but `count` of its places) can't be in any overlap.
-    own, whole = Window.partitionBy("cid"), F.col("n") - F.ceil(F.col("n") * percent / 100 - F.lit(1e-9)) + 1
+    # The original of a family shares all its grams; an edited copy has some of its own. A gram ahead of a shared one
+    # lies in the prefixes of both or in no overlap, so `before` counts held grams alone. A gram behind it may lie
+    # behind the other's prefix and still be in the overlap, so `after` counts every place.
+    own = Window.partitionBy("cid")
     held = held.withColumn("share", F.count("*").over(own) / F.col("n")).withColumn("before", F.row_number().over(own.orderBy("at")) - 1)
-    held = stored(held.withColumn("after", F.col("n") - whole + F.count("*").over(own) - F.col("before") - 1).drop("at"), "prefixes")
+    held = stored(held.withColumn("after", F.col("n") - F.col("at") - 1).drop("at"), "prefixes")
     links = held.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)
     roots = None
     for star in range(stars):
