@@ -154,8 +154,19 @@ def w08_window_features(spark, d):
 @query(f"""SELECT p.event_id, count(*) AS n, round(avg(w.value), 6) AS mean, round(stddev_pop(w.value), 6) AS std, min(w.value) AS low, max(w.value) AS high, arg_max(w.value, epoch_us(w.ts)) AS last
 FROM events p JOIN events w ON w.user_id = p.user_id AND epoch_us(w.ts) BETWEEN epoch_us(p.ts) - {3 * DAY} AND epoch_us(p.ts) WHERE p.event_type = 'purchase' GROUP BY p.event_id HAVING count(*) >= 3""")
 def j08_history_features(spark, d):
+    return _history_features(spark, d, "event_type = 'purchase'")
+
+
+@query(f"""SELECT p.event_id, count(*) AS n, round(avg(w.value), 6) AS mean, round(stddev_pop(w.value), 6) AS std, min(w.value) AS low, max(w.value) AS high, arg_max(w.value, epoch_us(w.ts)) AS last
+FROM events p JOIN events w ON w.user_id = p.user_id AND epoch_us(w.ts) BETWEEN epoch_us(p.ts) - {3 * DAY} AND epoch_us(p.ts) GROUP BY p.event_id HAVING count(*) >= 3""")
+def j08_history_features_all(spark, d):
+    return _history_features(spark, d, "true")
+
+
+def _history_features(spark, d, ends):
+    """Features of the three days up to each event that meets `ends`."""
     e = table(spark, d, "events").withColumn("t", ts.micros("ts"))
-    points = e.where("event_type = 'purchase'").select("event_id", "user_id", (F.col("t") - 3 * DAY).alias("a"), F.col("t").alias("b"))
+    points = e.where(ends).select("event_id", "user_id", (F.col("t") - 3 * DAY).alias("a"), F.col("t").alias("b"))
     found = joins.history_join(points, e.select("user_id", "value", "t"), "user_id", "a", "b", "t", 3 * DAY)
     out = found.groupBy("event_id").agg(F.count("*").alias("n"), r6(F.avg("value")).alias("mean"), r6(F.stddev_pop("value")).alias("std"), F.min("value").alias("low"), F.max("value").alias("high"), F.max_by("value", "t").alias("last"))
     return out.where("n >= 3")
@@ -335,8 +346,20 @@ def n03_channel_quality(spark, d):
 JOIN events a ON a.user_id = p.user_id AND epoch_us(a.ts) BETWEEN epoch_us(p.ts) - {3 * DAY} AND epoch_us(p.ts) JOIN events b ON b.user_id = p.user_id AND epoch_us(b.ts) BETWEEN epoch_us(p.ts) - {3 * DAY} AND epoch_us(p.ts) AND a.ts < b.ts
 WHERE p.event_type = 'purchase' GROUP BY p.event_id""")
 def w05_theil_sen(spark, d):
+    return _theil_sen(spark, d, "event_type = 'purchase'")
+
+
+@query(f"""SELECT p.event_id, round(quantile_cont((b.value - a.value) / ((epoch_us(b.ts) - epoch_us(a.ts)) / {DAY}.0), 0.5), 6) AS slope FROM events p
+JOIN events a ON a.user_id = p.user_id AND epoch_us(a.ts) BETWEEN epoch_us(p.ts) - {3 * DAY} AND epoch_us(p.ts) JOIN events b ON b.user_id = p.user_id AND epoch_us(b.ts) BETWEEN epoch_us(p.ts) - {3 * DAY} AND epoch_us(p.ts) AND a.ts < b.ts
+GROUP BY p.event_id""")
+def w05_theil_sen_all(spark, d):
+    return _theil_sen(spark, d, "true")
+
+
+def _theil_sen(spark, d, ends):
+    """Median slope over the pairs of the three days up to each event that meets `ends`."""
     w = Window.partitionBy("user_id").orderBy(ts.micros("ts")).rangeBetween(-3 * DAY, 0)
-    rows = table(spark, d, "events").withColumn("seen", F.collect_list(F.struct(ts.micros("ts").alias("t"), "value")).over(w)).where("event_type = 'purchase'")
+    rows = table(spark, d, "events").withColumn("seen", F.collect_list(F.struct(ts.micros("ts").alias("t"), "value")).over(w)).where(ends)
     a = rows.select("event_id", "seen", F.explode("seen").alias("a")).select("event_id", "a", F.explode("seen").alias("b")).where("a.t < b.t")
     slope = (F.col("b.value") - F.col("a.value")) / ((F.col("b.t") - F.col("a.t")) / F.lit(float(DAY)))
     return a.groupBy("event_id").agg(r6(F.percentile(slope, 0.5)).alias("slope"))
