@@ -223,6 +223,33 @@ def test_op9_scores(spark, docs, empty):
     assert toxicity.score(empty, toxicity.fit(empty, spark.createDataFrame([], "doc_id long, toxic int"))).count() == 0
 
 
+def test_op9_expected_counts_like_enumeration():
+    emission, moves = np.array([-2.0, 0.3, 0, 1.5, 0, 0, 0]), np.array([[0.1, -1.0], [0.3, 0.5]])
+    docs = [([0, 3, 0, 0, 3, 1, 0], 1), ([3, 0, 0, 0], 0), ([0, 0, 1], 1), ([0] * 5, 1), ([3], 1)]
+    off, moved = np.zeros(7), np.zeros((2, 2))
+    for s, toxic in docs:
+        tagged = tuple(int(toxic and k > 0) for k in s)
+        paths = list(itertools.product((0, 1), repeat=len(s)))
+        w = np.array([np.exp(sum(moves[a, b] + b * emission[k] for a, b, k in zip((0, *y), y, s, strict=False))) for y in paths])
+        for y, p in [(tagged, 1.0), *zip(paths, -w / w.sum(), strict=True)]:
+            for a, b, k in zip((0, *y), y, s, strict=False):
+                moved[a, b] += p
+                off[k] += p * b
+    chains = [toxicity.Chain(np.flatnonzero(s), np.array(s)[np.flatnonzero(s)], len(s), t) for s, t in docs]
+    got = toxicity.Chains(chains).gradient(emission, moves)
+    assert np.allclose(got[0], off) and np.allclose(got[1], moved)
+
+
+@pytest.mark.parametrize("clean_words", [1, 60])
+def test_op9_long_documents(spark, clean_words):
+    """All labelled documents, or the toxic ones alone, have more than 1,000 words."""
+    rows = [(i, EN * (60 if i % 3 == 0 else clean_words) + ("you moron and clown" if i % 3 == 0 else "you there"), int(i % 3 == 0)) for i in range(120)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(train, train.select("doc_id", "toxic"))
+    got = toxicity.score(train, model).join(train.select("doc_id", "toxic"), "doc_id").collect()
+    assert all(r.predicted == r.toxic for r in got)
+
+
 def test_op10_top_k(spark):
     rng = np.random.default_rng(5)
     rows = [(int(i), rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(300)] + [(300, None), (301, [1.0, None, 1.0, 1.0]), (302, [float("nan")] * 4), (400, [float("inf")] * 4)]

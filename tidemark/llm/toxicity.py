@@ -140,49 +140,105 @@ def strengths_of(train: DataFrame, toxic: int, clean: int) -> dict[str, int]:
     return {r["word"]: max(1, r["strength"]) for r in rows}
 
 
-class Chains:
-    """Tagged word chains of similar length, padded to one matrix, for expected counts by forward-backward."""
+@dataclass
+class Chain:
+    """A training document: the places and strengths of its words with a strength, how many words it has, its label."""
+
+    at: np.ndarray
+    s: np.ndarray
+    n: int
+    toxic: int
+
+    def moves(self) -> np.ndarray:
+        """How often each state follows each, from a clean word before the first one; toxic words are those at `at`."""
+        if not self.toxic or not len(self.at):
+            return np.array([[self.n, 0], [0, 0]])
+        stay = int((np.diff(self.at) == 1).sum())
+        leave = len(self.at) - stay - int(self.at[-1] == self.n - 1)
+        return np.array([[self.n - len(self.at) - leave, len(self.at) - stay], [leave, stay]])
+
+
+def plain_runs(m: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each length k: m ** k, and its derivatives by the logs of m's four entries, both by one and the same scale.
+
+    Lengths are crossed bit by bit, so a run of any length costs the logarithm of its words."""
+    power, slope = m / m.max(), np.zeros((4, 2, 2))
+    slope.reshape(4, 4)[np.arange(4), np.arange(4)] = power.ravel()
+    p, d, bit = np.tile(np.eye(2), (len(lengths), 1, 1)), np.zeros((len(lengths), 4, 2, 2)), 0
+    while len(lengths) and lengths.max() >> bit:
+        on = (lengths >> bit) & 1 == 1
+        d[on] = p[on][:, None] @ slope + d[on] @ power
+        p[on] = p[on] @ power
+        scale = p.max(axis=(1, 2))
+        p, d = p / scale[:, None, None], d / scale[:, None, None, None]
+        slope = power @ slope + slope @ power
+        power = power @ power
+        slope, power, bit = slope / power.max(), power / power.max(), bit + 1
+    return p, d
 
-    def __init__(self, docs: list[tuple[np.ndarray, int]]):
-        self.length = np.array([len(s) for s, _ in docs])
-        self.s = np.zeros((len(docs), self.length.max()), dtype=np.int64)
-        for row, (s, _) in zip(self.s, docs, strict=True):
-            row[: len(s)] = s
-        self.live = np.arange(self.s.shape[1]) < self.length[:, None]
-        self.y = ((self.s > 0) & np.array([t for _, t in docs], dtype=bool)[:, None]).astype(np.int64)
+
+class Chains:
+    """Tagged chains with similar numbers of hits, padded to one matrix of these, for expected counts by
+    forward-backward. Plain words between hits are crossed by powers of one matrix, so that no length is too long."""
+
+    def __init__(self, docs: list[Chain]):
+        hits = np.array([len(d.at) for d in docs])
+        self.s = np.zeros((len(docs), hits.max()), dtype=np.int64)
+        runs = np.zeros((len(docs), hits.max() + 1), dtype=np.int64)  # plain words ahead of each hit; last, behind all
+        for k, d in enumerate(docs):
+            self.s[k, : len(d.s)] = d.s
+            runs[k, : len(d.at)] = np.diff(d.at, prepend=-1) - 1
+            runs[k, -1] = d.n - 1 - (d.at[-1] if len(d.at) else -1)
+        self.live = np.arange(self.s.shape[1]) < hits[:, None]
+        self.lengths, runs_at = np.unique(runs, return_inverse=True)
+        self.runs = runs_at.reshape(runs.shape)
+        self.seen = sum(d.moves() for d in docs)
+        toxic = self.live & np.array([d.toxic for d in docs], dtype=bool)[:, None]
+        self.tags = np.bincount(self.s[toxic], minlength=STRENGTHS + 1)
 
     def gradient(self, emission: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Observed less expected counts, of emissions by strength and of moves."""
         m, e = np.exp(moves), np.exp(emission)[self.s]
+        p, d = plain_runs(m * np.exp([0.0, emission[0]]), self.lengths)
         n, width = self.s.shape
-        forward = np.empty((width + 1, n, 2))
+        pairs, plain, ones = np.zeros((2, 2)), np.zeros((2, 2)), np.zeros((n, width))
+
+        def cross(t: int, left: np.ndarray, right: np.ndarray, live: np.ndarray) -> np.ndarray:
+            """Add the expected moves within the runs ahead of hit t; returns the weights of the states before them."""
+            run = p[self.runs[:, t]]
+            back = np.einsum("nij,nj->ni", run, right)
+            moved = np.einsum("ni,nkij,nj->nk", left, d[self.runs[:, t]], right) / (left * back).sum(axis=1)[:, None]
+            plain[:] += moved[live].sum(axis=0).reshape(2, 2)
+            return back / back.sum(axis=1, keepdims=True)
+
+        forward, ahead_of = np.empty((width + 1, n, 2)), np.empty((width, n, 2))
         forward[0] = [1.0, 0.0]
         for t in range(width):
-            a = forward[t] @ m
+            ahead_of[t] = np.einsum("ni,nij->nj", forward[t], p[self.runs[:, t]])
+            a = ahead_of[t] @ m
             a[:, 1] *= e[:, t]
             forward[t + 1] = np.where(self.live[:, t, None], a / a.sum(axis=1, keepdims=True), forward[t])
-        beta, pairs, ones = np.ones((n, 2)), np.zeros((2, 2)), np.empty((n, width))
+        beta = cross(width, forward[width], np.ones((n, 2)), np.ones(n, dtype=bool))
         for t in range(width - 1, -1, -1):
+            live = self.live[:, t]
             ahead = beta * np.stack([np.ones(n), e[:, t]], axis=1)
-            both = forward[t][:, :, None] * m * ahead[:, None, :]
+            both = ahead_of[t][:, :, None] * m * ahead[:, None, :]
             both /= both.sum(axis=(1, 2), keepdims=True)
-            both *= self.live[:, t, None, None]
+            both *= live[:, None, None]
             pairs += both.sum(axis=0)
             ones[:, t] = both[:, :, 1].sum(axis=1)
-            back = ahead @ m.T
-            beta = np.where(self.live[:, t, None], back / back.sum(axis=1, keepdims=True), beta)
-        before = np.concatenate([np.zeros((n, 1), np.int64), self.y[:, :-1]], axis=1)
-        seen = np.bincount((before * 2 + self.y)[self.live], minlength=4).reshape(2, 2)
-        off = np.bincount(self.s[self.live], (self.y - ones)[self.live], minlength=STRENGTHS + 1)
-        return off, seen - pairs
+            beta = np.where(live[:, None], cross(t, forward[t], ahead @ m.T, live), beta)
+        off = self.tags - np.bincount(self.s[self.live], ones[self.live], minlength=STRENGTHS + 1)
+        off[0] -= plain[:, 1].sum()
+        return off, self.seen - pairs - plain
 
 
-def fit_field(model: Field, docs: list[tuple[np.ndarray, int]], steps: int = 60, rate: float = 0.4, decay: float = 0.02) -> None:
+def fit_field(model: Field, docs: list[Chain], steps: int = 60, rate: float = 0.4, decay: float = 0.02) -> None:
     """Maximise the tags' likelihood, with a small quadratic penalty, by Adam."""
-    docs = sorted((d for d in docs if len(d[0])), key=lambda d: len(d[0]))
+    docs = sorted((d for d in docs if d.n), key=lambda d: len(d.at))
     size = max(1, -(-len(docs) // 6))
     groups = [Chains(docs[k : k + size]) for k in range(0, len(docs), size)]
-    words = max(1, sum(len(s) for s, _ in docs))
+    words = max(1, sum(d.n for d in docs))
     x, first, second = np.zeros(STRENGTHS + 5), np.zeros(STRENGTHS + 5), np.zeros(STRENGTHS + 5)
     x[0] = -4.0
     for step in range(1, steps + 1):
@@ -205,9 +261,9 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: floa
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: int = 0, sample: int = 1500, longest: int = 1000) -> Field:
+def fit(docs: DataFrame, labels: DataFrame, held_out: int = 0, sample: int = 1500) -> Field:
     """Learn from documents outside the held-out fold. Word counts take all of them; the field and the score's
-    weights about `sample` of either label, of at most `longest` words."""
+    weights about `sample` of either label, of any length."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold() != held_out))
     known = known.groupBy(F.col("doc_id").cast("long").alias("labelled_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -226,17 +282,22 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 0, sample: int = 150
 
     def tags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [[shared.value.get(w, 0) for w in WORD.findall(t.lower())] for t in batch.column(0).to_pylist()]
-            short = [(r, t) for r, t in zip(rows, batch.column(1).to_pylist(), strict=True) if len(r) <= longest]
-            yield pa.record_batch([pa.array([r for r, _ in short], pa.list_(pa.int32())), pa.array([t for _, t in short], pa.int32())], ["strengths", "toxic"])
-
-    chains = [(np.array(r["strengths"], dtype=np.int64), r["toxic"]) for r in some.mapInArrow(tags, "strengths array<int>, toxic int").collect()]
+            rows = []
+            for text in batch.column(0).to_pylist():
+                words = WORD.findall(text.lower())
+                at = [(i, shared.value[w]) for i, w in enumerate(words) if w in shared.value]
+                rows.append(([i for i, _ in at], [k for _, k in at], len(words)))
+            kinds = [pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32()]
+            yield pa.record_batch([*(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)), batch.column(1).cast(pa.int32())], ["at", "strengths", "n", "toxic"])
+
+    rows = some.mapInArrow(tags, "at array<int>, strengths array<int>, n int, toxic int").collect()
+    chains = [Chain(np.array(r["at"], dtype=np.int64), np.array(r["strengths"], dtype=np.int64), r["n"], r["toxic"]) for r in rows]
     if not chains:
         return model
-    chains.sort(key=lambda c: (c[1], len(c[0]), c[0].tobytes()))
+    chains.sort(key=lambda c: (c.toxic, c.n, c.at.tobytes(), c.s.tobytes()))
     fit_field(model, chains)
-    x = np.array([model.features_of([(i, int(s[i])) for i in np.flatnonzero(s)], len(s)) for s, _ in chains])
-    y = np.array([t for _, t in chains])
+    x = np.array([model.features_of(list(zip(c.at.tolist(), c.s.tolist(), strict=True)), c.n) for c in chains])
+    y = np.array([c.toxic for c in chains])
     model.weights = fit_logistic(x, y, np.where(y == 1, one_in[1], one_in[0]).astype(float))
     return model
 
