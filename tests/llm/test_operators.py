@@ -250,6 +250,13 @@ def test_op9_long_documents(spark, clean_words):
     assert all(r.predicted == r.toxic for r in got)
 
 
+def test_op9_rare_words_of_many_documents(spark):
+    """Five toxic documents are enough for a word, however many toxic ones there are."""
+    rows = [(i, "you there moron" + (" clown" if i < 5 else ""), 1) for i in range(4000)] + [(i, "you there", 0) for i in range(4000, 44000)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert set(toxicity.strengths_of(train, 4000, 40000)) == {"moron", "clown"}
+
+
 def test_op10_top_k(spark):
     rng = np.random.default_rng(5)
     rows = [(int(i), rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(300)] + [(300, None), (301, [1.0, None, 1.0, 1.0]), (302, [float("nan")] * 4), (400, [float("inf")] * 4)]

@@ -129,13 +129,13 @@ def word_counts(train: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def strengths_of(train: DataFrame, toxic: int, clean: int) -> dict[str, int]:
-    """Words far commoner in toxic documents. Each stands in 0.2 % of these at least, so that there are at most 500
-    times as many as a toxic document has distinct words, however large the corpus."""
+def strengths_of(train: DataFrame, toxic: int, clean: int, least: int = 5) -> dict[str, int]:
+    """Words far commoner in toxic documents. Each stands in `least` of these, whatever their number: evidence alone
+    decides, so the words may grow in number with the vocabulary of the toxic documents."""
     n, share = F.col("toxic") + F.col("clean"), toxic / (toxic + clean)
     ratio = (F.col("toxic") / toxic) / ((F.col("clean") + 0.5) / clean)
     beyond = (F.col("toxic") - n * share) / F.sqrt(n * share * (1 - share))
-    strong = word_counts(train).where((F.col("toxic") >= max(5, 0.002 * toxic)) & (ratio >= 4) & (beyond >= 5))
+    strong = word_counts(train).where((F.col("toxic") >= least) & (ratio >= 4) & (beyond >= 5))
     rows = strong.select("word", F.least(F.lit(STRENGTHS), F.floor(F.log2(ratio)) - 1).cast("int").alias("strength")).collect()
     return {r["word"]: max(1, r["strength"]) for r in rows}
 
