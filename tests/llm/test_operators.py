@@ -200,6 +200,22 @@ def test_op8_languages(spark, docs, empty):
     assert np.allclose(lower, 1, atol=1e-4)
 
 
+def test_op8_limits_of_rare_languages(spark):
+    """A language of few rows, none or few of them in the scale's sample, has a limit and rejects other texts."""
+    rows = [(i, FR[i % 40 :] if i % 100 == 0 else EN[i % 40 :], "fr" if i % 100 == 0 else "en") for i in range(4000)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(train, sample=100)
+    assert set(model.limits) == {"en", "fr"}
+    known = train.where(language_id.fold() != 2).collect()
+    for k, lang in enumerate(model.languages):
+        found = [model.surprisal(r.text) for r in known if r.lang == lang]
+        own = np.array([bits[k] / n for bits, n, _ in found])
+        median, spread, one = model.limits[lang]
+        assert own.min() <= median <= own.max() and np.isclose((own <= median).mean(), 0.5, atol=0.1)
+        assert np.isclose(spread, max(0.15, own.std())) and np.isclose(one, max(1.0, np.sqrt(np.mean([v for _, _, v in found]))))
+    assert language_id.accepted(spark.createDataFrame([(1, FR), (2, "пьёёё " * 200)], "doc_id long, text string"), model).collect() == [(1, FR)]
+
+
 def test_op9_marginals_like_enumeration():
     f = toxicity.Field({"bad": 3}, np.array([-2.0, 0, 0, 1.5, 0, 0, 0]), np.array([[0.1, -1.0], [0.3, 0.5]]))
     s = [0, 3, 0, 0, 3, 3, 0]

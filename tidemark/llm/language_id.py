@@ -4,8 +4,8 @@ Texts become symbols of a small alphabet: a to z, SHARED classes for all other l
 other characters. Counts of 4-grams per language are taken over all training texts, summed by Spark, and turned into
 one model: a sorted array of the 4-grams seen in any language with the log probability under each, and tables for the
 backoff to 3-grams. The alphabet bounds it: ALPHABET ** 4 entries a language, however large the corpus. A text goes
-to the language of the lowest cross-entropy per symbol. A scale for the score and the limits for rejection are fitted
-on about `sample` training texts.
+to the language of the lowest cross-entropy per symbol. A scale for the score is fitted on about `sample` training
+texts; the limits for rejection are taken over all of them, of which a language needs LEAST with letters at any size.
 
 Edge cases: lang_pred is `und` and score 0 if the text is null or has no letter, or if nothing could be learned; ties
 go to the language that sorts first; rows with a null doc_id or lang are not trained on, but predicted; rows that
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 SHARED = 21
 ALPHABET = 27 + SHARED
 ORDER = 4
+LEAST = 5
 
 
 def fold() -> Column:
@@ -179,6 +180,7 @@ def fit(docs: DataFrame, held_out: int = 2, sample: int = 2000) -> Model:
     one_in = max(1, train.count() // sample)
     some = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).select(F.col("lang").cast("string").alias("lang"), "text")
     calibrate(model, surprisals(some, model).toPandas())
+    model.limits = limits_of(train.select(F.col("lang").cast("string").alias("lang"), "text"), model)
     return model
 
 
@@ -196,7 +198,7 @@ def surprisals(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def calibrate(model: Model, rows: pd.DataFrame) -> None:
-    """Fit the score's scale by likelihood, and each language's usual cross-entropy."""
+    """Fit the score's scale by likelihood."""
     rows = rows[rows["n"] > 0]
     if not len(rows):
         return
@@ -208,13 +210,21 @@ def calibrate(model: Model, rows: pd.DataFrame) -> None:
         return float(np.log2(np.exp2(np.clip(-above * scale, -500, 500)).sum(axis=1)).mean())
 
     model.scale = min((0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 1.0), key=loss)
-    each, n = bits[np.arange(len(bits)), truth] / rows["n"].to_numpy(), rows["n"].to_numpy()
-    for k, lang in enumerate(model.languages):
-        own = each[truth == k]
-        if len(own) >= 5:
-            one = float(np.sqrt(np.mean(rows["variance"].to_numpy()[truth == k])))
-            long = own[n[truth == k] >= 200]
-            model.limits[lang] = (float(np.median(own)), float(max(0.15, (long if len(long) >= 5 else own).std())), max(1.0, one))
+
+
+def limits_of(docs: DataFrame, model: Model) -> dict[str, tuple[float, float, float]]:
+    """Each language's usual cross-entropy, its spread and that of a symbol, over every text of docs (lang, text)."""
+    own = F.element_at("bits", F.array_position(F.array(*map(F.lit, model.languages)), F.col("lang")).cast("int")) / F.col("n")
+    rows = surprisals(docs, model).where("n > 0").select("lang", own.alias("own"), "variance", F.when(F.col("n") >= 200, own).alias("long"))
+    found = rows.groupBy("lang").agg(
+        F.count("*").alias("n"), F.percentile_approx("own", 0.5, 10_000).alias("median"), F.stddev_pop("own").alias("spread"),
+        F.count("long").alias("n_long"), F.stddev_pop("long").alias("spread_long"), F.avg("variance").alias("variance"),
+    )
+    out = {}
+    for r in found.where(F.col("n") >= LEAST).collect():
+        spread = r["spread_long"] if r["n_long"] >= LEAST else r["spread"]
+        out[r["lang"]] = (r["median"], max(0.15, spread), max(1.0, r["variance"] ** 0.5))
+    return out
 
 
 def predictor(model: Model, spark) -> Column:
