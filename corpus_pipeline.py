@@ -1,7 +1,7 @@
 """A corpus pipeline: toxicity, language, exact copies, near copies, packing.
 
-Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept. doc_id tells the documents apart. All
-but the last return the columns of documents as they came, extra ones included; the last returns packed pieces.
+Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept. Rows that share a doc_id are documents of
+their own. All but the last return the columns of documents as they came, extra ones included; the last returns packed pieces.
 Edge cases are those of the operators: null and empty texts are not toxic, have no language (and go), and an empty
 table goes through as an empty table.
 """
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, language_id, ngram_join, packing, toxicity
+from tidemark.llm.rows import ids_repeat, one_of_each
 from tidemark.llm.storage import stored
 
 END_ID, SEQUENCE = 2, 1024
@@ -37,6 +38,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.8 or more on five-word shingles the smallest doc_id stays."""
+    if ids_repeat(docs):
+        linked = lambda rows: ngram_join.jaccard_components(rows, words=5, percent=80).select("doc_id", "component_id")
+        return one_of_each(docs, linked, largest=False)
     near = ngram_join.jaccard_components(docs, words=5, percent=80)
     stays = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
     return docs.join(stays, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")

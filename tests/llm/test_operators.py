@@ -296,5 +296,17 @@ def test_pipeline_stages(spark, docs, empty):
     assert corpus_pipeline.drop_near_copies(spark, corpus_pipeline.drop_copies(spark, empty, ""), "").count() == 0
 
 
+def test_repeated_doc_ids_leave_one_row_of_each_text(spark):
+    near = EN * 30
+    rows = [(1, near), (1, near), (1, FR * 9), (2, near), (2, near + "end"), (None, FR * 9), (3, "alone"), (3, "other")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, row long").repartition(3)
+    exact = corpus_pipeline.drop_copies(spark, df, "")
+    assert exact.columns == df.columns
+    assert sorted((r.doc_id, r.text) for r in exact.collect()) == sorted([(2, near), (2, near + "end"), (1, FR * 9), (3, "alone"), (3, "other")])
+    left = corpus_pipeline.drop_near_copies(spark, df, "")
+    assert left.columns == df.columns
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == sorted([(1, near), (1, FR * 9), (3, "alone"), (3, "other")])
+
+
 def test_every_operator_is_a_query():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()] == list(range(1, 11))

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rows import ids_repeat, one_of_each
 from .storage import stored
 
 
@@ -44,6 +45,8 @@ def exact_duplicates(docs: DataFrame, salts: int = 16, keep: str = "largest") ->
 
 
 def deduplicated(docs: DataFrame, salts: int = 16) -> DataFrame:
-    """The rows of docs that stay, with all their columns; doc_id has to tell the rows apart."""
+    """The rows of docs that stay, with all their columns: one of each text, also where a doc_id repeats."""
+    if ids_repeat(docs):
+        return one_of_each(docs, lambda rows: exact_duplicates(rows, salts).select("doc_id", "keep_id"), largest=True)
     stays = exact_duplicates(docs, salts).where("kept").select(F.col("doc_id").alias("kept_id"))
     return docs.join(stays, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
