@@ -6,8 +6,9 @@ levels of bitmaps above it, find the lowest rank that has work by find-first-set
 position is gone or now begins another pair, and is skipped then. A word of n bytes costs O(n) queue steps, so that
 words of a million bytes are no different from short ones.
 
-Edge cases: null and empty texts have no ids; every text decodes to its own bytes; rows that share a doc_id stay
-separate rows; an empty table gives no rows; other columns are not read.
+Edge cases: null and empty texts have no ids; every text of any length decodes to its own bytes; rows that share a
+doc_id, equal ones too, and rows with a null doc_id stay separate rows; an empty table gives no rows; other columns,
+of whatever name, are not read.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encoding import SPACED, UNUSUAL
+from .encoding import SPACED, UNUSUAL, probes
 
-CACHED_WORDS = 600_000
+#: Words that a worker remembers, and the longest of them in characters, so that the cache is bounded in bytes.
+CACHED_WORDS, LONGEST_CACHED = 600_000, 64
 
 
 class RankQueue:
@@ -75,10 +77,12 @@ class ByteBpe:
         # (left id << 32 | right id) -> rank, filled as pairs are met: a pair's rank is that of its joined bytes.
         self.ranks, self.pairs = ranks, {}
         self.pattern = regex.compile(pattern)
+        # The short pattern serves plain texts if it splits every plain character as the given one does.
+        self.short = all(SPACED.findall(t) == self.pattern.findall(t) for t in probes())
         self.words: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
-        return (SPACED.findall if UNUSUAL.search(text) is None else self.pattern.findall)(text)
+        return (SPACED.findall if self.short and UNUSUAL.search(text) is None else self.pattern.findall)(text)
 
     def merge(self, words: list[str]) -> list[bytes]:
         """The ids of each word as little-endian unsigned 32-bit integers."""
@@ -153,7 +157,7 @@ class ByteBpe:
         return rank
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; words are merged once a batch and remembered."""
+        """The ids of each text; words are merged once a batch, and the shorter ones are remembered."""
         split = [self.split(t) for t in texts]
         known = self.words
         new = list({w for words in split for w in words if w not in known})
@@ -163,7 +167,11 @@ class ByteBpe:
         for at in range(0, len(new), 500):
             part = new[at : at + 500]
             known.update(zip(part, self.merge(part), strict=True))
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        for w in new:
+            if len(w) > LONGEST_CACHED:
+                del known[w]
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))

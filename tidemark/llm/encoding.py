@@ -14,7 +14,9 @@ from array import array
 
 import numpy as np
 
-LETTERS = "a-zA-ZÀ-ÖØ-įı-ɏ"  # U+0130 is left out: its lower case is two characters
+#: Left out are U+00D7 and U+00F7, which are no letters, U+0130, whose lower case is two characters, and all from
+#: U+0180 on, as the lower case of some of these lies further on.
+LETTERS = "a-zA-ZÀ-ÖØ-öø-įı-ſ"
 MARKS = r"!-/:-@\[-`{-~¡¿«»§©®°·–—‘’“”…•€"
 #: A character outside those that split and normalise alike in `re` and in the library.
 UNUSUAL = re.compile(rf"[^\t\n\r 0-9{LETTERS}{MARKS}]")
@@ -31,6 +33,16 @@ def byte_characters() -> list[str]:
     return [shown[b] for b in range(256)]
 
 
+def plain_characters() -> list[str]:
+    return [c for c in map(chr, range(0x3000)) if UNUSUAL.match(c) is None]
+
+
+def probes() -> list[str]:
+    """Short texts that hold each plain character next to each kind of neighbour."""
+    around = ["{}", "a{}b", "É{}é", "1{}2", "!{}?", " {} ", "\n{}\t", "'{}", "'t{}s", "a{}'ll", "{0}{0}", "x {0}{0} {0}9"]
+    return [form.format(c) for c in plain_characters() for form in around]
+
+
 class Words(dict):
     """word -> its ids as little-endian unsigned 32-bit integers; holds CACHED_WORDS at most."""
 
@@ -71,10 +83,13 @@ class Encoder:
         return [t.id for t in self.model.tokenize(shown)]
 
     def _splits_as_expected(self) -> bool:
-        sample = "It's 20 o'CLOCK,  she'll pay 3.50 \n\n for «Größe» — naïve\tcafé's! "
-        whole = self.library.encode(sample, add_special_tokens=False).ids
-        parts = self.pattern.findall(sample.lower() if self.lower else sample)
-        return whole == [i for part in parts for i in self.word_ids(part)]
+        texts = [*probes(), "It's 20 o'CLOCK,  she'll pay 3.50 \n\n for «Größe» — naïve\tcafé's! "]
+        whole = self.library.encode_batch(texts, add_special_tokens=False)
+        return all(w.ids == [i for part in self.split(t) for i in self.word_ids(part)] for t, w in zip(texts, whole, strict=True))
+
+    def split(self, text: str) -> list[str]:
+        """The words of a text of plain characters."""
+        return self.pattern.findall(text.lower() if self.lower else text)
 
     def plain(self, text: str) -> bool:
         return self.splits and UNUSUAL.search(text) is None and not any(s in text for s in self.special)
@@ -84,8 +99,7 @@ class Encoder:
         if not text:
             return b""
         if self.plain(text):
-            words = self.pattern.findall(text.lower() if self.lower else text)
-            return b"".join(map(self.words.__getitem__, words))
+            return b"".join(map(self.words.__getitem__, self.split(text)))
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 

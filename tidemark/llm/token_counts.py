@@ -6,8 +6,12 @@ splitter of the vocabulary never joins text across a blank and merges each word
 of such a place are those of the whole text. The last such place in the overlap is taken. Where the overlap has none
 (a text without blanks), it is doubled, up to the rest of the text.
 
-Edge cases: null and empty texts have no bytes and no tokens; rows that share a doc_id stay separate rows; an empty
-table gives no rows; other columns are not read.
+A text of one chunk or less needs no splicing: its tokens are counted in one piece. That is most texts of a usual
+corpus; what the chunks bound is the memory that the offsets of a huge text take.
+
+Edge cases: null and empty texts have no bytes and no tokens; texts of any length are counted whole; rows that share a
+doc_id, equal ones too, and rows with a null doc_id stay separate rows; an empty table gives no rows; other columns,
+of whatever name, are not read.
 """
 
 from __future__ import annotations
@@ -20,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encoding import Encoder, encoder
+from .encoding import LETTERS, Encoder, encoder
 
 CHUNK, OVERLAP = 32_768, 512
-BLANK = re.compile(r"(?<=[ \t\n\r])[0-9A-Za-zÀ-ÖØ-öø-ɏ]")
+BLANK = re.compile(rf"(?<=[ \t\n\r])[0-9{LETTERS}]")
 #: The longest special string is shorter than this; a cut inside one is then within the overlap.
 Starts = tuple[np.ndarray, np.ndarray]
 

@@ -2,8 +2,11 @@
 
 Documents are range-partitioned on doc_id, so each file holds one range of ids in ascending order. ORC's stripe and
 row-group statistics then bound doc_id tightly, the Bloom filters answer point lookups, and Spark reads stripes in
-parallel. Edge cases: a null text counts as empty and holds the end id alone; rows that share a doc_id stay separate
-rows beside each other; a null doc_id sorts first; an empty table gives no rows; other columns are not read.
+parallel.
+
+Edge cases: a null text counts as empty and holds the end id alone; texts of any length are one row; rows that share a
+doc_id, equal ones too, stay separate rows beside each other; a null doc_id sorts first; an empty table gives no rows;
+other columns, of whatever name, are not read.
 """
 
 from __future__ import annotations
