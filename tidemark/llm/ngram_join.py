@@ -1,9 +1,10 @@
 """Exact Jaccard join on word n-gram sets by a prefix-tree join.
 
 1. One pass turns each text into its set of n-gram hashes. Texts with the same set form a class; from here on the
-   join works on classes, so exact copies cost nothing.
-2. N-grams that many documents hold are counted per task and summed; they go last in the global order. Two sets of
-   the wanted similarity share a gram within their prefixes (the first n - ceil(t n) + 1 grams in that order).
+   join works on classes, so exact copies cost nothing. A class is told by two 64-bit hashes of its set.
+2. N-grams that many documents hold are counted per task and summed; the 2^18 commonest go last in the global order,
+   by their counts. Within it each n-gram is a number, so that sets, prefixes and tries are plain sorted numbers. Two
+   sets of the wanted similarity share a gram within their prefixes (the first n - ceil(t n) + 1 grams in that order).
 3. Prefix grams that only one class has are dropped. Star rounds then link each class of a gram to one anchor of it,
    which turns a large group of near copies into as many candidate pairs as it has members, not their square.
 4. What star rounds have not joined is settled exactly: every pair of classes that share prefix grams and lie in
@@ -16,28 +17,39 @@
    once, partial overlaps are shared along the common paths, and subtrees are pruned by remaining-length bounds.
    An anchor with many candidates is split into chunks of bounded size.
 
+Hot keys: a gram of very many classes is one of the common ones, so what is found out about it (its anchor, its
+roots) is a row of a broadcast table of at most 2^18, and its rows are dealt among tasks; joins on a class or a
+component deal the rows of a large one among tasks.
+
 Edge cases: null and empty texts, or texts without a word, have an empty set and link with nothing; a text of fewer
-words than n is one gram; rows that share a doc_id are separate documents with one id; a null doc_id counts as the
-largest; an empty table gives no rows; other columns are not read.
+words than n is one gram; texts of any length are taken whole; rows that share a doc_id, equal ones too, are separate
+documents with one id; a null doc_id counts as the largest; an empty table gives no rows; other columns, of whatever
+name, are not read.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import stored
+from .spread import spread_join
+from .storage import release, stored
 
 BASE, INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 BLOCK = 256  # candidates of one trie
-SETS = "doc_id long, cid long, n long, grams array<long>, bits array<long>, common array<long>, counts array<long>"
+HOT = 1000  # classes of a gram whose rows are dealt among tasks
+PAIRED = 1024  # classes of one gram that one task of the last join takes
+FIRST_COMMON = 1 << 62  # n-grams are numbers below, common ones in their order from here on
+SETS = "doc_id long, cid long, other long, n long, grams array<long>, bits array<long>, common array<long>, counts array<long>"
 WORDS = 8  # longs of a parity bitmap
 
 
@@ -54,7 +66,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 def gram_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
-    """The sorted distinct 64-bit hashes of each text's word n-grams."""
+    """The sorted distinct 62-bit hashes of each text's word n-grams."""
     data = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]  # bytes.lower: A-Z only
     flat = np.frombuffer(b"\n".join([b"", *data, b""]), dtype=np.uint8)
     gap = (flat == 32) | ((flat >= 9) & (flat <= 13))
@@ -71,12 +83,12 @@ def gram_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= words:
-            out.append(np.unique(gram[a : b - words + 1].view(np.int64)))
+            out.append(np.unique(gram[a : b - words + 1] >> np.uint64(2)).view(np.int64))
         else:
             short = np.array([b - a], dtype=np.uint64)
             for k in range(a, b):
                 short = mix(short + word[k])
-            out.append(short.view(np.int64)[: b - a])
+            out.append((short >> np.uint64(2)).view(np.int64)[: b - a])
     return out
 
 
@@ -87,20 +99,28 @@ def parities(grams: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def class_of(grams: np.ndarray, seed: int = 0) -> int | None:
+    """A hash of the set, or None if it is empty."""
+    if not len(grams):
+        return None
+    total = mix(grams.view(np.uint64) ^ mix(np.array([seed], np.uint64))).sum(dtype=np.uint64) + np.uint64(len(grams))
+    return int(mix(np.array([total]))[0].astype(np.int64))
+
+
 def sets_of(docs: DataFrame, words: int, often: int = 2) -> DataFrame:
     """A row per document with its class and size, the set itself where the task meets the class first, and a row
     per task with the grams that at least `often` of its classes hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple] = set()
         pending: list[np.ndarray] = []
         held, common = 0, defaultdict(int)
 
-        def row(doc: list, cid: list, n: list, grams: list, extra: tuple | None = None) -> pa.RecordBatch:
-            kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 4
+        def row(doc: list, cid: list, other: list, n: list, grams: list, extra: tuple | None = None) -> pa.RecordBatch:
+            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 4
             e = extra or ([None] * len(doc), [None] * len(doc))
             bits = [None if g is None else parities(g) for g in grams]
-            return pa.record_batch([pa.array(c, k) for c, k in zip((doc, cid, n, grams, bits, *e), kinds, strict=True)], ["doc_id", "cid", "n", "grams", "bits", "common", "counts"])
+            return pa.record_batch([pa.array(c, k) for c, k in zip((doc, cid, other, n, grams, bits, *e), kinds, strict=True)], ["doc_id", "cid", "other", "n", "grams", "bits", "common", "counts"])
 
         def tally() -> None:
             if pending:
@@ -113,71 +133,110 @@ def sets_of(docs: DataFrame, words: int, often: int = 2) -> DataFrame:
             for at in range(0, batch.num_rows, 400):
                 part = batch.slice(at, 400)
                 sets = gram_sets(part.column(1).to_pylist(), words)
-                cids, kept = [], []
+                cids, others, kept = [], [], []
                 for s in sets:
-                    cid = int(mix(np.array([mix(s.view(np.uint64)).sum(dtype=np.uint64) + np.uint64(len(s))]))[0].astype(np.int64)) if len(s) else None
-                    new = cid is not None and cid not in seen
+                    cid, other = class_of(s), class_of(s, 1)
+                    new = cid is not None and (cid, other) not in seen
                     if new:
-                        seen.add(cid)
+                        seen.add((cid, other))
                         pending.append(s)
                         held += len(s)
                     cids.append(cid)
+                    others.append(other)
                     kept.append(s if new else None)
-                yield row(part.column(0).to_pylist(), cids, [len(s) for s in sets], kept)
+                yield row(part.column(0).to_pylist(), cids, others, [len(s) for s in sets], kept)
                 if held > 4_000_000:
                     tally()
                     held = 0
         tally()
-        yield row([None], [None], [None], [None], ([list(common)], [list(common.values())]))
+        yield row([None], [None], [None], [None], [None], ([list(common)], [list(common.values())]))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, SETS)
 
 
-def common_grams(sets: DataFrame, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
-    """Grams that many classes hold, ascending, and their counts: only the order of grams depends on them.
+def told_apart(sets: DataFrame) -> DataFrame:
+    """sets with another cid for classes that share one by chance: about one pair in 2^64 does, so they may be broadcast."""
+    clash = sets.where("cid is not null").groupBy("cid").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low <> high")
+    if clash.isEmpty():
+        return sets
+    clash = F.broadcast(clash.select(F.col("cid").alias("clash")))
+    mixed = F.when(F.col("clash").isNotNull(), F.xxhash64("cid", "other")).otherwise(F.col("cid"))
+    return sets.join(clash, F.col("cid") == F.col("clash"), "left").withColumn("cid", mixed).drop("clash")
+
+
+def last_fitting(rows: DataFrame, key: Column, low: int, high: int, room: int, parts: int = 4096) -> tuple[int, int]:
+    """(b, room left): the rows with a key over b, of low to high, fit into `room`, those from b on do not."""
+    while True:
+        width = -(-(high - low + 1) // parts)
+        sizes = rows.where(key.between(low, high)).groupBy(F.floor((key - low) / width).alias("part")).count().collect()  # at most `parts` rows
+        for r in sorted(sizes, key=lambda r: -r["part"]):
+            if r["count"] > room:
+                low, high = low + r["part"] * width, min(high, low + (r["part"] + 1) * width - 1)
+                break
+            room -= r["count"]
+        else:
+            return low - 1, room
+        if low == high:
+            return low, room
 
-    The least count asked for is the lowest that at most `most` grams reach, so that what tasks get has a bound.
-    """
+
+def common_grams(sets: DataFrame, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """The `most` grams that most classes hold and their counts, by ascending count; of those that tie for the last
+    places some, by a hash. Only the order of grams depends on them."""
     pairs = sets.where("common is not null").select(F.explode(F.arrays_zip("common", "counts")).alias("p")).select("p.common", "p.counts")
     found = stored(pairs.groupBy("common").agg(F.sum("counts").alias("n")), "common")
-    held, least = 0, 1 << 62
-    for row in found.groupBy(F.least("n", F.lit(4096)).alias("n")).count().orderBy(F.desc("n")).collect():
-        held += row["count"]
-        if held > most:
-            break
-        least = row["n"]
-    rows = found.where(F.col("n") >= least).toPandas().sort_values("common")
+    few, top, n, by_hash = found, found.agg(F.max("n")).first()[0], F.col("n"), F.pmod(F.xxhash64("common"), F.lit(1 << 40))
+    if found.count() > most:
+        least, room = last_fitting(found, n, 1, top, most)
+        beyond, _ = last_fitting(found.where(n == least), by_hash, 0, (1 << 40) - 1, room)
+        few = found.where((n > least) | ((n == least) & (by_hash > beyond)))
+    rows = few.toPandas().sort_values(["n", "common"])
+    release(found)
     return rows["common"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
 
 
-def prefixes(sets: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
-    """gram, cid, n, at for each gram of a class's prefix; at is its place there."""
-    shared = sets.sparkSession.sparkContext.broadcast(common)
+class Order:
+    """The global order: each gram as the number of its place."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray):
+        self.by_gram = np.argsort(grams)
+        self.grams, self.counts = grams[self.by_gram], counts
+
+    def places(self, grams: np.ndarray) -> np.ndarray:
+        if not len(self.grams):
+            return grams
+        at = np.searchsorted(self.grams, grams)
+        at[at == len(self.grams)] = 0
+        return np.where(self.grams[at] == grams, FIRST_COMMON + self.by_gram[at], grams)
+
+    def hot(self, places: np.ndarray) -> np.ndarray:
+        common = places >= FIRST_COMMON
+        out = np.zeros(len(places), dtype=bool)
+        out[common] = self.counts[places[common] - FIRST_COMMON] >= HOT
+        return out
+
+
+def prefixes(sets: DataFrame, order: Broadcast, percent: int) -> DataFrame:
+    """gram, cid, n, at, hot for each gram of a class's prefix; at is its place there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, counts = shared.value
         for batch in batches:
             lists = batch.column(2)
-            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-            at = np.searchsorted(grams, flat)
-            at[at == len(grams)] = 0
-            often = np.where(grams[at] == flat, counts[at], 0) if len(grams) else np.zeros(len(flat), np.int64)
-            out, sizes, places = [], [], []
+            ends, flat = lists.offsets.to_numpy(), order.value.places(lists.values.to_numpy(zero_copy_only=False))
+            out = []
             for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                s, o, n = flat[a:b], often[a:b], b - a
-                p = n - (percent * n + 99) // 100 + 1
-                if o.any():
-                    s = s[np.lexsort((s, o))]
-                out.append(s[:p])
-                sizes.append(len(out[-1]))
-                places.append(np.arange(sizes[-1]))
+                n = b - a
+                out.append(np.sort(flat[a:b])[: n - (percent * n + 99) // 100 + 1])
+            sizes = [len(p) for p in out]
             cid, n = (np.repeat(batch.column(k).to_numpy(), sizes) for k in (0, 1))
-            whole, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out, places))
+            whole = np.concatenate(out) if out else np.zeros(0, np.int64)
+            place = np.arange(len(whole)) - np.repeat(np.cumsum([0, *sizes[:-1]]), sizes) if sizes else whole
+            hot = order.value.hot(whole)
             for k in range(0, len(whole), 500_000):
-                yield pa.record_batch([pa.array(x[k : k + 500_000]) for x in (whole, cid, n, place)], ["gram", "cid", "n", "at"])
+                yield pa.record_batch([pa.array(x[k : k + 500_000]) for x in (whole, cid, n, place, hot)], ["gram", "cid", "n", "at", "hot"])
 
-    return sets.where("grams is not null").select("cid", "n", "grams").mapInArrow(run, "gram long, cid long, n long, at long")
+    return sets.where("grams is not null").select("cid", "n", "grams").mapInArrow(run, "gram long, cid long, n long, at long, hot boolean")
 
 
 def overlap_needed(na: Column, nb: Column, percent: int) -> Column:
@@ -208,12 +267,12 @@ def alike_sizes(percent: int) -> Column:
 
 
 def walk_trie(anchor: np.ndarray, sets: list[np.ndarray], percent: int) -> list[int]:
-    """Places in sets of those that are similar enough to anchor.
+    """Places in sets of those that are similar enough to anchor; all are ascending places of the global order.
 
     The trie is implied by the sorted order of the sets: a range of them is a subtree, and what its first and last
     set have in common is the path to it.
     """
-    order = sorted(range(len(sets)), key=lambda i: (sets[i] ^ np.int64(-(2**63))).astype(">i8").tobytes())
+    order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">i8").tobytes())
     rows, na, found = [sets[i] for i in order], len(anchor), []
     needed = lambda nb: -(-percent * (na + nb) // (100 + percent))
 
@@ -245,7 +304,7 @@ def walk_trie(anchor: np.ndarray, sets: list[np.ndarray], percent: int) -> list[
     return found
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, order: Broadcast, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough; a is the anchor."""
     spark = pairs.sparkSession
     width = 26
@@ -264,8 +323,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return pd.Series((shared.value[x >> 5] >> (x & 31).astype(np.uint32)) & 1 == 1)
 
     some = sets.where("grams is not null").select("cid", "grams").where(may_hold(place))
-    chunked = pairs.select("a", "b", F.pmod(F.xxhash64("b", "a"), F.greatest(F.lit(1), F.ceil(F.count("*").over(Window.partitionBy("a")) / BLOCK))).alias("chunk"))
-    chunked = stored(chunked, "pairs")
+    # Candidates of an anchor go into as many chunks as bound them.
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("chunks"))
+    chunked = stored(spread_join(pairs, sizes, "a", "b").select("a", "b", F.pmod(F.xxhash64("b", "a"), F.col("chunks")).alias("chunk")), "pairs")
     sides = chunked.select("a", "chunk", F.col("b").alias("cid")).union(chunked.select("a", "chunk", F.col("a").alias("cid")).distinct())
     # A class that several tasks met has as many equal sets: first() of a group takes one of them.
     rows = sides.join(some.groupBy("cid").agg(F.first("grams").alias("grams")), "cid")
@@ -274,62 +334,95 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         a = group["a"].iloc[0]
         own = group["cid"] == a
         rest = group[~own]
-        keep = walk_trie(group["grams"][own].iloc[0], list(rest["grams"]), percent) if len(rest) else []
+        ordered = lambda g: np.sort(order.value.places(np.asarray(g)))
+        keep = walk_trie(ordered(group["grams"][own].iloc[0]), [ordered(g) for g in rest["grams"]], percent) if len(rest) else []
         return pd.DataFrame({"a": a, "b": rest["cid"].to_numpy()[keep]}).astype("int64")
 
-    return rows.groupBy("a", "chunk").applyInPandas(compare, "a long, b long")
+    found = stored(rows.groupBy("a", "chunk").applyInPandas(compare, "a long, b long"), "links")
+    release(chunked)
+    return found
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, stars: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
-    sets = stored(sets_of(docs, words), "sets")
-    together = Window.partitionBy("gram")
-    prefix = prefixes(sets, common_grams(sets), percent)
-    # Grams of two classes at least; a class that several tasks met counts once.
-    held = prefix.withColumn("low", F.min("cid").over(together)).withColumn("high", F.max("cid").over(together))
-    held = held.where("low <> high").select("gram", "cid", "n", "at").distinct()
+def held_prefixes(sets: DataFrame, order: Broadcast, percent: int) -> DataFrame:
+    """gram, cid, n, hot, share, before, after: the prefix grams that two classes at least have."""
+    prefix, together = prefixes(sets, order, percent), Window.partitionBy("gram")
+    # A hot gram is one of many classes; a class that several tasks met counts once.
+    cold = prefix.where("not hot").withColumn("low", F.min("cid").over(together)).withColumn("high", F.max("cid").over(together))
+    held = cold.where("low <> high").select(prefix.columns).distinct().union(prefix.where("hot").distinct())
     # The original of a family shares all its grams; an edited copy has some of its own. A gram ahead of a shared one
     # lies in the prefixes of both or in no overlap, so `before` counts held grams alone. A gram behind it may lie
     # behind the other's prefix and still be in the overlap, so `after` counts every place.
     own = Window.partitionBy("cid")
     held = held.withColumn("share", F.count("*").over(own) / F.col("n")).withColumn("before", F.row_number().over(own.orderBy("at")) - 1)
-    held = stored(held.withColumn("after", F.col("n") - F.col("at") - 1).drop("at"), "prefixes")
-    links = held.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)
-    roots = None
-    for star in range(stars):
-        # Of each component one member in a gram, and one of these is the anchor of the others: first the one that
-        # shares most of its grams, later one by chance.
-        seats = held.withColumn("root", F.col("cid")) if roots is None else rooted(held, roots)
-        first = F.xxhash64("cid", F.lit(star)) if star else -F.col("share")
-        one = seats.groupBy("gram", "root").agg(F.min(F.struct(first.alias("key"), "cid", "n")).alias("m"))
-        one = one.select("gram", "m.cid", "m.n", F.min("m").over(together).alias("anchor"))
-        pairs = one.select(F.col("anchor.cid").alias("a"), F.col("anchor.n").alias("na"), F.col("cid").alias("b"), F.col("n").alias("nb")).where(F.col("a") != F.col("b")).where(alike_sizes(percent))
-        # Half of the shared grams is enough here: a gram may have had another anchor.
-        pairs = pairs.groupBy("a", "b", "na", "nb").count().where(F.col("count") * 2 >= prefix_overlap_needed(percent))
-        new = stored(verified(stored(pairs.select("a", "b"), "pairs"), sets, percent), "links")
-        if new.isEmpty():
-            break
-        links = links.union(new)
-        roots = stored(connected_components(links), "roots")
-    # Exact: all pairs that share a prefix gram across components.
-    seats = held.withColumn("root", F.col("cid")) if roots is None else rooted(held, roots)
-    seats = seats.withColumn("low", F.min("root").over(together)).withColumn("high", F.max("root").over(together)).where("low <> high")
+    return stored(held.withColumn("after", F.col("n") - F.col("at") - 1).drop("at"), "prefixes")
+
+
+def star_pairs(seats: DataFrame, star: int, percent: int) -> DataFrame:
+    """Candidates (a, b): of each component one member in a gram, and one of these is the anchor a of the others:
+    first the one that shares most of its grams, later one by chance."""
+    first = F.xxhash64("cid", F.lit(star)) if star else -F.col("share")
+    one = seats.groupBy("gram", "hot", "root").agg(F.min(F.struct(first.alias("key"), "cid", "n")).alias("m"))
+    cold = one.where("not hot").select("gram", "m", F.min("m").over(Window.partitionBy("gram")).alias("anchor"))
+    hot = one.where("hot")  # of at most as many grams as are common
+    hot = hot.join(F.broadcast(hot.groupBy("gram").agg(F.min("m").alias("anchor"))), "gram").select("gram", "m", "anchor")
+    pairs = cold.union(hot).select(F.col("anchor.cid").alias("a"), F.col("anchor.n").alias("na"), F.col("m.cid").alias("b"), F.col("m.n").alias("nb"))
+    pairs = pairs.where(F.col("a") != F.col("b")).where(alike_sizes(percent))
+    # Half of the shared grams is enough here: a gram may have had another anchor.
+    pairs = pairs.groupBy("a", "b", "na", "nb").count().where(F.col("count") * 2 >= prefix_overlap_needed(percent))
+    return stored(pairs.select("a", "b"), "pairs")
+
+
+def remaining_pairs(seats: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b): all classes of different components that share prefix grams enough."""
+    together = Window.partitionBy("gram")
+    low, high = F.min("root"), F.max("root")
+    cold = seats.where("not hot").withColumn("low", low.over(together)).withColumn("high", high.over(together)).where("low <> high")
+    cold = cold.drop("low", "high").withColumn("blocks", F.lit(1).cast("long"))
+    hot = seats.where("hot")
+    stats = hot.groupBy("gram").agg(low.alias("low"), high.alias("high"), F.ceil(F.count("*") / PAIRED).alias("blocks")).where("low <> high")
+    hot = hot.join(F.broadcast(stats.drop("low", "high")), "gram").select(cold.columns)
     # A class that several tasks met has as many equal bitmaps.
     bits = sets.where("bits is not null").groupBy("cid").agg(F.first("bits").alias("bits"))
-    seats = stored(seats.select("gram", "cid", "n", "root", "before", "after").join(bits, "cid"), "seats")
-    side = lambda x: seats.select("gram", F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"root_{x}"), F.col("before").alias(f"before_{x}"), F.col("after").alias(f"after_{x}"), F.col("bits").alias(f"bits_{x}"))
-    pairs = side("a").join(side("b"), "gram").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))).where(alike_sizes(percent) & room_for_overlap(percent) & few_differences(percent))
+    left = stored(cold.union(hot).drop("share", "hot").join(bits, "cid"), "seats")
+    side = lambda x, block: left.select("gram", block.alias("block"), *(F.col(c).alias(f"{c}_{x}") for c in ("root", "before", "after", "bits")), F.col("cid").alias(x), F.col("n").alias(f"n{x}"))
+    # Classes of a hot gram are dealt into blocks; each class meets every block.
+    one, other = side("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))), side("b", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+    pairs = one.join(other, ["gram", "block"]).where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))).where(alike_sizes(percent) & room_for_overlap(percent) & few_differences(percent))
     pairs = pairs.groupBy("a", "b", "na", "nb").count().where(F.col("count") >= prefix_overlap_needed(percent))
-    new = stored(verified(stored(pairs.select("a", "b"), "pairs"), sets, percent), "links")
-    if not new.isEmpty():
-        roots = stored(connected_components(links.union(new)), "roots")
+    found = stored(pairs.select("a", "b"), "pairs")
+    release(left)
+    return found
+
+
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, stars: int = 2) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    written = stored(sets_of(docs, words), "sets")
+    sets = told_apart(written)
+    order = docs.sparkSession.sparkContext.broadcast(Order(*common_grams(sets)))
+    held = held_prefixes(sets, order, percent)
+    links, roots = [], None
+    for star in range(stars + 1):
+        seats = held.withColumn("root", F.col("cid")) if roots is None else rooted(held, roots)
+        pairs = star_pairs(seats, star, percent) if star < stars else remaining_pairs(seats, sets, percent)
+        new = verified(pairs, sets, order, percent)
+        release(pairs)
+        if new.isEmpty():
+            continue
+        links.append(new)
+        old, roots = roots, stored(connected_components(reduce(DataFrame.union, links)), "roots")
+        if old is not None:
+            release(old)
+    release(held, *links)
     rows = sets.where("n is not null").select("doc_id", "cid", F.col("n").alias("n_shingles"))
     if roots is None:
-        named = rows.select("*", F.col("cid").alias("root"))
+        named = stored(rows.select("*", F.col("cid").alias("root")), "named")
     else:
-        named = rooted(rows, roots)
+        found = spread_join(rows, roots.select(F.col("node").alias("cid"), F.col("root").alias("found")), "cid", "doc_id", "left")
+        named = stored(found.select(*rows.columns, F.coalesce("found", "cid").alias("root")), "named")
+        release(roots)
+    release(written)
     least = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return spread_join(named, least, "root", "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
