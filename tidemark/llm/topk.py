@@ -1,7 +1,8 @@
 """Exact top-k inner products: tiles of queries and shards, partial selection in each, a tree of merges.
 
 Candidates are dealt into shards and queries into blocks, both of bounded size and by hash, so that no tile grows
-with the table. Each (block, shard) pair is one tile: a matrix product in doubles, exact because a tile checks that
+with the table. A vector is shuffled once per block of queries, so blocks are as large as a task can hold (32,768 rows);
+within a tile queries go 256 at a time. Each (block, shard) pair is one tile: a matrix product in doubles, exact because a tile checks that
 no sum can reach 2^53 (a tile that could goes through Python integers instead). A tile keeps its k best a query; the
 lists of 16 shards are merged at a time until one is left.
 
@@ -61,7 +62,7 @@ def _matrix(v: pd.Series, width: int) -> np.ndarray:
     return out
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = 8192, block_rows: int = 4096) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = 16384, block_rows: int = 32768) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k best among vectors (both vec_id, v)."""
     vectors, queries = stored(vectors, "vectors"), stored(queries.distinct(), "queries")
     shards = max(1, -(-vectors.count() // shard_rows))
