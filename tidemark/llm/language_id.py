@@ -4,12 +4,18 @@ Texts become symbols of a small alphabet: a to z, SHARED classes for all other l
 other characters. Counts of 4-grams per language are taken over all training texts, summed by Spark, and turned into
 one model: a sorted array of the 4-grams seen in any language with the log probability under each, and tables for the
 backoff to 3-grams. The alphabet bounds it: ALPHABET ** 4 entries a language, however large the corpus. A text goes
-to the language of the lowest cross-entropy per symbol. A scale for the score is fitted on about `sample` training
-texts; the limits for rejection are taken over all of them, of which a language needs LEAST with letters at any size.
+to the language of the lowest cross-entropy per symbol.
+
+Calibration: the counts are also kept by halves of the training texts, and a model of one half tells the cross-entropy
+of the texts of the other, so that no text is measured by a model that has seen it. From these, over all training
+texts, come each language's usual cross-entropy, its spread, and the limit that REFUSED of its texts lie beyond, with a
+margin; a text beyond its language's limit is rejected and its score lowered. A language needs LEAST texts with letters
+for a limit, at any size. A scale for the score is fitted on about `sample` of them.
 
 Edge cases: lang_pred is `und` and score 0 if the text is null or has no letter, or if nothing could be learned; ties
-go to the language that sorts first; rows with a null doc_id or lang are not trained on, but predicted; rows that
-share a doc_id stay separate rows; an empty table gives no rows. lang, source and doc_id are never inputs.
+go to the language that sorts first; rows with a null doc_id or lang are not trained on, but predicted; texts of
+any length are read whole; rows that share a doc_id, equal ones too, stay separate rows; an empty table gives no rows;
+other columns, of whatever name, are not read. lang, source and doc_id are never inputs.
 """
 
 from __future__ import annotations
@@ -24,10 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import release, stored
+
 SHARED = 21
 ALPHABET = 27 + SHARED
 ORDER = 4
 LEAST = 5
+REFUSED, MARGIN = 0.001, 1.5  # part of a language's texts that may lie beyond its limit, and how much further that is set
 
 
 def fold() -> Column:
@@ -70,7 +79,7 @@ class Model:
     backoff: np.ndarray  # of each 3-symbol context, by language: log2 of the weight left for 3-grams
     lower: np.ndarray  # of each 3-gram, by language: log2 P(last symbol | two before)
     scale: float = 1.0
-    limits: dict[str, tuple[float, float, float]] = field(default_factory=dict)  # mean, spread, spread of a symbol
+    limits: dict[str, tuple[float, float, float, float]] = field(default_factory=dict)  # mean, spread, spread of a symbol, limit
 
     def surprisal(self, text: str | None) -> tuple[np.ndarray, int, float]:
         """Total bits by language, number of symbols, and variance of a symbol's bits under the best language."""
@@ -91,9 +100,12 @@ class Model:
         if not n:
             return "und", 0.0, True
         best = int(total.argmin())
-        p = np.exp2(-(total - total[best]) * self.scale)
-        mean, spread, one = self.limits.get(self.languages[best], (total[best] / n, 1.0, 1.0))
-        return self.languages[best], float(1 / p.sum()), bool(total[best] / n > mean + 8 * np.sqrt(spread**2 + one**2 / n))
+        lang, p = self.languages[best], float(1 / np.exp2(-(total - total[best]) * self.scale).sum())
+        if lang not in self.limits:
+            return lang, p, False
+        mean, spread, one, limit = self.limits[lang]
+        beyond = (total[best] / n - mean) / np.sqrt(spread**2 + one**2 / n)
+        return (lang, p, False) if beyond <= limit else (lang, p / 2 * limit / beyond, True)
 
 
 def kneser_ney(counts: np.ndarray, order: int, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,57 +156,68 @@ def build(table: pd.DataFrame) -> Model:
     return Model([str(x) for x in languages], grams, logs, backoff, lower)
 
 
+def half() -> Column:
+    return F.pmod(F.xxhash64(F.lit("half"), F.col("doc_id").cast("long")), F.lit(2)).cast("int")
+
+
 def gram_counts(docs: DataFrame) -> DataFrame:
-    """lang, gram, n over every text of docs."""
+    """lang, half, gram, n over every text of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending: dict[str, list[np.ndarray]] = defaultdict(list)
+        pending: dict[tuple[str, int], list[np.ndarray]] = defaultdict(list)
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for lang, parts in pending.items():
+            for (lang, part), parts in pending.items():
                 u, c = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.record_batch([pa.array([lang] * len(u), pa.string()), pa.array(u.astype("i8")), pa.array(c.astype("i8"))], ["lang", "gram", "n"])
+                cols = [pa.array([lang] * len(u), pa.string()), pa.array(np.full(len(u), part, np.int32)), pa.array(u.astype("i8")), pa.array(c.astype("i8"))]
+                yield pa.record_batch(cols, ["lang", "half", "gram", "n"])
             pending.clear()
 
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for lang, part, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 g = codes(text)
-                pending[lang].append(g)
+                pending[lang, part].append(g)
                 held += len(g)
                 if held > 8_000_000:
                     yield from flush()
                     held = 0
         yield from flush()
 
-    return docs.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.col("lang").cast("string"), half(), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "lang string, half int, gram long, n long").groupBy("lang", "half", "gram").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, held_out: int = 2, sample: int = 2000) -> Model:
     """The model learned from text and lang of the rows outside the held-out fold."""
     train = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != held_out))
-    # At most ALPHABET ** ORDER rows a language: the alphabet bounds what comes to the driver, not the corpus.
-    model = build(gram_counts(train).toPandas().astype({"lang": str}))
+    # At most ALPHABET ** ORDER rows a language and half: the alphabet bounds what comes to the driver, not the corpus.
+    table = gram_counts(train).toPandas().astype({"lang": str})
+    model = build(table.groupby(["lang", "gram"], as_index=False)["n"].sum())
     if not model.languages:
         return model
+    # A half that lacks a language can't measure it; where that is so (tiny tables), the whole model stands in.
+    by_half = [build(table[table["half"] == k]) for k in (0, 1)]
+    other = [by_half[1 - k] if by_half[1 - k].languages == model.languages else model for k in (0, 1)]
     one_in = max(1, train.count() // sample)
-    some = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).select(F.col("lang").cast("string").alias("lang"), "text")
-    calibrate(model, surprisals(some, model).toPandas())
-    model.limits = limits_of(train.select(F.col("lang").cast("string").alias("lang"), "text"), model)
+    rows = surprisals(train.select(F.col("lang").cast("string").alias("lang"), half().alias("half"), "text", "doc_id"), other)
+    calibrate(model, rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).toPandas())
+    model.limits = limits_of(rows, model.languages)
     return model
 
 
-def surprisals(docs: DataFrame, model: Model) -> DataFrame:
-    """lang, bits by language, n, variance of docs (lang, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def surprisals(docs: DataFrame, models: list[Model]) -> DataFrame:
+    """lang, doc_id, bits by language, n, variance of docs (lang, half, text, doc_id), each by the model of its half."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [shared.value.surprisal(t) for t in batch.column(1).to_pylist()]
+            rows = [shared.value[k].surprisal(t) for k, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             kinds = [pa.list_(pa.float64()), pa.int64(), pa.float64()]
-            yield pa.record_batch([batch.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["lang", "bits", "n", "variance"])
+            yield pa.record_batch([batch.column(0), batch.column(3), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["lang", "doc_id", "bits", "n", "variance"])
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, bits array<double>, n long, variance double")
+    rows = docs.select("lang", "half", "text", F.col("doc_id").cast("long").alias("doc_id"))
+    return rows.mapInArrow(run, "lang string, doc_id long, bits array<double>, n long, variance double")
 
 
 def calibrate(model: Model, rows: pd.DataFrame) -> None:
@@ -212,18 +235,23 @@ def calibrate(model: Model, rows: pd.DataFrame) -> None:
     model.scale = min((0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 1.0), key=loss)
 
 
-def limits_of(docs: DataFrame, model: Model) -> dict[str, tuple[float, float, float]]:
-    """Each language's usual cross-entropy, its spread and that of a symbol, over every text of docs (lang, text)."""
-    own = F.element_at("bits", F.array_position(F.array(*map(F.lit, model.languages)), F.col("lang")).cast("int")) / F.col("n")
-    rows = surprisals(docs, model).where("n > 0").select("lang", own.alias("own"), "variance", F.when(F.col("n") >= 200, own).alias("long"))
-    found = rows.groupBy("lang").agg(
-        F.count("*").alias("n"), F.percentile_approx("own", 0.5, 10_000).alias("median"), F.stddev_pop("own").alias("spread"),
-        F.count("long").alias("n_long"), F.stddev_pop("long").alias("spread_long"), F.avg("variance").alias("variance"),
+def limits_of(rows: DataFrame, languages: list[str]) -> dict[str, tuple[float, float, float, float]]:
+    """Each language's usual cross-entropy, its spread, that of a symbol, and the limit in their terms, over all rows
+    of surprisals()."""
+    own = F.element_at("bits", F.array_position(F.array(*map(F.lit, languages)), F.col("lang")).cast("int")) / F.col("n")
+    # Stored, as two aggregates read it and each text's cross-entropy is dear.
+    kept = stored(rows.where("n > 0").select("lang", own.alias("own"), "n", "variance"), "surprisals")
+    found = kept.groupBy("lang").agg(
+        F.count("*").alias("texts"), F.percentile_approx("own", 0.5, 10_000).alias("median"), F.stddev_pop("own").alias("spread"),
+        F.count_if(F.col("n") >= 200).alias("n_long"), F.stddev_pop(F.when(F.col("n") >= 200, F.col("own"))).alias("spread_long"), F.avg("variance").alias("variance"),
     )
-    out = {}
-    for r in found.where(F.col("n") >= LEAST).collect():
-        spread = r["spread_long"] if r["n_long"] >= LEAST else r["spread"]
-        out[r["lang"]] = (r["median"], max(0.15, spread), max(1.0, r["variance"] ** 0.5))
+    spread = F.greatest(F.when(F.col("n_long") >= LEAST, F.col("spread_long")).otherwise(F.col("spread")), F.lit(0.02))
+    usual = found.where(F.col("texts") >= LEAST).select("lang", "median", spread.alias("spread"), F.greatest(F.sqrt("variance"), F.lit(0.5)).alias("one"))
+    beyond = (F.col("own") - F.col("median")) / F.sqrt(F.col("spread") ** 2 + F.col("one") ** 2 / F.col("n"))
+    # A row for each language is broadcast; there are no more languages than the model has.
+    limits = kept.join(F.broadcast(usual), "lang").groupBy("lang", "median", "spread", "one").agg(F.percentile_approx(beyond, 1 - REFUSED, 100_000).alias("limit"))
+    out = {r["lang"]: (r["median"], r["spread"], r["one"], MARGIN * max(4.0, r["limit"])) for r in limits.collect()}
+    release(kept)
     return out
 
 
