@@ -5,9 +5,10 @@ import hashlib
 import itertools
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -116,8 +117,8 @@ def test_op3_bitmaps_never_exceed_the_difference():
 
 def test_op3_trie_is_exact():
     rng = np.random.default_rng(1)
-    anchor = np.unique(rng.integers(-(10**18), 10**18, 60))
-    sets = [np.unique(np.concatenate([rng.choice(anchor, k, replace=False), rng.integers(-(10**18), 10**18, m)])) for k in range(40, 61, 2) for m in range(0, 12, 3)]
+    anchor = np.unique(rng.integers(0, 2 * 10**18, 60))
+    sets = [np.unique(np.concatenate([rng.choice(anchor, k, replace=False), rng.integers(0, 2 * 10**18, m)])) for k in range(40, 61, 2) for m in range(0, 12, 3)]
     want = [i for i, s in enumerate(sets) if 100 * len(np.intersect1d(s, anchor)) >= 85 * len(np.union1d(s, anchor))]
     assert sorted(ngram_join.walk_trie(anchor, sets, 85)) == want
 
@@ -150,16 +151,33 @@ def test_op5_pieces_and_places(docs, empty):
     assert packing.pack(empty, bytes_file).count() == 0
 
 
-def test_op5_plan_is_best_fit():
-    rng = np.random.default_rng(3)
-    counts = {int(k): int(v) for k, v in zip(*np.unique(rng.integers(1, 101, 500), return_counts=True), strict=True)}
+def best_fit_rooms(counts, size):
+    """The room that best-fit decreasing over single items leaves in each sequence."""
     rooms = []
     for length in sorted(counts, reverse=True):
         for _ in range(counts[length]):
             fit = [r for r in rooms if r >= length]
             rooms.remove(min(fit)) if fit else None
-            rooms.append((min(fit) if fit else 100) - length)
-    assert max(first + many for _, _, many, first, _ in packing.plan(counts, 100)) == len(rooms)
+            rooms.append((min(fit) if fit else size) - length)
+    return sorted(rooms)
+
+
+def test_op5_plan_is_best_fit():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        size = int(rng.choice([10, 37, 100, 1024]))
+        counts = {int(k): int(rng.integers(1, 40)) for k in rng.integers(1, size + 1, rng.integers(1, 12))}
+        filled, ranks = defaultdict(list), defaultdict(list)
+        for length, rank, items, each, first, offset in packing.plan(counts, size):
+            ranks[length] += range(rank, rank + items)
+            for j in range(items):
+                filled[first + j // each].append((offset + j % each * length, length))
+        assert {k: sorted(v) for k, v in ranks.items()} == {k: list(range(n)) for k, n in counts.items()}
+        for places in filled.values():
+            places.sort()
+            assert [o for o, _ in places] == np.cumsum([0, *(n for _, n in places)])[:-1].tolist()
+        assert sorted(size - sum(n for _, n in p) for p in filled.values()) == best_fit_rooms(counts, size)
+    assert max(first for *_, first, _ in packing.plan({300: 4, 240: 3}, 1024)) == 1
 
 
 def test_op6_like_tiktoken(docs, empty):
@@ -206,13 +224,20 @@ def test_op8_limits_of_rare_languages(spark):
     train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = language_id.fit(train, sample=100)
     assert set(model.limits) == {"en", "fr"}
-    known = train.where(language_id.fold() != 2).collect()
+    known = train.where(language_id.fold() != 2).select("*", language_id.half().alias("half")).collect()
+    # Each text is measured by a model counted on the other half of the training texts.
+    models = []
+    for k in (0, 1):
+        counts = Counter((r.lang, int(g)) for r in known if r.half != k for g in language_id.codes(r.text))
+        models.append(language_id.build(pd.DataFrame([(a, g, n) for (a, g), n in counts.items()], columns=["lang", "gram", "n"])))
     for k, lang in enumerate(model.languages):
-        found = [model.surprisal(r.text) for r in known if r.lang == lang]
-        own = np.array([bits[k] / n for bits, n, _ in found])
-        median, spread, one = model.limits[lang]
+        found = [models[r.half].surprisal(r.text) for r in known if r.lang == lang]
+        own, sizes = np.array([bits[k] / n for bits, n, _ in found]), np.array([n for _, n, _ in found])
+        median, spread, one, limit = model.limits[lang]
         assert own.min() <= median <= own.max() and np.isclose((own <= median).mean(), 0.5, atol=0.1)
-        assert np.isclose(spread, max(0.15, own.std())) and np.isclose(one, max(1.0, np.sqrt(np.mean([v for _, _, v in found]))))
+        assert np.isclose(spread, max(0.02, own.std())) and np.isclose(one, max(0.5, np.sqrt(np.mean([v for _, _, v in found]))))
+        beyond = (own - median) / np.sqrt(spread**2 + one**2 / sizes)
+        assert np.isclose(limit, language_id.MARGIN * max(4.0, np.sort(beyond)[-(-len(beyond) * 999 // 1000) - 1]))
     assert language_id.accepted(spark.createDataFrame([(1, FR), (2, "пьёёё " * 200)], "doc_id long, text string"), model).collect() == [(1, FR)]
 
 
