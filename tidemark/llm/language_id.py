@@ -201,8 +201,13 @@ def fit(docs: DataFrame, held_out: int = 2, sample: int = 2000) -> Model:
     other = [by_half[1 - k] if by_half[1 - k].languages == model.languages else model for k in (0, 1)]
     one_in = max(1, train.count() // sample)
     rows = surprisals(train.select(F.col("lang").cast("string").alias("lang"), half().alias("half"), "text", "doc_id"), other)
-    calibrate(model, rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).toPandas())
-    model.limits = limits_of(rows, model.languages)
+    # Stored, as a text's cross-entropy is dear; the bits of every language only for the sample.
+    own = F.element_at("bits", F.array_position(F.array(*map(F.lit, model.languages)), F.col("lang")).cast("int")) / F.col("n")
+    sampled = F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0
+    kept = stored(rows.where("n > 0").select("lang", own.alias("own"), "n", "variance", F.when(sampled, F.col("bits")).alias("bits")), "surprisals")
+    calibrate(model, kept.where("bits is not null").select("lang", "bits", "n").toPandas())
+    model.limits = limits_of(kept)
+    release(kept)
     return model
 
 
@@ -235,12 +240,9 @@ def calibrate(model: Model, rows: pd.DataFrame) -> None:
     model.scale = min((0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 1.0), key=loss)
 
 
-def limits_of(rows: DataFrame, languages: list[str]) -> dict[str, tuple[float, float, float, float]]:
+def limits_of(kept: DataFrame) -> dict[str, tuple[float, float, float, float]]:
     """Each language's usual cross-entropy, its spread, that of a symbol, and the limit in their terms, over all rows
-    of surprisals()."""
-    own = F.element_at("bits", F.array_position(F.array(*map(F.lit, languages)), F.col("lang")).cast("int")) / F.col("n")
-    # Stored, as two aggregates read it and each text's cross-entropy is dear.
-    kept = stored(rows.where("n > 0").select("lang", own.alias("own"), "n", "variance"), "surprisals")
+    (lang, own cross-entropy, n, variance)."""
     found = kept.groupBy("lang").agg(
         F.count("*").alias("texts"), F.percentile_approx("own", 0.5, 10_000).alias("median"), F.stddev_pop("own").alias("spread"),
         F.count_if(F.col("n") >= 200).alias("n_long"), F.stddev_pop(F.when(F.col("n") >= 200, F.col("own"))).alias("spread_long"), F.avg("variance").alias("variance"),
@@ -250,9 +252,7 @@ def limits_of(rows: DataFrame, languages: list[str]) -> dict[str, tuple[float, f
     beyond = (F.col("own") - F.col("median")) / F.sqrt(F.col("spread") ** 2 + F.col("one") ** 2 / F.col("n"))
     # A row for each language is broadcast; there are no more languages than the model has.
     limits = kept.join(F.broadcast(usual), "lang").groupBy("lang", "median", "spread", "one").agg(F.percentile_approx(beyond, 1 - REFUSED, 100_000).alias("limit"))
-    out = {r["lang"]: (r["median"], r["spread"], r["one"], MARGIN * max(4.0, r["limit"])) for r in limits.collect()}
-    release(kept)
-    return out
+    return {r["lang"]: (r["median"], r["spread"], r["one"], MARGIN * max(4.0, r["limit"])) for r in limits.collect()}
 
 
 def predictor(model: Model, spark) -> Column:
