@@ -40,8 +40,9 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bloom import filter_of
 from .components import connected_components
-from .spread import spread_join
+from .spread import SALTS, spread_join
 from .storage import release, stored
 
 BASE, INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -306,23 +307,8 @@ def walk_trie(anchor: np.ndarray, sets: list[np.ndarray], percent: int) -> list[
 
 def verified(pairs: DataFrame, sets: DataFrame, order: Broadcast, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough; a is the anchor."""
-    spark = pairs.sparkSession
-    width = 26
-    place = F.pmod(F.xxhash64("cid"), F.lit(1 << width))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid"))
-    bits = wanted.groupBy(F.shiftright(place, 5).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 32).cast("int"))).alias("bits"))
-    # A Bloom filter of 2^26 bits, whatever the number of pairs: it spares most sets the shuffle below.
-    bloom = np.zeros(1 << (width - 5), dtype=np.uint32)
-    got = bits.toPandas()
-    bloom[got["word"].to_numpy()] = got["bits"].to_numpy().astype(np.uint32)
-    shared = spark.sparkContext.broadcast(bloom)
-
-    @F.pandas_udf("boolean")
-    def may_hold(at: pd.Series) -> pd.Series:
-        x = at.to_numpy()
-        return pd.Series((shared.value[x >> 5] >> (x & 31).astype(np.uint32)) & 1 == 1)
-
-    some = sets.where("grams is not null").select("cid", "grams").where(may_hold(place))
+    may_hold = filter_of(pairs.select(F.explode(F.array("a", "b")).alias("cid")), "cid")
+    some = sets.where("grams is not null").select("cid", "grams").where(may_hold(F.col("cid")))
     # Candidates of an anchor go into as many chunks as bound them.
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("chunks"))
     chunked = stored(spread_join(pairs, sizes, "a", "b").select("a", "b", F.pmod(F.xxhash64("b", "a"), F.col("chunks")).alias("chunk")), "pairs")
@@ -345,10 +331,11 @@ def verified(pairs: DataFrame, sets: DataFrame, order: Broadcast, percent: int)
 
 def held_prefixes(sets: DataFrame, order: Broadcast, percent: int) -> DataFrame:
     """gram, cid, n, hot, share, before, after: the prefix grams that two classes at least have."""
-    prefix, together = prefixes(sets, order, percent), Window.partitionBy("gram")
-    # A hot gram is one of many classes; a class that several tasks met counts once.
-    cold = prefix.where("not hot").withColumn("low", F.min("cid").over(together)).withColumn("high", F.max("cid").over(together))
-    held = cold.where("low <> high").select(prefix.columns).distinct().union(prefix.where("hot").distinct())
+    # A hot gram is one of many classes, so its rows may lie apart; a class that several tasks met counts once.
+    dealt = prefixes(sets, order, percent).withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("cid"), F.lit(SALTS))).otherwise(0))
+    together = Window.partitionBy("gram", "salt")
+    held = dealt.withColumn("low", F.min("cid").over(together)).withColumn("high", F.max("cid").over(together)).where("hot or low <> high")
+    held = held.groupBy("gram", "salt", "cid").agg(F.first("n").alias("n"), F.first("at").alias("at"), F.first("hot").alias("hot")).drop("salt")
     # The original of a family shares all its grams; an edited copy has some of its own. A gram ahead of a shared one
     # lies in the prefixes of both or in no overlap, so `before` counts held grams alone. A gram behind it may lie
     # behind the other's prefix and still be in the overlap, so `after` counts every place.
@@ -361,7 +348,9 @@ def star_pairs(seats: DataFrame, star: int, percent: int) -> DataFrame:
     """Candidates (a, b): of each component one member in a gram, and one of these is the anchor a of the others:
     first the one that shares most of its grams, later one by chance."""
     first = F.xxhash64("cid", F.lit(star)) if star else -F.col("share")
-    one = seats.groupBy("gram", "hot", "root").agg(F.min(F.struct(first.alias("key"), "cid", "n")).alias("m"))
+    member = F.struct(first.alias("key"), "cid", "n")
+    # At first each class is a component of its own, and once in a gram.
+    one = seats.groupBy("gram", "hot", "root").agg(F.min(member).alias("m")) if star else seats.select("gram", "hot", "root", member.alias("m"))
     cold = one.where("not hot").select("gram", "m", F.min("m").over(Window.partitionBy("gram")).alias("anchor"))
     hot = one.where("hot")  # of at most as many grams as are common
     hot = hot.join(F.broadcast(hot.groupBy("gram").agg(F.min("m").alias("anchor"))), "gram").select("gram", "m", "anchor")
