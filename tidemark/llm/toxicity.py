@@ -10,8 +10,8 @@ and the same feature, so the recursions cross a run of them by a power of one 2
 
 Edge cases: null and empty texts have the score of a text without a toxic word; without labels of both kinds every
 score is 0; several labels of a document count as toxic if one does; rows with a null doc_id are scored, not trained
-on; rows that share a doc_id stay separate rows; an empty table gives no rows. labels, lang, source and doc_id are
-never inputs of a score.
+on; texts of any length are read whole; rows that share a doc_id, equal ones too, stay separate rows; an empty table
+gives no rows; other columns, of whatever name, are not read. labels, lang, source and doc_id are never inputs of a score.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import filter_of
+
 WORD = re.compile(r"[^\W\d_]+")
 STRENGTHS = 6
 
@@ -267,7 +269,9 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 0, sample: int = 150
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold() != held_out))
     known = known.groupBy(F.col("doc_id").cast("long").alias("labelled_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    train = texts.join(known.hint("shuffle_hash"), F.col("doc_id") == F.col("labelled_id")).select("doc_id", "text", "toxic")
+    # Only texts that may have a label are shuffled.
+    may_hold = filter_of(known, "labelled_id")
+    train = texts.where(may_hold(F.col("doc_id"))).join(known.hint("shuffle_hash"), F.col("doc_id") == F.col("labelled_id")).select("doc_id", "text", "toxic")
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     model = Field()
