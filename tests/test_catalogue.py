@@ -18,7 +18,7 @@ def plain(rows):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(catalogue.queries()))
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tidemark.plans import catalogue
+from tidemark.operators import distribution
 
 
 def test_places_like_brute_force(spark):
@@ -10,7 +10,7 @@ def test_places_like_brute_force(spark):
     rows = [(int(k), "ab"[int(k > 30)], float(v)) for k, v in enumerate(rng.integers(0, 90, 400))] + [(400, "a", 1e12), (401, None, 3.0)]
     df = spark.createDataFrame(rows, "id long, kind string, v double")
     for ranges in (2, 7, 200):
-        got = {r.id: (r.below, r.same, r.total) for r in catalogue._placed(df, "kind", "v", ranges).collect()}
+        got = {r.id: (r.below, r.same, r.total) for r in distribution.placed(df, "kind", "v", ranges).collect()}
         for i, kind, v in rows:
             own = [x for _, k, x in rows if k == kind]
             assert got[i] == (sum(x < v for x in own), own.count(v), len(own))

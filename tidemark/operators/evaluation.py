@@ -65,3 +65,57 @@ def bootstrap_means(df: DataFrame, identity: str, value: str, draws: int) -> Dat
         times = F.when(u < limit, k).otherwise(times)
     rows = rows.withColumn("times", times)
     return rows.groupBy("draw").agg(F.try_divide(F.sum(F.col(value) * F.col("times")), F.sum("times")).alias("mean"))
+
+
+def summary(df: DataFrame, value: str) -> DataFrame:
+    """mean, sd (of a sample; 0 for one value), q025, q50, q975 of a column of few rows, such as a row per fold."""
+    q = lambda p: F.round(F.percentile(value, p), 6)
+    sd = F.when(F.count(value) > 1, F.stddev_samp(value)).when(F.count(value) == 1, 0.0)
+    return df.agg(F.round(F.avg(value), 6).alias("mean"), F.round(sd, 6).alias("sd"), q(0.025).alias("q025"), q(0.5).alias("q50"), q(0.975).alias("q975"))
+
+
+def class_scores(df: DataFrame, groups: list[str], truth: str, predicted: str, classes: list) -> DataFrame:
+    """groups, class, support, prec, recall, f1 for every class of the list; what has no cases scores 0.
+
+    Counts per (groups, truth, predicted) are made first; what follows has a row for each class and group.
+    """
+    counts = df.groupBy(*groups, truth, predicted).agg(F.count("*").alias("n"))
+    each = counts.withColumn("class", F.explode(F.array(*map(F.lit, classes))))
+    of = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    y, p = F.col(truth).eqNullSafe(F.col("class")), F.col(predicted).eqNullSafe(F.col("class"))
+    found = each.groupBy(*groups, "class").agg(of(y & p).alias("tp"), of(p).alias("pp"), of(y).alias("support"))
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    return found.select(*groups, "class", "support", ratio(F.col("tp"), F.col("pp")).alias("prec"), ratio(F.col("tp"), F.col("support")).alias("recall"), ratio(2 * F.col("tp"), F.col("pp") + F.col("support")).alias("f1"))
+
+
+def macro_f1(df: DataFrame, groups: list[str], truth: str, predicted: str, classes: list) -> DataFrame:
+    """groups, macro_f1 over the classes of the list, whether they occur or not."""
+    return class_scores(df, groups, truth, predicted, classes).groupBy(*groups).agg(F.avg("f1").alias("macro_f1"))
+
+
+def places(df: DataFrame, keys: list[str | Column], parts: int = 64) -> DataFrame:
+    """Adds place, from 1, in the order of the keys: rows are dealt into sorted ranges, numbered within each, and moved
+    by the counts of the ranges before."""
+    rows = df.select("*", *(k for k in keys if isinstance(k, Column))).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    numbered = rows.withColumn("part", F.spark_partition_id())
+    inside = Window.partitionBy("part").orderBy(*keys)
+    counts = numbered.groupBy("part").agg(F.count("*").alias("rows"))
+    base = counts.select("part", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    return numbered.withColumn("inside", F.row_number().over(inside)).join(F.broadcast(base), "part").withColumn("place", F.col("inside") + F.col("base"))
+
+
+def reserve(df: DataFrame, identity: str, stratum: str, fraction: float) -> DataFrame:
+    """Adds reserved: the first ceil(fraction * n) rows of each stratum in an order given by digests.
+
+    Rows are numbered in 256 slices of the digest and moved by the counts of the slices before.
+    """
+    digest = F.md5(F.col(identity).cast("string"))
+    rows = df.withColumn("digest", digest).withColumn("part", F.substring(digest, 1, 2))
+    counts = rows.groupBy(F.col(stratum).alias("its"), F.col("part").alias("slice")).agg(F.count("*").alias("its_rows"))
+    own = Window.partitionBy("its")
+    before = F.sum("its_rows").over(own.orderBy("slice")) - F.col("its_rows")
+    base = counts.select("its", "slice", before.alias("its_before"), F.sum("its_rows").over(own).alias("its_all"))
+    inside = F.row_number().over(Window.partitionBy(stratum, "part").orderBy("digest", identity))
+    met = F.col(stratum).eqNullSafe(F.col("its")) & (F.col("part") == F.col("slice"))
+    found = rows.withColumn("inside", inside).join(F.broadcast(base), met)
+    return found.select(*df.columns, (F.col("inside") + F.col("its_before") <= F.ceil(F.lit(fraction) * F.col("its_all"))).alias("reserved"))

@@ -1,22 +1,28 @@
-"""Chronological splits with an embargo, inner folds and circular shifts."""
+"""Chronological splits with an embargo, inner folds and circular shifts.
+
+Places in time are counted in two phases by slices (see sequences), so that one long key is many tasks.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .timeseries import micros
+from .sequences import SLICE, WIDTH, micros, of_key, running, sliced
+
+
+def placed(df: DataFrame, key: str, ts: str, tie: str, width: int) -> DataFrame:
+    """Adds i, the place of each row in its key, and n, the key's rows; rows keep their slice."""
+    rows = running(sliced(df, micros(ts), width), key, [ts, tie], {"i": ("sum", F.lit(1))}).withColumn("i", F.col("i") - 1)
+    return of_key(rows, key, [F.count("*").alias("n")])
 
 
-def chronological_split(df: DataFrame, key: str, embargo: int, train: float = 0.6, validation: float = 0.2, ts: str = "ts", tie: str = "event_id") -> DataFrame:
+def chronological_split(df: DataFrame, key: str, embargo: int, train: float = 0.6, validation: float = 0.2, ts: str = "ts", tie: str = "event_id", width: int = WIDTH) -> DataFrame:
     """Adds split: train, validation, test by place in time, or excluded_embargo within `embargo` of a boundary."""
-    whole = Window.partitionBy(key)
-    n, i, t = F.count("*").over(whole), F.row_number().over(whole.orderBy(ts, tie)) - 1, micros(ts)
-    df = df.withColumn("n", n).withColumn("i", i).withColumn("t", t)
+    df = placed(df, key, ts, tie, width).withColumn("t", micros(ts))
     df = df.withColumn("i1", F.least(F.greatest(F.floor(F.col("n") * train), F.lit(1)), F.col("n") - 2))
     df = df.withColumn("i2", F.least(F.greatest(F.floor(F.col("n") * (train + validation)), F.col("i1") + 1), F.col("n") - 1))
-    df = df.withColumn("b1", F.max(F.when(F.col("i") == F.col("i1"), F.col("t"))).over(whole))
-    df = df.withColumn("b2", F.max(F.when(F.col("i") == F.col("i2"), F.col("t"))).over(whole))
+    df = of_key(df, key, [F.max(F.when(F.col("i") == F.col("i1"), F.col("t"))).alias("b1"), F.max(F.when(F.col("i") == F.col("i2"), F.col("t"))).alias("b2")])
     part = F.when(F.col("i") < F.col("i1"), "train").when(F.col("i") < F.col("i2"), "validation").otherwise("test")
     out = (
         ((part == "train") & (F.col("t") >= F.col("b1") - embargo))
@@ -26,25 +32,25 @@ def chronological_split(df: DataFrame, key: str, embargo: int, train: float = 0.
     return df.withColumn("split", F.when(out, "excluded_embargo").otherwise(part))
 
 
-def circular_shift(df: DataFrame, key: str, fraction: float, column: str, ts: str = "ts", tie: str = "event_id") -> DataFrame:
+def circular_shift(df: DataFrame, key: str, fraction: float, column: str, ts: str = "ts", tie: str = "event_id", width: int = WIDTH) -> DataFrame:
     """Adds shifted: column of the row max(1, round-half-even(n * fraction)) places on, around the end."""
-    w = Window.partitionBy(key)
-    own = df.withColumn("i", F.row_number().over(w.orderBy(ts, tie)) - 1).withColumn("n", F.count("*").over(w))
+    own = placed(df, key, ts, tie, width).drop(SLICE)
     source = own.select(F.col(key), F.col("i").alias("from"), F.col(column).alias("shifted"))
     offset = F.greatest(F.lit(1), F.bround(F.col("n") * fraction).cast("int"))
     return own.withColumn("from", (F.col("i") + offset) % F.col("n")).join(source, [key, "from"])
 
 
-def inner_folds(df: DataFrame, key: str, folds: int, history: int, ts: str = "ts", tie: str = "event_id") -> DataFrame:
+def inner_folds(df: DataFrame, key: str, folds: int, history: int, ts: str = "ts", tie: str = "event_id", width: int = WIDTH) -> DataFrame:
     """Each row once for every fold k of 1..folds, with role: assess, train or unused.
 
     A fold assesses rows [n k / (folds + 1), n (k + 1) / (folds + 1)) of its key; it trains on rows older than
     `history` microseconds before the first of these.
     """
-    whole = Window.partitionBy(key)
-    rows = df.withColumn("t", micros(ts)).withColumn("i", F.row_number().over(whole.orderBy(ts, tie)) - 1).withColumn("n", F.count("*").over(whole))
-    rows = rows.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(folds))))
+    rows = placed(df, key, ts, tie, width).withColumn("t", micros(ts))
     edge = lambda k: F.floor(F.col("n") * k / (folds + 1))
-    rows = rows.withColumn("role", F.when((F.col("i") >= edge(F.col("fold"))) & (F.col("i") < edge(F.col("fold") + 1)), "assess"))
-    begins = F.min(F.when(F.col("role") == "assess", F.col("t"))).over(Window.partitionBy(key, "fold")) - history
-    return rows.withColumn("role", F.coalesce("role", F.when(F.col("t") < begins, "train").otherwise("unused")))
+    assessed = lambda k: (F.col("i") >= edge(k)) & (F.col("i") < edge(k + 1))
+    begins = [F.min(F.when(assessed(F.lit(k)), F.col("t"))).alias(f"begin{k}") for k in range(1, folds + 1)]
+    rows = of_key(rows, key, begins).withColumn("begins", F.array(*(f"begin{k}" for k in range(1, folds + 1)))).drop(*(f"begin{k}" for k in range(1, folds + 1)))
+    rows = rows.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(folds))))
+    role = F.when(assessed(F.col("fold")), "assess").when(F.col("t") < F.get("begins", F.col("fold") - 1) - history, "train").otherwise("unused")
+    return rows.withColumn("role", role).drop("begins")

@@ -1,63 +1,90 @@
-"""Time-series operators: lag profile, spans, span algebra, smoothing, trailing slopes, tumbling blocks."""
+"""Time-series operators: lag profile, spans, span algebra, smoothing, trailing slopes, tumbling blocks.
+
+Windows along a key run in two phases by slices of time (see sequences), so that one long key is many tasks.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sequences import SLICE, WIDTH, lagged, micros, running, sliced, with_reach
 
-def micros(ts: str | Column) -> Column:
-    """Microseconds of a timestamp without zone (the session's zone is UTC)."""
-    return F.unix_micros(F.col(ts).cast("timestamp") if isinstance(ts, str) else ts.cast("timestamp"))
+DAY = 86_400_000_000
+EPOCH_2024 = 1704067200000000
 
 
-def with_lag(df: DataFrame, key: str, ts: str = "ts", tie: str = "event_id") -> DataFrame:
-    """Adds gap: microseconds since the row before of the same key."""
-    w = Window.partitionBy(key).orderBy(ts, tie)
-    return df.withColumn("gap", micros(ts) - F.lag(micros(ts)).over(w))
+def with_lag(df: DataFrame, key: str, ts: str = "ts", tie: str = "event_id", width: int = WIDTH) -> DataFrame:
+    """Adds gap: microseconds since the row before of the same key. Rows keep their slice."""
+    rows = lagged(sliced(df, micros(ts), width), key, [ts, tie], {"gap": micros(ts)})
+    return rows.withColumn("gap", micros(ts) - F.col("gap"))
 
 
-def islands(df: DataFrame, key: str, max_gap: int, ts: str = "ts", tie: str = "event_id") -> DataFrame:
-    """Adds island: a new one begins where the gap is over max_gap microseconds, or not positive."""
-    w = Window.partitionBy(key).orderBy(ts, tie)
+def islands(df: DataFrame, key: str, max_gap: int, ts: str = "ts", tie: str = "event_id", width: int = WIDTH) -> DataFrame:
+    """Adds gap and island: a new one begins where the gap is over max_gap microseconds, or not positive."""
     breaks = F.when((F.col("gap") > max_gap) | (F.col("gap") <= 0), 1).otherwise(0)
-    return with_lag(df, key, ts, tie).withColumn("island", F.sum(breaks).over(w))
+    return running(with_lag(df, key, ts, tie, width), key, [ts, tie], {"island": ("sum", breaks)})
 
 
-def spans(df: DataFrame, key: str, max_gap: int, ts: str = "ts", tie: str = "event_id") -> DataFrame:
+def spans(df: DataFrame, key: str, max_gap: int, ts: str = "ts", tie: str = "event_id", width: int = WIDTH) -> DataFrame:
     """key, span_start, span_end, rows of each continuous span."""
-    found = islands(df, key, max_gap, ts, tie).groupBy(key, "island")
+    found = islands(df.select(key, ts, tie), key, max_gap, ts, tie, width).groupBy(key, "island")
     return found.agg(F.min(micros(ts)).alias("span_start"), F.max(micros(ts)).alias("span_end"), F.count("*").alias("n_rows")).drop("island")
 
 
-def merge_spans(df: DataFrame, key: str) -> DataFrame:
+def merge_spans(df: DataFrame, key: str, width: int = WIDTH) -> DataFrame:
     """Union of overlapping or touching spans (key, span_start, span_end)."""
-    w = Window.partitionBy(key).orderBy("span_start", "span_end")
-    reach = F.max("span_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    numbered = df.withColumn("part", F.sum(F.when(F.col("span_start") <= reach, 0).otherwise(1)).over(w))
-    return numbered.groupBy(key, "part").agg(F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end")).drop("part")
+    order = ["span_start", "span_end"]
+    reached = running(sliced(df, F.col("span_start"), width), key, order, {"reach": ("max", F.col("span_end"))}, inclusive=False)
+    parts = running(reached, key, order, {"part": ("sum", F.when(F.col("span_start") <= F.col("reach"), 0).otherwise(1))})
+    return parts.groupBy(key, "part").agg(F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end")).drop("part")
 
 
-def overlap_micros(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """key, overlap: total intersection of two sets of disjoint spans."""
-    x, y = a.alias("x"), b.alias("y")
-    met = (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.span_start") < F.col("y.span_end")) & (F.col("y.span_start") < F.col("x.span_end"))
-    joined = x.join(y, met).select(F.col(f"x.{key}").alias(key), (F.least("x.span_end", "y.span_end") - F.greatest("x.span_start", "y.span_start")).alias("d"))
-    return joined.groupBy(key).agg(F.sum("d").alias("overlap"))
+def overlap_micros(a: DataFrame, b: DataFrame, key: str, width: int = WIDTH) -> DataFrame:
+    """key, overlap: total intersection of two sets of disjoint spans, joined by the slices they touch."""
+    touched = F.explode(F.sequence(F.floor(F.col("span_start") / width), F.floor(F.col("span_end") / width)))
+    x, y = (t.select(key, F.col("span_start").alias(f"{n}_start"), F.col("span_end").alias(f"{n}_end"), touched.alias(SLICE)) for t, n in ((a, "x"), (b, "y")))
+    low, high = F.greatest("x_start", "y_start"), F.least("x_end", "y_end")
+    # A pair may touch several slices; it counts in the one in which its intersection begins.
+    met = x.join(y, [key, SLICE]).where((F.col("x_start") < F.col("y_end")) & (F.col("y_start") < F.col("x_end")) & (F.floor(low / width) == F.col(SLICE)))
+    return met.groupBy(key).agg(F.sum(high - low).alias("overlap"))
 
 
-def smooth(df: DataFrame, key: str, how: str, value: str = "value", ts: str = "ts", tie: str = "event_id") -> DataFrame:
+def smooth(df: DataFrame, key: str, how: str, value: str = "value", ts: str = "ts", tie: str = "event_id", width: int = WIDTH) -> DataFrame:
     """Adds smoothed: median or mean of the row and the two before, whatever the time between."""
-    w = Window.partitionBy(key).orderBy(ts, tie).rowsBetween(-2, 0)
-    found = {"none": F.col(value), "median3": F.percentile(value, 0.5).over(w), "mean3": F.avg(value).over(w)}
-    return df.withColumn("smoothed", found[how])
+    if how == "none":
+        return df.withColumn("smoothed", F.col(value))
+    rows = lagged(sliced(df, micros(ts), width), key, [ts, tie], {"back1": F.col(value)})
+    rows = lagged(rows, key, [ts, tie], {"back2": F.col("back1")})
+    seen = F.array_sort(F.array_compact(F.array(value, "back1", "back2")))
+    n = F.size(seen)
+    middle = (F.get(seen, F.floor((n - 1) / 2).cast("int")) + F.get(seen, F.floor(n / 2).cast("int"))) / 2
+    mean = F.try_divide(F.aggregate(seen, F.lit(0.0), lambda s, v: s + v), n)
+    return rows.withColumn("smoothed", {"median3": middle, "mean3": mean}[how]).drop("back1", "back2")
+
+
+def back(key: str, ts: str, span: int) -> Window:
+    """The closed range [ts - span, ts] of sliced rows."""
+    return Window.partitionBy(key, SLICE).orderBy(micros(ts)).rangeBetween(-span, 0)
 
 
-def trailing_slope(df: DataFrame, key: str, days: float, value: str = "value", ts: str = "ts") -> DataFrame:
+def slope_over(w: Window, value: str = "value", ts: str = "ts") -> Column:
+    return F.regr_slope(F.col(value), (micros(ts) - F.lit(EPOCH_2024)) / F.lit(float(DAY))).over(w)
+
+
+def trailing_slope(df: DataFrame, key: str, days: float, value: str = "value", ts: str = "ts", width: int = WIDTH) -> DataFrame:
     """Adds slope (per day), support and first point of the closed range [ts - days, ts]."""
-    w = Window.partitionBy(key).orderBy(micros(ts)).rangeBetween(-int(days * 86_400_000_000), 0)
-    day = (micros(ts) - F.lit(1704067200000000)) / F.lit(86_400_000_000.0)
-    return df.withColumn("slope", F.regr_slope(F.col(value), day).over(w)).withColumn("support", F.count(value).over(w)).withColumn("first_point", F.min(micros(ts)).over(w))
+    span = int(days * DAY)
+    w = back(key, ts, span)
+    rows = with_reach(df, micros(ts), span, width)
+    return rows.withColumns({"slope": slope_over(w, value, ts), "support": F.count(value).over(w), "first_point": F.min(micros(ts)).over(w)}).where("not copy").drop("copy")
+
+
+def trailing_slopes(df: DataFrame, key: str, days: list[int], value: str = "value", ts: str = "ts", width: int = WIDTH) -> DataFrame:
+    """key, days, slope, support of each row for each length of range, in one pass over the rows."""
+    rows = with_reach(df, micros(ts), max(days) * DAY, width)
+    own = {f"r{d}": F.struct(F.lit(d).alias("days"), slope_over(back(key, ts, d * DAY), value, ts).alias("slope"), F.count(value).over(back(key, ts, d * DAY)).alias("support")) for d in days}
+    return rows.withColumns(own).where("not copy").select(key, F.explode(F.array(*own)).alias("r")).select(key, "r.*")
 
 
 def label(slope: Column, threshold: float) -> Column:
@@ -65,29 +92,53 @@ def label(slope: Column, threshold: float) -> Column:
     return F.when(slope < -threshold, "FALLING").when(slope > threshold, "RISING").otherwise("STABLE")
 
 
-def tumbling(df: DataFrame, key: str, rows: int, max_gap: int, ts: str = "ts", tie: str = "event_id") -> DataFrame:
+def tumbling(df: DataFrame, key: str, rows: int, max_gap: int, ts: str = "ts", tie: str = "event_id", width: int = WIDTH) -> DataFrame:
     """Adds block: consecutive whole blocks of `rows` rows inside each span; remainders go."""
-    w = Window.partitionBy(key, "island").orderBy(ts, tie)
-    numbered = islands(df, key, max_gap, ts, tie).withColumn("block", F.floor((F.row_number().over(w) - 1) / rows))
+    order = [ts, tie]
+    placed = running(islands(df, key, max_gap, ts, tie, width), key, order, {"place": ("sum", F.lit(1))})
+    begins = F.when((F.col("gap") > max_gap) | (F.col("gap") <= 0) | F.col("gap").isNull(), F.col("place"))
+    numbered = running(placed, key, order, {"begin": ("max", begins)}).withColumn("block", F.floor((F.col("place") - F.col("begin")) / rows))
     size = F.count("*").over(Window.partitionBy(key, "island", "block"))
-    return numbered.withColumn("size", size).where(F.col("size") == rows).drop("size")
+    return numbered.withColumn("size", size).where(F.col("size") == rows).drop("size", "place", "begin")
 
 
-def endpoint_delta(df: DataFrame, key: str, days: float, value: str = "value", ts: str = "ts") -> DataFrame:
+def endpoint_delta(df: DataFrame, key: str, days: float, value: str = "value", ts: str = "ts", width: int = WIDTH) -> DataFrame:
     """Adds delta: change a day between the first and last row of [ts - days, ts]; null where no time passed."""
-    w = Window.partitionBy(key).orderBy(micros(ts)).rangeBetween(-int(days * 86_400_000_000), 0)
-    elapsed = (F.max(micros(ts)).over(w) - F.min(micros(ts)).over(w)) / F.lit(86_400_000_000.0)
-    return df.withColumn("delta", F.when(elapsed > 0, (F.last(value).over(w) - F.first(value).over(w)) / elapsed))
+    w = back(key, ts, int(days * DAY))
+    elapsed = (F.max(micros(ts)).over(w) - F.min(micros(ts)).over(w)) / F.lit(float(DAY))
+    rows = with_reach(df, micros(ts), int(days * DAY), width)
+    return rows.withColumn("delta", F.when(elapsed > 0, (F.last(value).over(w) - F.first(value).over(w)) / elapsed)).where("not copy").drop("copy")
 
 
-def eligible(df: DataFrame, key: str, days: float, support: int, max_gap: int, ts: str = "ts") -> DataFrame:
+def eligible(df: DataFrame, key: str, days: float, support: int, max_gap: int, ts: str = "ts", tie: str = "event_id", width: int = WIDTH) -> DataFrame:
     """Adds eligible: the range [ts - days, ts] has the rows, begins early enough and lies within one island."""
-    span = int(days * 86_400_000_000)
-    w = Window.partitionBy(key).orderBy(micros(ts)).rangeBetween(-span, 0)
+    span = int(days * DAY)
+    w = back(key, ts, span)
     whole = (F.count("*").over(w) >= support) & (F.min(micros(ts)).over(w) <= micros(ts) - span + max_gap)
-    return islands(df, key, max_gap, ts).withColumn("eligible", whole & (F.first("island").over(w) == F.col("island")))
+    rows = with_reach(islands(df, key, max_gap, ts, tie, width), micros(ts), span, width)
+    return rows.withColumn("eligible", whole & (F.first("island").over(w) == F.col("island"))).where("not copy").drop("copy")
 
 
-def row_blocks(df: DataFrame, key: str, rows: int, ts: str = "ts", tie: str = "event_id") -> DataFrame:
+def row_blocks(df: DataFrame, key: str, rows: int, ts: str = "ts", tie: str = "event_id", width: int = WIDTH) -> DataFrame:
     """Adds block: consecutive blocks of `rows` rows of a key, gaps or not; the last may be shorter."""
-    return df.withColumn("block", F.floor((F.row_number().over(Window.partitionBy(key).orderBy(ts, tie)) - 1) / rows))
+    placed = running(sliced(df, micros(ts), width), key, [ts, tie], {"place": ("sum", F.lit(1))})
+    return placed.withColumn("block", F.floor((F.col("place") - 1) / rows)).drop("place")
+
+
+def window_features(blocks: DataFrame, key: str, value: str = "value", ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """key, window_start, window_end and ten statistics of each whole block of tumbling().
+
+    A step of zero is flat; the slope is per minute.
+    """
+    step = F.col(value) - F.lag(value).over(Window.partitionBy(key, "island", "block").orderBy(ts, tie))
+    t, minute = micros(ts), (micros(ts) - F.lit(EPOCH_2024)) / F.lit(60_000_000.0)
+    quarters = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
+    found = blocks.withColumn("step", step).groupBy(key, "island", "block").agg(
+        F.min(t).alias("window_start"), F.max(t).alias("window_end"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"),
+        quarters.alias("quarters"), F.avg(F.abs("step")).alias("mean_abs_step"), F.stddev_pop("step").alias("step_std"), F.avg((F.col("step") == 0).cast("int")).alias("flat_fraction"),
+        F.regr_slope(value, minute).alias("slope_minute"),
+    )
+    return found.withColumn("q25", F.col("quarters")[0]).withColumn("q75", F.col("quarters")[1]).drop("island", "block", "quarters")
+
+
+STATISTICS = ["mean", "std", "min", "max", "q25", "q75", "mean_abs_step", "step_std", "flat_fraction", "slope_minute"]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, joins, signals, splits
+from ..operators import distribution, evaluation, joins, sequences, signals, splits
 from ..operators import timeseries as ts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,9 +24,13 @@ def oracle_sql() -> dict[str, str]:
     return dict(_oracles)
 
 
-def query(sql: str) -> Callable[[Query], Query]:
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query with its SQL; without SQL, a test holds it to another implementation."""
+
     def register(f: Query) -> Query:
-        _queries[f.__name__], _oracles[f.__name__] = f, sql
+        _queries[f.__name__] = f
+        if sql:
+            _oracles[f.__name__] = sql
         return f
 
     return register
@@ -195,7 +199,7 @@ def w13_embargo(spark, d):
 def w16_chronology(spark, d):
     rows = splits.chronological_split(table(spark, d, "events"), "user_id", DAY).where("split <> 'excluded_embargo'")
     rank = F.when(F.col("split") == "train", 0).when(F.col("split") == "validation", 1).otherwise(2)
-    return rows.select((rank < F.lag(rank).over(Window.partitionBy("user_id").orderBy("t"))).alias("later")).agg(F.count_if("later").alias("violations"))
+    return sequences.lagged(rows, "user_id", ["t", "i"], {"before": rank}).agg(F.count_if(rank < F.col("before")).alias("violations"))
 
 
 @query("""WITH a AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)
@@ -206,8 +210,10 @@ def w10_shift_features(spark, d):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.05), 6) AS q05, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.95), 6) AS q95, round(stddev_pop(value), 6) AS std0, round(stddev_samp(value), 6) AS std1 FROM events GROUP BY event_type")
 def a08_quantiles(spark, d):
-    q = lambda p: r6(F.percentile("value", p))
-    return table(spark, d, "events").groupBy("event_type").agg(q(0.05).alias("q05"), q(0.5).alias("q50"), q(0.95).alias("q95"), r6(F.stddev_pop("value")).alias("std0"), r6(F.stddev_samp("value")).alias("std1"))
+    e = table(spark, d, "events").select("event_type", "value")
+    q = distribution.quantiles(e, "event_type", "value", {"q05": 0.05, "q50": 0.5, "q95": 0.95})
+    std = e.groupBy("event_type").agg(r6(F.stddev_pop("value")).alias("std0"), r6(F.stddev_samp("value")).alias("std1"))
+    return std.join(q.select("event_type", *(r6(c).alias(c) for c in ("q05", "q50", "q95"))), "event_type", "left")
 
 
 @query("SELECT event_type, round(skewness(value), 6) AS skew, round(corr(value, epoch_us(ts)::DOUBLE), 6) AS pearson FROM events GROUP BY event_type")
@@ -300,8 +306,8 @@ rank() OVER (PARTITION BY event_type ORDER BY user_id) + (count(*) OVER (PARTITI
 SELECT event_type, round(corr(a, b), 6) AS spearman FROM r GROUP BY event_type""")
 def a14_spearman(spark, d):
     rows, rank = table(spark, d, "events").select("event_type", "value", "user_id"), F.col("below") + 1 + (F.col("same") - 1) / 2
-    rows = _placed(rows, "event_type", "value").select("event_type", "user_id", rank.alias("a"))
-    rows = _placed(rows, "event_type", "user_id").select("event_type", "a", rank.alias("b"))
+    rows = distribution.placed(rows, "event_type", "value").select("event_type", "user_id", rank.alias("a"))
+    rows = distribution.placed(rows, "event_type", "user_id").select("event_type", "a", rank.alias("b"))
     return rows.groupBy("event_type").agg(r6(F.corr("a", "b")).alias("spearman"))
 
 
@@ -327,20 +333,17 @@ DFT = """(SELECT vec_id, k, power(list_sum(list_transform(range(64), lambda i: e
 
 @query(f"SELECT vec_id, round(sum(p) FILTER (k BETWEEN 2 AND 8) / sum(p), 5) AS band_ratio FROM {DFT} GROUP BY vec_id")
 def n02_band_ratio(spark, d):
-    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
-    wave = lambda f: F.expr(f"aggregate(transform(x, (v, i) -> v * {f}(2 * pi() * k * i / 64)), 0D, (a, b) -> a + b)")
-    power = rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(32)))).withColumn("p", wave("cos") * wave("cos") + wave("sin") * wave("sin"))
-    return power.groupBy("vec_id").agg(F.round(F.sum(F.when(F.col("k").between(2, 8), F.col("p"))) / F.sum("p"), 5).alias("band_ratio"))
+    # The whole spectrum of a vector in its row: the band is of places 2 to 8 of 64 at a rate of 64.
+    rows = table(spark, d, "embeddings").select("vec_id", signals.band(F.col("embedding").cast("array<double>"), 64.0, (2.0, 8.0), (1.0, 32.0), detrend=False).alias("f"))
+    return rows.select("vec_id", F.round("f.ratio", 5).alias("band_ratio"))
 
 
 @query("""WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v FROM embeddings)
 SELECT vec_id, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 6) AS iqr, count(DISTINCT v) / count(*) AS unique_share FROM x GROUP BY vec_id""")
 def n03_channel_quality(spark, d):
-    x = table(spark, d, "embeddings").select("vec_id", F.explode(F.col("embedding").cast("array<double>")).alias("v"))
-    return x.groupBy("vec_id").agg(
-        r6(F.avg("v")).alias("mean"), r6(F.stddev_pop("v")).alias("std"), r6(F.percentile("v", 0.5)).alias("median"),
-        r6(F.percentile("v", 0.75) - F.percentile("v", 0.25)).alias("iqr"), (F.count_distinct("v") / F.count("*")).alias("unique_share"),
-    )
+    rows = table(spark, d, "embeddings").select("vec_id", signals.moments("embedding").alias("f"))
+    own = {"mean": F.col("f.mean"), "std": F.col("f.std"), "median": F.col("f.median"), "iqr": F.col("f.q75") - F.col("f.q25")}
+    return rows.select("vec_id", *(r6(c).alias(n) for n, c in own.items()), F.col("f.unique_share").alias("unique_share"))
 
 
 @query(f"""SELECT p.event_id, round(quantile_cont((b.value - a.value) / ((epoch_us(b.ts) - epoch_us(a.ts)) / {DAY}.0), 0.5), 6) AS slope FROM events p
@@ -358,12 +361,14 @@ def w05_theil_sen_all(spark, d):
 
 
 def _theil_sen(spark, d, ends):
-    """Median slope over the pairs of the three days up to each event that meets `ends`."""
-    w = Window.partitionBy("user_id").orderBy(ts.micros("ts")).rangeBetween(-3 * DAY, 0)
-    rows = table(spark, d, "events").withColumn("seen", F.collect_list(F.struct(ts.micros("ts").alias("t"), "value")).over(w)).where(ends)
-    a = rows.select("event_id", "seen", F.explode("seen").alias("a")).select("event_id", "a", F.explode("seen").alias("b")).where("a.t < b.t")
-    slope = (F.col("b.value") - F.col("a.value")) / ((F.col("b.t") - F.col("a.t")) / F.lit(float(DAY)))
-    return a.groupBy("event_id").agg(r6(F.percentile(slope, 0.5)).alias("slope"))
+    """Median slope over the pairs of the three days up to each event that meets `ends`; pairs are made in the row."""
+    e = table(spark, d, "events").withColumn("t", ts.micros("ts"))
+    points = e.where(ends).select("event_id", "user_id", (F.col("t") - 3 * DAY).alias("a"), F.col("t").alias("b"))
+    rows = joins.history_join(points, e.select("user_id", "value", "t"), "user_id", "a", "b", "t", 3 * DAY)
+    seen = rows.groupBy("event_id").agg(F.collect_list(F.struct("t", "value")).alias("seen"))
+    slope = lambda a: lambda b: (b["value"] - a["value"]) / ((b["t"] - a["t"]) / F.lit(float(DAY)))
+    pairs = F.flatten(F.transform("seen", lambda a: F.transform(F.filter("seen", lambda b: b["t"] > a["t"]), slope(a))))
+    return seen.select("event_id", r6(signals.quantile(F.array_sort(F.array_compact(pairs)), 0.5)).alias("slope")).where("slope IS NOT NULL")
 
 
 @query("SELECT event_type, count_if(user_id % 2 = 0) AS even, count_if(user_id % 2 = 1) AS odd FROM events GROUP BY event_type")
@@ -381,20 +386,7 @@ def w15_dedupe(spark, d):
 @query("SELECT o_orderkey, round(cume_dist() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice), 6) AS ecdf FROM orders")
 def a32_ecdf(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    return _placed(rows, "o_orderstatus", "o_totalprice").select("o_orderkey", r6((F.col("below") + F.col("same")) / F.col("total")).alias("ecdf"))
-
-
-def _placed(rows, group, value, ranges=200):
-    """rows with how many of their group (of few groups) have a lower value, the same one, and any."""
-    # Cumulated within ranges of the value first, so that no task sorts a whole group.
-    cuts = rows.groupBy(F.col(group).alias("g")).agg(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], 10_000).alias("cuts"))
-    steps = rows.groupBy(F.col(group).alias("its_group"), F.col(value).alias("its_value")).agg(F.count("*").alias("same"))
-    steps = steps.join(F.broadcast(cuts), F.col("its_group").eqNullSafe(F.col("g"))).select("its_group", "its_value", "same", F.size(F.filter("cuts", lambda c: c < F.col("its_value"))).alias("part"))
-    totals, lower = steps.groupBy(F.col("its_group").alias("g"), F.col("part").alias("p")).agg(F.sum("same").alias("m")), Window.partitionBy("g").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("g", "p", F.coalesce(F.sum("m").over(lower), F.lit(0)).alias("m0"), F.sum("m").over(Window.partitionBy("g")).alias("total"))
-    steps = steps.withColumn("upto", F.sum("same").over(Window.partitionBy("its_group", "part").orderBy("its_value")))
-    steps = steps.join(F.broadcast(base), F.col("its_group").eqNullSafe(F.col("g")) & (F.col("part") == F.col("p"))).select("its_group", "its_value", "same", (F.col("m0") + F.col("upto") - F.col("same")).alias("below"), "total")
-    return rows.join(steps, F.col(group).eqNullSafe(F.col("its_group")) & F.col(value).eqNullSafe(F.col("its_value"))).drop("its_group", "its_value")
+    return distribution.placed(rows, "o_orderstatus", "o_totalprice").select("o_orderkey", r6((F.col("below") + F.col("same")) / F.col("total")).alias("ecdf"))
 
 
 ORDERED = "SELECT *, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events"
@@ -481,7 +473,7 @@ def w19_thresholds(spark, d):
 
 @query(f"SELECT event_id, round(CASE WHEN q25 <= 0 THEN 1.0 ELSE least(greatest(value / q25, 0.25), 1.0) END, 6) AS weight, value >= q10 AS kept FROM events JOIN ({TRAIN_Q}) USING (user_id)")
 def w20_policy(spark, d):
-    rows = table(spark, d, "events").join(_train_quantiles(spark, d), "user_id")
+    rows = joins.lookup(table(spark, d, "events"), _train_quantiles(spark, d), ["user_id"])
     weight = F.when(F.col("q25") <= 0, 1.0).otherwise(F.least(F.greatest(F.col("value") / F.col("q25"), F.lit(0.25)), F.lit(1.0)))
     return rows.select("event_id", r6(weight).alias("weight"), (F.col("value") >= F.col("q10")).alias("kept"))
 
@@ -521,9 +513,9 @@ def u04_distinct(spark, d):
 
 @query(" UNION ALL ".join(f"SELECT {h} AS days, count_if(label = 'FALLING') AS falling, count_if(label = 'STABLE') AS stable, count_if(label = 'RISING') AS rising, count(*) AS eligible FROM ({_slopes_sql(h)})" for h in (2, 3, 5)))
 def a01_protocol_totals(spark, d):
-    n = lambda x: F.count_if(F.col("label") == x.upper()).alias(x)
-    of = lambda h: _slopes(spark, d, h).agg(n("falling"), n("stable"), n("rising"), F.count("*").alias("eligible")).select(F.lit(h).alias("days"), "*")
-    return of(2).unionAll(of(3)).unionAll(of(5))
+    rows = ts.trailing_slopes(table(spark, d, "events"), "user_id", [2, 3, 5]).where("support >= 4")
+    n = lambda x: F.count_if(ts.label(F.col("slope"), 20) == x.upper()).alias(x)
+    return rows.groupBy("days").agg(n("falling"), n("stable"), n("rising"), F.count("*").alias("eligible"))
 
 
 @query(f"SELECT label, count(DISTINCT user_id) AS users FROM ({_slopes_sql(3)}) GROUP BY label")
@@ -543,7 +535,8 @@ def a15_corr_summary(spark, d):
 SELECT a.k AS before, b.k AS after, coalesce(n, 0) AS n FROM k a CROSS JOIN k b LEFT JOIN c ON before = a.k AND after = b.k""")
 def a19_transitions(spark, d):
     e = table(spark, d, "events")
-    met = e.select(F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("before"), F.col("event_type").alias("after")).where("before IS NOT NULL")
+    rows = sequences.sliced(e.select("user_id", "ts", "event_id", "event_type"), ts.micros("ts"))
+    met = sequences.lagged(rows, "user_id", ["ts", "event_id"], {"before": F.col("event_type")}).select("before", F.col("event_type").alias("after")).where("before IS NOT NULL")
     kinds = e.agg(F.collect_set("event_type").alias("kinds"))  # a handful of event types
     cells = kinds.select(F.explode("kinds").alias("before"), "kinds").select("before", F.explode("kinds").alias("after"))
     return cells.join(met.groupBy("before", "after").agg(F.count("*").alias("n")), ["before", "after"], "left").fillna(0, ["n"])
@@ -562,8 +555,8 @@ FROM ({_slopes_sql(3)}) a JOIN ({_slopes_sql(2)}) b USING (event_id) GROUP BY AL
 def a22_margins(spark, d):
     rows = _slopes(spark, d, 3).join(_slopes(spark, d, 2).select("event_id", F.col("label").alias("other")), "event_id")
     rows = rows.select((F.col("label") == F.col("other")).alias("agree"), F.abs(F.abs("slope") - 20).alias("margin"))
-    q = lambda p: r6(F.percentile("margin", p / 100)).alias(f"q{p}")
-    return rows.groupBy("agree").agg(F.count("*").alias("n"), q(10), q(50), q(90))
+    q = distribution.quantiles(rows, "agree", "margin", {"q10": 0.1, "q50": 0.5, "q90": 0.9})
+    return rows.groupBy("agree").agg(F.count("*").alias("n")).join(q, "agree", "left").select("agree", "n", *(r6(c).alias(c) for c in ("q10", "q50", "q90")))
 
 
 @query("""WITH k AS (SELECT event_type, count(*) / (SELECT count(*) FROM events) AS q FROM events GROUP BY event_type), u AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id),
@@ -683,3 +676,7 @@ def n06_cross_channel(spark, d):
     pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), signals.relation(channel(a), channel(b)).alias("f")) for a in range(4) for b in range(a + 1, 4)]
     rows = table(spark, d, "embeddings").select("vec_id", F.explode(F.array(*pairs)).alias("p"))
     return rows.select("vec_id", "p.a", "p.b", *(F.round(f"p.f.{c}", 5).alias(c) for c in ("pearson", "range_ratio", "deviation_ratio")))
+
+
+# The rest of the queries register themselves here.
+from . import audits, contracts, kernels, study  # noqa: E402, F401
