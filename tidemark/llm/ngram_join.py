@@ -350,9 +350,10 @@ def star_pairs(seats: DataFrame, star: int, percent: int) -> DataFrame:
     first = F.xxhash64("cid", F.lit(star)) if star else -F.col("share")
     member = F.struct(first.alias("key"), "cid", "n")
     # At first each class is a component of its own, and once in a gram.
-    one = seats.groupBy("gram", "hot", "root").agg(F.min(member).alias("m")) if star else seats.select("gram", "hot", "root", member.alias("m"))
-    cold = one.where("not hot").select("gram", "m", F.min("m").over(Window.partitionBy("gram")).alias("anchor"))
-    hot = one.where("hot")  # of at most as many grams as are common
+    each = lambda rows: rows.groupBy("gram", "root").agg(F.min(member).alias("m")) if star else rows.select("gram", "root", member.alias("m"))
+    # Rows of a gram that isn't hot are few, so one shuffle serves their components and their anchor.
+    cold = each(seats.where("not hot").repartition("gram")).select("gram", "m", F.min("m").over(Window.partitionBy("gram")).alias("anchor"))
+    hot = each(seats.where("hot"))  # of at most as many grams as are common
     hot = hot.join(F.broadcast(hot.groupBy("gram").agg(F.min("m").alias("anchor"))), "gram").select("gram", "m", "anchor")
     pairs = cold.union(hot).select(F.col("anchor.cid").alias("a"), F.col("anchor.n").alias("na"), F.col("m.cid").alias("b"), F.col("m.n").alias("nb"))
     pairs = pairs.where(F.col("a") != F.col("b")).where(alike_sizes(percent))
@@ -370,14 +371,18 @@ def remaining_pairs(seats: DataFrame, sets: DataFrame, percent: int) -> DataFram
     hot = seats.where("hot")
     stats = hot.groupBy("gram").agg(low.alias("low"), high.alias("high"), F.ceil(F.count("*") / PAIRED).alias("blocks")).where("low <> high")
     hot = hot.join(F.broadcast(stats.drop("low", "high")), "gram").select(cold.columns)
-    # A class that several tasks met has as many equal bitmaps.
+    # A class that several tasks met has as many equal bitmaps. They grow with the classes, so they are not broadcast.
     bits = sets.where("bits is not null").groupBy("cid").agg(F.first("bits").alias("bits"))
-    left = stored(cold.union(hot).drop("share", "hot").join(bits, "cid"), "seats")
-    side = lambda x, block: left.select("gram", block.alias("block"), *(F.col(c).alias(f"{c}_{x}") for c in ("root", "before", "after", "bits")), F.col("cid").alias(x), F.col("n").alias(f"n{x}"))
-    # Classes of a hot gram are dealt into blocks; each class meets every block.
-    one, other = side("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))), side("b", F.pmod(F.xxhash64("cid"), F.col("blocks")))
-    pairs = one.join(other, ["gram", "block"]).where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))).where(alike_sizes(percent) & room_for_overlap(percent) & few_differences(percent))
-    pairs = pairs.groupBy("a", "b", "na", "nb").count().where(F.col("count") >= prefix_overlap_needed(percent))
+    left = stored(cold.union(hot).drop("share").join(bits.hint("merge"), "cid"), "seats")
+    side = lambda rows, x: rows.select("gram", "block", *(F.col(c).alias(f"{c}_{x}") for c in ("root", "before", "after", "bits")), F.col("cid").alias(x), F.col("n").alias(f"n{x}"))
+    # Both sides of the first join are one and the same shuffle. Classes of a hot gram are dealt into blocks, and each
+    # class meets every block.
+    one = left.where("not hot").withColumn("block", F.lit(0).cast("long"))
+    near = side(one, "a").drop("block").join(side(one, "b").drop("block"), "gram")
+    every, own = (left.where("hot").withColumn("block", c) for c in (F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)), F.pmod(F.xxhash64("cid"), F.col("blocks"))))
+    far = side(every, "a").join(side(own, "b"), ["gram", "block"])
+    apart = lambda rows: rows.where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))).where(alike_sizes(percent) & room_for_overlap(percent) & few_differences(percent)).select("a", "b", "na", "nb")
+    pairs = apart(near).union(apart(far)).groupBy("a", "b", "na", "nb").count().where(F.col("count") >= prefix_overlap_needed(percent))
     found = stored(pairs.select("a", "b"), "pairs")
     release(left)
     return found
