@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, language_id, ngram_join, packing, toxicity
-from tidemark.llm.rows import ids_repeat, one_of_each
+from tidemark.llm.rows import ids_repeat, one_of_each, only
 from tidemark.llm.storage import stored
 
 END_ID, SEQUENCE = 2, 1024
@@ -42,8 +42,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         linked = lambda rows: ngram_join.jaccard_components(rows, words=5, percent=80).select("doc_id", "component_id")
         return one_of_each(docs, linked, largest=False)
     near = ngram_join.jaccard_components(docs, words=5, percent=80)
-    stays = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
-    return docs.join(stays, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    return only(docs, near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
