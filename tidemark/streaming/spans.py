@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -13,28 +14,28 @@ def span_stream(stream: DataFrame, key: str, max_gap: int, delay: str = "1 hour"
     """key, span_start, span_end (microseconds), n_rows of each closed span, appended as spans close.
 
     A span breaks where the time since the row before is over max_gap microseconds or not positive, so a row that
-    comes late breaks it; rows older than the watermark go. Rows of one micro-batch are taken in time order; a key's rows of one micro-batch are held
-    together, so bound these (maxFilesPerTrigger). An open span closes once the watermark is past its end by max_gap.
-    Rows with a null time go.
+    comes late breaks it; rows older than the watermark go. Rows of one micro-batch are taken in time order; a key's
+    times of one micro-batch are held together as one array, so bound these (maxFilesPerTrigger). An open span closes
+    once the watermark is past its end by max_gap. Rows with a null time go.
     """
 
     def follow(k: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         start, last, rows = state.get if state.exists else (None, None, 0)
-        closed = []
         if state.hasTimedOut:
             state.remove()
             yield pd.DataFrame({key: [k[0]], "span_start": [start], "span_end": [last], "n_rows": [rows]})
             return
-        for t in sorted(t for chunk in chunks for t in chunk["t"]):
-            if last is not None and 0 < t - last <= max_gap:
-                last, rows = t, rows + 1
-                continue
-            if last is not None:
-                closed.append((k[0], start, last, rows))
-            start, last, rows = t, t, 1
-        state.update((start, last, rows))
-        state.setTimeoutTimestamp(max((last + max_gap) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(closed, columns=[key, "span_start", "span_end", "n_rows"])
+        t = np.sort(np.concatenate([c["t"].to_numpy(np.int64) for c in chunks]))
+        seen = t if last is None else np.concatenate([[last], t])
+        gap = np.diff(seen)
+        begins = np.flatnonzero((gap <= 0) | (gap > max_gap)) + 1  # places in `seen` where a new span begins
+        first, ends = np.concatenate([[0], begins]), np.concatenate([begins, [len(seen)]])
+        starts, n = seen[first], ends - first
+        if last is not None:  # the open span began earlier and has rows of its own
+            starts[0], n[0] = start, n[0] - 1 + rows
+        state.update((int(starts[-1]), int(seen[-1]), int(n[-1])))
+        state.setTimeoutTimestamp(max((int(seen[-1]) + max_gap) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({key: [k[0]] * (len(n) - 1), "span_start": starts[:-1], "span_end": seen[ends[:-1] - 1], "n_rows": n[:-1]})
 
     rows = stream.where(f"{ts} IS NOT NULL").selectExpr(key, f"cast({ts} as timestamp) AS at").withWatermark("at", delay)
     kind = rows.schema[key].dataType.simpleString()
