@@ -22,6 +22,11 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), where value is worked out once and not once for every element that asks for it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def finite(values: str | Column) -> Column:
     """The values that are neither null nor NaN nor infinite."""
     return F.filter(_doubles(values), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
@@ -37,19 +42,25 @@ def quantile(ascending: Column, p: float) -> Column:
 def moments(values: str | Column) -> Column:
     """Struct of statistics of the finite values: n, mean, std (of the population), min, q25, median, q75, max,
     unique_share, flat_share (of steps), extrema_share, and the adjusted skew and kurtosis (null where undefined)."""
-    x = finite(values)
-    s, n = F.array_sort(x), F.size(x).cast("double")
-    mean = F.try_divide(_sum(x), n)
-    power = lambda k: F.try_divide(_sum(F.transform(x, lambda v: F.pow(v - mean, F.lit(k)))), n)
-    low, high = F.array_min(x), F.array_max(x)
-    steps = F.zip_with(F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0))), F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))), lambda a, b: b - a)
-    share = lambda array, hit: F.try_divide(F.size(F.filter(array, hit)).cast("double"), F.size(array))
-    m2, m3, m4 = power(2), power(3), power(4)
-    skew = F.when((n > 2) & (m2 > 0), F.sqrt(n * (n - 1)) / (n - 2) * m3 / F.pow(m2, F.lit(1.5)))
-    kurtosis = F.when((n > 3) & (m2 > 0), (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / (m2 * m2) - 3) + 6))
-    fields = {"n": n, "mean": mean, "std": F.sqrt(m2), "min": low, "q25": quantile(s, 0.25), "median": quantile(s, 0.5), "q75": quantile(s, 0.75), "max": high}
-    fields |= {"unique_share": F.try_divide(F.size(F.array_distinct(x)).cast("double"), n), "flat_share": share(steps, lambda v: v == 0), "extrema_share": share(x, lambda v: (v == low) | (v == high))}
-    return F.struct(*(c.alias(k) for k, c in {**fields, "skew": skew, "kurtosis": kurtosis}.items()))
+    return _let(finite(values), lambda x: _let(F.struct(F.try_divide(_sum(x), F.size(x)).alias("mean"), F.array_min(x).alias("low"), F.array_max(x).alias("high"), F.array_sort(x).alias("s")), lambda k: _moments(x, k)))
+
+
+def _moments(x: Column, known: Column) -> Column:
+    mean, low, high, s, n = known["mean"], known["low"], known["high"], known["s"], F.size(x).cast("double")
+    start = F.struct(*(F.lit(0.0).alias(f"p{k}") for k in (2, 3, 4)), F.lit(0.0).alias("extrema"))
+    add = lambda a, v: F.struct(*((a[f"p{k}"] + F.pow(v - mean, F.lit(k))).alias(f"p{k}") for k in (2, 3, 4)), (a["extrema"] + F.when((v == low) | (v == high), 1.0).otherwise(0.0)).alias("extrema"))
+    less = F.greatest(F.size(x) - 1, F.lit(0))
+    steps = F.zip_with(F.slice(x, 1, less), F.slice(x, 2, less), lambda a, b: b - a)
+
+    def fields(p: Column) -> Column:
+        m2, m3, m4 = (F.try_divide(p[f"p{k}"], n) for k in (2, 3, 4))
+        own = {"n": n, "mean": mean, "std": F.sqrt(m2), "min": low, "q25": quantile(s, 0.25), "median": quantile(s, 0.5), "q75": quantile(s, 0.75), "max": high}
+        own |= {"unique_share": F.try_divide(F.size(F.array_distinct(s)).cast("double"), n), "flat_share": F.try_divide(F.size(F.filter(steps, lambda v: v == 0)).cast("double"), less), "extrema_share": F.try_divide(p["extrema"], n)}
+        own["skew"] = F.when((n > 2) & (m2 > 0), F.sqrt(n * (n - 1)) / (n - 2) * m3 / F.pow(m2, F.lit(1.5)))
+        own["kurtosis"] = F.when((n > 3) & (m2 > 0), (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / (m2 * m2) - 3) + 6))
+        return F.struct(*(c.alias(k) for k, c in own.items()))
+
+    return _let(F.aggregate(x, start, add), fields)
 
 
 def batched(kind: str, fn: Callable[[np.ndarray], list | np.ndarray], least: int = 1) -> Callable[[Column], Column]:
@@ -226,34 +237,44 @@ def quality_index(flat: Column, log_iqr: Column, band_ratio: Column, motion: Col
 def robust_scores(values: str | Column) -> Column:
     """Values less their median over their interquartile range, which counts as 1e-12 at least."""
     y = _doubles(values)
-    s = F.array_sort(y)
-    return F.transform(y, lambda v: (v - quantile(s, 0.5)) / F.greatest(quantile(s, 0.75) - quantile(s, 0.25), F.lit(1e-12)))
+    known = _let(F.array_sort(y), lambda s: F.struct(quantile(s, 0.5).alias("m"), F.greatest(quantile(s, 0.75) - quantile(s, 0.25), F.lit(1e-12)).alias("r")))
+    return _let(known, lambda k: F.transform(y, lambda v: (v - k["m"]) / k["r"]))
 
 
 def detrended(values: str | Column) -> Column:
     """Struct of slope (per place) and residuals from the least-squares line."""
     y = _doubles(values)
     n = F.size(y)
-    mid, mean = (n - 1) / F.lit(2.0), F.try_divide(_sum(y), n)
-    spread = n * (n * n.cast("double") - 1) / 12
-    slope = F.try_divide(_sum(F.transform(y, lambda v, i: (i - mid) * v)), spread)
-    return F.struct(slope.alias("slope"), F.transform(y, lambda v, i: v - mean - slope * (i - mid)).alias("residuals"))
+    mid = (n - 1) / F.lit(2.0)
+    slope = F.try_divide(_sum(F.transform(y, lambda v, i: (i - mid) * v)), n * (n * n.cast("double") - 1) / 12)
+    line = F.struct(F.try_divide(_sum(y), n).alias("mean"), slope.alias("slope"))
+    return _let(line, lambda k: F.struct(k["slope"].alias("slope"), F.transform(y, lambda v, i: v - k["mean"] - k["slope"] * (i - mid)).alias("residuals")))
+
+
+def centred(values: str | Column) -> Column:
+    y = _doubles(values)
+    return _let(F.try_divide(_sum(y), F.size(y)), lambda mean: F.transform(y, lambda v: v - mean))
 
 
 def z_scores(values: str | Column) -> Column:
     """Values less their mean over their population deviation, which counts as 1e-12 at least."""
-    y = _doubles(values)
-    mean = F.try_divide(_sum(y), F.size(y))
-    deviation = F.sqrt(F.try_divide(_sum(F.transform(y, lambda v: (v - mean) * (v - mean))), F.size(y)))
-    return F.transform(y, lambda v: (v - mean) / F.greatest(deviation, F.lit(1e-12)))
+
+    def scaled(c: Column) -> Column:
+        deviation = F.sqrt(F.try_divide(_sum(F.transform(c, lambda v: v * v)), F.size(c)))
+        return _let(F.greatest(deviation, F.lit(1e-12)), lambda d: F.transform(c, lambda v: v / d))
+
+    return _let(centred(values), scaled)
 
 
 def relation(a: Column, b: Column) -> Column:
     """Struct of Pearson r (null for a constant channel), and a's peak-to-peak and deviation over b's."""
     x, y = _doubles(a), _doubles(b)
-    n = F.size(x)
-    centred = lambda v: F.transform(v, lambda e: e - F.try_divide(_sum(v), n))
     dot = lambda p, q: _sum(F.zip_with(p, q, lambda i, j: i * j))
-    xx, yy, xy = dot(centred(x), centred(x)), dot(centred(y), centred(y)), dot(centred(x), centred(y))
     reach = lambda v: F.array_max(v) - F.array_min(v)
-    return F.struct(F.try_divide(xy, F.sqrt(xx * yy)).alias("pearson"), F.try_divide(reach(x), reach(y)).alias("range_ratio"), F.sqrt(F.try_divide(xx, yy)).alias("deviation_ratio"))
+    ratio = F.try_divide(reach(x), reach(y))
+
+    def fields(c: Column) -> Column:
+        xx, yy, xy = dot(c["x"], c["x"]), dot(c["y"], c["y"]), dot(c["x"], c["y"])
+        return F.struct(F.try_divide(xy, F.sqrt(xx * yy)).alias("pearson"), ratio.alias("range_ratio"), F.sqrt(F.try_divide(xx, yy)).alias("deviation_ratio"))
+
+    return _let(F.struct(centred(x).alias("x"), centred(y).alias("y")), fields)
