@@ -103,8 +103,9 @@ def test_band_pass_has_butterworth_gain_and_no_delay(low, high):
 def test_band_pass_of_mixed_sines(spark):
     t = np.arange(30 * 64) / 64
     x = np.sin(2 * np.pi * 2 * t) + 2 * np.sin(2 * np.pi * 0.1 * t)
-    passed = column(spark, [x, x[:15], None]).withColumn("y", signals.band_pass("x", 64.0, 0.5, 8.0))
-    z = one(passed.select("i", signals.z_scores("y").alias("f")))
+    z = one(column(spark, [x, x[:15], None]).select("i", signals.band_pass("x", 64.0, 0.5, 8.0, scale="zscore").alias("f")))
+    r = np.array(one(column(spark, [x]).select("i", signals.band_pass("x", 64.0, 0.5, 8.0, scale="robust").alias("f")))[0])
+    assert math.isclose(np.median(r), 0, abs_tol=1e-9) and math.isclose(np.subtract(*np.quantile(r, [0.75, 0.25])), 1, rel_tol=1e-9)
     y = np.array(z[0])
     assert abs(y.mean()) < 1e-6 and math.isclose(y.std(), 1, rel_tol=1e-6) and np.corrcoef(y, np.sin(2 * np.pi * 2 * t))[0, 1] > 0.9
     assert z[1] is None and z[2] is None

@@ -168,10 +168,25 @@ def zero_phase(x: np.ndarray, sections: np.ndarray, gain: float) -> np.ndarray:
     return one_way(one_way(padded)[:, ::-1])[:, ::-1][:, edge : edge + x.shape[1]]
 
 
-def band_pass(values: str | Column, rate: float, low: float, high: float, order: int = 4, least: int = 16) -> Column:
-    """The values less their line, within a band, without a shift in time; null for fewer than `least` values."""
+def band_pass(values: str | Column, rate: float, low: float, high: float, order: int = 4, scale: str = "none", least: int = 16) -> Column:
+    """The values less their line, within a band, without a shift in time; null for fewer than `least` values.
+
+    scale: none, zscore (mean and deviation of the population) or robust (median and interquartile range).
+    """
     sections, gain = band_pass_sections(low, high, rate, order)
-    return batched("array<double>", lambda x: list(zero_phase(straightened(x), sections, gain)), least)(_doubles(values))
+    if scale not in ("none", "zscore", "robust"):
+        raise ValueError(f"unknown scale {scale}")
+
+    def run(x: np.ndarray) -> list:
+        y = zero_phase(straightened(x), sections, gain)
+        if scale == "zscore":
+            y = (y - y.mean(axis=1, keepdims=True)) / np.maximum(y.std(axis=1, keepdims=True), 1e-12)
+        elif scale == "robust":
+            q = np.quantile(y, [0.25, 0.5, 0.75], axis=1)[:, :, None]
+            y = (y - q[1]) / np.maximum(q[2] - q[0], 1e-12)
+        return list(y)
+
+    return batched("array<double>", run, least)(_doubles(values))
 
 
 def peaks_of(x: np.ndarray, apart: int, rise: float) -> tuple[np.ndarray, np.ndarray]:

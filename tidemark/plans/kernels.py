@@ -54,8 +54,7 @@ def n05_peaks(spark, d):
 @query()
 def n08_band_pass(spark, d):
     """Each channel without what lies outside 2 to 20 Hz, as z-scores."""
-    rows = channels(spark, d).withColumn("y", signals.band_pass("x", RATE, 2.0, 20.0))
-    return rows.select("vec_id", signals.z_scores("y").alias("filtered"))
+    return channels(spark, d).select("vec_id", signals.band_pass("x", RATE, 2.0, 20.0, scale="zscore").alias("filtered"))
 
 
 QUALITY = f"""(WITH c AS (SELECT vec_id, avg((step = 0)::INT) AS flat FROM (SELECT *, y - lag(y) OVER (PARTITION BY vec_id ORDER BY i) AS step FROM {SAMPLES}) GROUP BY vec_id),
@@ -80,7 +79,7 @@ def n11_quality_index(spark, d):
 @query()
 def n12_conditioned_windows(spark, d):
     """Statistics of the conditioned channel beside flat share and amplitude of the raw one."""
-    rows = channels(spark, d).withColumn("passed", signals.band_pass("x", RATE, 2.0, 20.0)).withColumn("y", signals.z_scores("passed"))
+    rows = channels(spark, d).withColumn("y", signals.band_pass("x", RATE, 2.0, 20.0, scale="zscore"))
     raw, own = signals.moments("x"), signals.moments("y")
     band = signals.band("y", RATE, (0.5, 8.0), (0.5, 32.0), detrend=False)["ratio"]
     return rows.select("vec_id", *(own[c].alias(c) for c in ("mean", "std", "min", "max", "q25", "q75")), raw["flat_share"].alias("flat_fraction"), F.log1p(raw["q75"] - raw["q25"]).alias("log_iqr"), F.least(band, F.lit(1.0)).alias("band_ratio"))
