@@ -20,10 +20,10 @@ def steps(rows: DataFrame, group: str, value: str, ranges: int = 200) -> DataFra
     return found.select("its_group", "its_value", "same", (F.col("m0") + F.col("upto") - F.col("same")).alias("below"), "total")
 
 
-def placed(rows: DataFrame, group: str, value: str) -> DataFrame:
+def placed(rows: DataFrame, group: str, value: str, ranges: int = 200) -> DataFrame:
     """rows with how many of their group have a lower value (below), the same one (same), and any (total)."""
     met = F.col(group).eqNullSafe(F.col("its_group")) & F.col(value).eqNullSafe(F.col("its_value"))
-    return rows.join(steps(rows, group, value), met).drop("its_group", "its_value")
+    return rows.join(steps(rows, group, value, ranges), met).drop("its_group", "its_value")
 
 
 def quantiles(rows: DataFrame, group: str, value: str, names: dict[str, float]) -> DataFrame:
