@@ -1,4 +1,4 @@
-"""The ten operators as queries over whole tables, with production parameters, and SQL where SQL can express them."""
+"""The operators as queries over whole tables, with production parameters, and SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, language_id, licenses, ngram_join, packing, token_counts, token_files, topk, toxicity
+from . import byte_bpe, conversations, exact_dedup, fingerprints, language_id, licenses, ngram_join, packing, resampling, token_counts, token_files, topk, toxicity
 from .storage import new_path
 
 WORD_BPE, BYTE_BPE, MULTI_BPE = "word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"
@@ -68,9 +68,22 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_digest(_table(spark, sf_dir, "conversations"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_token_files, op2_license_scan, op3_ngram_jaccard_join, op4_exact_dedup, op5_best_fit_packing]
     own += [op6_byte_bpe, op7_token_counts, op8_language_id, op9_toxicity, op10_exact_top_k]
+    own += [op11_fingerprints, op12_conversation_repair, op13_resampling]
     return {f.__name__: f for f in own}
 
 
