@@ -119,5 +119,75 @@ SELECT * FROM ranked WHERE rank <= 10
 """
 
 
+def _crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of a text's UTF-8 bytes: bit by bit over its bytes, as SQL has no function for it."""
+    number = f"list_transform(range(0, length(hex(encode({text}))) // 2), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    bits = "list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {number}), lambda c, b: {bits}), 4294967295)"
+
+
+_letters = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_words = f"regexp_extract_all({_letters}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_least = lambda *states: f"list_sort([{', '.join(states)}])[1]"
+_then = lambda x, cost, letter: f"{{'c': {x}.c + {cost}, 't': {x}.t || '{letter}'}}"
+
+OP12_SQL = f"""
+WITH RECURSIVE src AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32_sql("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS kind FROM conversations
+), dam AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM src
+), pos AS (
+  SELECT *, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS shown, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again FROM dam
+), f AS (
+  SELECT *, shown = '' AS blank, shown <> '' AND again AS dup, shown <> '' AND NOT again AND right(shown, 1) NOT IN ('.', '!', '?') AS cut, shown <> '' AND NOT again AS whole, left(role, 1) AS x FROM pos
+), walk AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 't': ''}} AS n, {{'c': 1000000::BIGINT, 't': ''}} AS s, {{'c': 5::BIGINT, 't': 'I'}} AS u, {{'c': 10::BIGINT, 't': 'II'}} AS a FROM (SELECT DISTINCT conv_id FROM f)
+  UNION ALL
+  SELECT conv_id, i, n, s, u, {_least('a', _then('u', 5, 'I'))} FROM (
+    SELECT conv_id, i, n, s, {_least('u', *(_then(z, 5, 'I') for z in 'nsa'))} AS u, a FROM (
+      SELECT w.conv_id, f.i, {_then('w.n', 2, 'D')} AS n,
+        {_least(_then('w.s', 2, 'D'), _then('w.n', "(CASE WHEN whole AND x = 's' THEN 5 * cut::BIGINT ELSE 1000000 END)", 'K'))} AS s,
+        {_least(_then('w.u', 2, 'D'), *(_then(f'w.{z}', "(CASE WHEN whole AND x = 'u' THEN 5 * cut::BIGINT ELSE 1000000 END)", 'K') for z in 'nsa'), *(_then(f'w.{z}', '(CASE WHEN whole THEN 1 + 5 * cut::BIGINT ELSE 1000000 END)', 'R') for z in 'nsa'))} AS u,
+        {_least(_then('w.a', 2, 'D'), _then('w.u', "(CASE WHEN whole AND x = 'a' THEN 5 * cut::BIGINT ELSE 1000000 END)", 'K'), _then('w.u', '(CASE WHEN whole THEN 1 + 5 * cut::BIGINT ELSE 1000000 END)', 'R'))} AS a
+      FROM walk w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1))
+), best AS (
+  SELECT w.conv_id, {_least('n', 'a')} AS b FROM walk w JOIN (SELECT conv_id, max(i) AS i FROM f GROUP BY conv_id) m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.i = w.i
+), edits AS (
+  SELECT conv_id, 0 AS i, unnest(range(length(regexp_extract(b.t, '^I*')))) AS k, NULL::VARCHAR AS role, '' AS text FROM best
+  UNION ALL
+  SELECT conv_id, i, k, CASE WHEN k = 0 AND letters[1] = 'K' THEN role END, CASE WHEN k = 0 THEN text ELSE '' END FROM (
+    SELECT f.conv_id, f.i, f.role, f.text, letters, unnest(range(length(letters))) AS k FROM (
+      SELECT conv_id, unnest(regexp_extract_all(b.t, '[DKR]I*')) AS letters, generate_subscripts(regexp_extract_all(b.t, '[DKR]I*'), 1) AS i FROM best) e
+    JOIN f ON f.conv_id IS NOT DISTINCT FROM e.conv_id AND f.i = e.i) WHERE NOT (k = 0 AND letters[1] = 'D')
+), placed AS (SELECT *, row_number() OVER w - 1 - (coalesce(left(first_value(role) OVER w, 1), '') = 's')::BIGINT AS e FROM edits WINDOW w AS (PARTITION BY conv_id ORDER BY i, k)
+), text AS (SELECT conv_id, string_agg(coalesce(role, CASE WHEN e % 2 = 0 THEN 'user' ELSE 'assistant' END) || ':' || text, chr(10) ORDER BY i, k) AS t FROM placed GROUP BY conv_id
+), g AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(dup) AS duplicate, count_if(cut) AS truncated, count_if(bad) AS illegal
+  FROM (SELECT *, lag(x) OVER (PARTITION BY conv_id ORDER BY i) || x NOT IN ('su', 'ua', 'au') AS bad FROM f) GROUP BY conv_id
+)
+SELECT c.conv_id, {', '.join(f'coalesce({k}, 0)::BIGINT AS {k}' for k in ('gaps', 'blank', 'duplicate', 'truncated', 'illegal'))}, coalesce(b.c, 0)::BIGINT AS cost, coalesce(b.t, '') AS audit, sha256(coalesce(text.t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN text ON text.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+OP13_SQL = f"""
+WITH d AS (SELECT doc_id, {_words} AS w FROM documents), b AS (SELECT {_words} AS w FROM benchmark),
+dw AS (SELECT doc_id, unnest(w) AS x FROM d), bw AS (SELECT unnest(w) AS x FROM b),
+known AS (SELECT x, {_crc32_sql('x')} % 10000 AS k FROM (SELECT x FROM dw UNION SELECT x FROM bw)),
+s AS (SELECT k, count(*) AS s FROM dw JOIN known USING (x) GROUP BY k), t AS (SELECT k, count(*) AS t FROM bw JOIN known USING (x) GROUP BY k),
+n AS (SELECT (SELECT count(*) FROM dw) AS sn, (SELECT count(*) FROM bw) AS tn),
+gain AS (SELECT k, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (sn + 10000) / ((s + 1)::DOUBLE * (tn + 10000))))::BIGINT AS g FROM s LEFT JOIN t USING (k) CROSS JOIN n),
+own AS (SELECT doc_id, sum(g)::BIGINT AS total FROM dw JOIN known USING (x) JOIN gain USING (k) GROUP BY doc_id),
+w AS (SELECT d.doc_id, len(d.w)::BIGINT AS n_features, coalesce(floor(total::DOUBLE / nullif(len(d.w), 0)), 0)::BIGINT AS weight FROM d LEFT JOIN own USING (doc_id)),
+scored AS (SELECT *, weight + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM w),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () * 10 // 100 AS most FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= most THEN r END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard_join": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op10_exact_top_k": OP10_SQL}
+    return {
+        "op3_ngram_jaccard_join": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op10_exact_top_k": OP10_SQL,
+        "op12_conversation_repair": OP12_SQL, "op13_resampling": OP13_SQL,
+    }
