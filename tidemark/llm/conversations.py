@@ -112,11 +112,11 @@ def repair(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("truncated", ~F.col("blank") & ~F.col("again") & ~last.isin(".", "!", "?"))
     turn = F.struct("turn", "role", "text", "again", F.substring("role", 1, 1).alias("initial"), (~F.col("blank") & ~F.col("again")).alias("whole"), "truncated")
     chunk = rows.groupBy("conv_id", F.shiftright("turn", CHUNK_BITS).alias("chunk")).agg(
-        F.sort_array(F.collect_list(turn)).alias("rows"), F.min("turn").alias("low"), F.max("turn").alias("high"), F.count_distinct("turn").alias("turns"),
-        *(F.count_if(c).alias(n) for n, c in (("blank", F.col("blank")), ("duplicate", F.col("again")), ("truncated", F.col("truncated")))),
+        F.sort_array(F.collect_list(turn)).alias("rows"), *(F.count_if(c).alias(n) for n, c in (("blank", F.col("blank")), ("duplicate", F.col("again")), ("truncated", F.col("truncated"))))
     )
     folds = F.struct(*(F.aggregate("rows", _begin(x), _row).alias(x) for x in STATES))
-    chunk = chunk.select("*", folds.alias("folds"))
+    turns = F.transform("rows", lambda r: r["turn"])
+    chunk = chunk.select("*", folds.alias("folds"), F.array_min(turns).alias("low"), F.array_max(turns).alias("high"), F.size(F.array_distinct(F.array_compact(turns))).alias("turns"))
     # Chunks have different numbers, so sorting compares these alone; that of null turns comes first.
     of = chunk.groupBy("conv_id").agg(
         F.sort_array(F.collect_list(F.struct("chunk", "rows", "folds"))).alias("chunks"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("turns").alias("turns"),
@@ -142,8 +142,9 @@ COUNTS = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
 
 def repair_digest(conversations: DataFrame) -> DataFrame:
     """repair() of the damaged rows, for every conv_id that conversations has."""
-    found = repair(damaged(conversations)).withColumn("text", F.array_join("repaired", "\n")).withColumnRenamed("conv_id", "its_conv")
+    found = repair(damaged(conversations)).withColumn("digest", F.sha2(F.array_join("repaired", "\n").cast("binary"), 256))
+    found = found.select(F.col("conv_id").alias("its_conv"), *COUNTS, "audit", "digest")
     every = conversations.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
     met = every.join(found, F.col("conv_id").eqNullSafe(F.col("its_conv")), "left")
-    zero, none = F.lit(0).cast("long"), F.lit("")
-    return met.select("conv_id", *(F.coalesce(c, zero).alias(c) for c in COUNTS), F.coalesce("audit", none).alias("audit"), F.sha2(F.coalesce("text", none).cast("binary"), 256).alias("repaired_sha256"))
+    zero, none = F.lit(0).cast("long"), F.sha2(F.lit("").cast("binary"), 256)
+    return met.select("conv_id", *(F.coalesce(c, zero).alias(c) for c in COUNTS), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("digest", none).alias("repaired_sha256"))
