@@ -125,15 +125,14 @@ def with_next(docs: DataFrame) -> DataFrame:
     # Rows that repeat are counted first, map-side, so that a hot one is one row of its range.
     rows = rows.groupBy("id", "text").agg(F.count("*").alias("copies")) if repeat else rows.withColumn("copies", F.lit(1).cast("long"))
     rows = rows.withColumn("hash", F.xxhash64("text")).withColumn("print", fingerprint(F.col("text")))
-    # The one row of cuts has at most MOST_RANGES keys, so it may go to every task.
-    met = rows.withColumn("one", F.lit(1)).join(F.broadcast(cuts.withColumn("one", F.lit(1))), "one")
     key = F.struct("id", "hash")
-    met = met.withColumn("at", let(F.col("cuts"), lambda c: _range_of(key, c, ranges)))
+    # The one array of cuts, of at most MOST_RANGES keys, is a subquery's value in every task.
+    of = lambda c: let(_range_of(key, c, ranges), lambda at: F.struct(at.alias("at"), (F.get(c, at) == key).alias("is_first")))
+    met = rows.withColumn("cuts", cuts.scalar()).withColumn("found", let(F.col("cuts"), of)).select("*", "found.at", "found.is_first")
     # A range's first text goes along to the range before; that of the first range to the last, behind all others.
-    is_first = F.get("cuts", F.col("at")) == key
     places = F.array(F.struct(F.col("at").alias("range"), F.lit(0).alias("lent")))
     lent = F.array(F.struct(((F.col("at") + ranges - 1) % ranges).alias("range"), F.when(F.col("at") == 0, 2).otherwise(1).alias("lent")))
-    dealt = met.withColumn("place", F.explode(F.when(is_first, F.concat(places, lent)).otherwise(places)))
+    dealt = met.withColumn("place", F.explode(F.when(F.col("is_first"), F.concat(places, lent)).otherwise(places)))
     dealt = dealt.select("id", "hash", "text", "print", "copies", "place.range", "place.lent")
     w = Window.partitionBy("range").orderBy("lent", F.asc_nulls_first("id"), "hash")
     found = dealt.withColumns({"next_text": F.lead("text").over(w), "next_print": F.lead("print").over(w)})
