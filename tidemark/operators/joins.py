@@ -18,11 +18,11 @@ def history_join(points: DataFrame, windows: DataFrame, key: str, start: str, en
     return p.join(w, [key, "bucket"]).where((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))).drop("bucket")
 
 
-def next_as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str, width: int = WIDTH) -> DataFrame:
+def next_as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str, width: int | None = None) -> DataFrame:
     """Each left row with the value of the first right row at or after it: one union, windows by slice, no range join."""
     both = left.withColumn("side", F.lit(0)).withColumn(value, F.lit(None).cast("double"))
     both = both.unionByName(right.select(key, at, value).withColumn("side", F.lit(1)), allowMissingColumns=True)
-    found = following(sliced(both, micros(at), width), key, [at, "side"], "found", F.col(value))
+    found = following(sliced(both, key, micros(at), width), key, [at, "side"], "found", F.col(value))
     return found.withColumn(value, F.col("found")).where("side = 0").drop("side", "found", SLICE)
 
 
@@ -33,7 +33,7 @@ def contained(intervals: DataFrame, spans: DataFrame, key: str, start: str, end:
     s = spans.select(F.col(key).alias("span_key"), "span_start", "span_end", touched.alias("span_slice"))
     met = (F.col(key) == F.col("span_key")) & (F.col(SLICE) == F.col("span_slice"))
     inside = met & (F.col("span_start") <= F.col(start)) & (F.col("span_end") >= F.col(end))
-    return sliced(intervals, F.col(start), width).join(s, inside, "left_semi").drop(SLICE)
+    return intervals.withColumn(SLICE, F.floor(F.col(start) / width)).join(s, inside, "left_semi").drop(SLICE)
 
 
 def one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,6 +1,6 @@
 """Time-series operators: lag profile, spans, span algebra, smoothing, trailing slopes, tumbling blocks.
 
-Windows along a key run in two phases by slices of time (see sequences), so that one long key is many tasks.
+Windows along a key run in one carried pass over slices of time (see sequences), so that one long key is many tasks.
 """
 
 from __future__ import annotations
@@ -8,36 +8,83 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sequences import SLICE, WIDTH, lagged, micros, running, sliced, with_reach
+from .sequences import SLICE, WIDTH, along, earlier, inside, lagged, micros, placed, sliced, so_far, upto, with_carry, with_reach
 
 DAY = 86_400_000_000
 EPOCH_2024 = 1704067200000000
 
 
-def with_lag(df: DataFrame, key: str, ts: str = "ts", tie: str = "event_id", width: int = WIDTH) -> DataFrame:
+def with_lag(df: DataFrame, key: str, ts: str = "ts", tie: str = "event_id", width: int | None = None) -> DataFrame:
     """Adds gap: microseconds since the row before of the same key. Rows keep their slice."""
-    rows = lagged(sliced(df, micros(ts), width), key, [ts, tie], {"gap": micros(ts)})
+    rows = lagged(sliced(df, key, micros(ts), width), key, [ts, tie], {"gap": micros(ts)})
     return rows.withColumn("gap", micros(ts) - F.col("gap"))
 
 
-def islands(df: DataFrame, key: str, max_gap: int, ts: str = "ts", tie: str = "event_id", width: int = WIDTH) -> DataFrame:
+def _breaks(gap: Column, max_gap: int) -> Column:
+    return F.when((gap > max_gap) | (gap <= 0), 1).otherwise(0)
+
+
+def _gaps_inside(df: DataFrame, key: str, max_gap: int, ts: str, tie: str, width: int | None) -> DataFrame:
+    """Sliced rows with the gap to the row before and the number of breaks, both within the slice."""
+    order, t = [ts, tie], micros(ts)
+    rows = sliced(df, key, t, width).withColumn("its_gap", t - F.lag(t).over(inside(order)))
+    return rows.withColumn("its_breaks", F.sum(_breaks(F.col("its_gap"), max_gap)).over(upto(order)))
+
+
+def _islands_carried(local: DataFrame, max_gap: int, ts: str, passed: dict[str, Column], scans: list[dict[str, Column]], keep: list[str]) -> DataFrame:
+    """gap and island of rows of _gaps_inside(); further columns are carried in the same pass.
+
+    Scans may name its_open (the slice goes on with the row before: no break, and there is one) and its_first (its first
+    row breaks).
+    """
+    ends = {"its_low": F.min(micros(ts)), "its_high": F.max(micros(ts)), "its_inner": F.max("its_breaks"), **passed}
+    known = [{"its_prior": F.lag("its_high").over(along())}, {"its_first": _breaks(F.col("its_low") - F.col("its_prior"), max_gap)}]
+    known.append({"its_base": F.sum(F.col("its_first") + F.col("its_inner")).over(so_far()) - F.col("its_inner")})
+    found = with_carry(local, ends, known + scans, ["its_prior", "its_base", *keep])
+    gap = F.coalesce(F.col("its_gap"), micros(ts) - F.col("its_prior"))
+    return found.withColumns({"gap": gap, "island": F.col("its_breaks") + F.col("its_base")}).drop("its_gap", "its_breaks", "its_prior", "its_base")
+
+
+def islands(df: DataFrame, key: str, max_gap: int, ts: str = "ts", tie: str = "event_id", width: int | None = None) -> DataFrame:
     """Adds gap and island: a new one begins where the gap is over max_gap microseconds, or not positive."""
-    breaks = F.when((F.col("gap") > max_gap) | (F.col("gap") <= 0), 1).otherwise(0)
-    return running(with_lag(df, key, ts, tie, width), key, [ts, tie], {"island": ("sum", breaks)})
+    return _islands_carried(_gaps_inside(df, key, max_gap, ts, tie, width), max_gap, ts, {}, [], [])
+
+
+def _stitched(parts: DataFrame, key: str, begins: Column, aggregates: list[Column]) -> DataFrame:
+    """Joins the parts of slices (its_slice, its_part, its_last: the number of the slice's last part) that go together.
+
+    A part that is neither first nor last in its slice is whole; all others of a key, two a slice at most, are numbered
+    together: begins says which of them begin anew, by a window over them.
+    """
+    edge = (F.col("its_part") == 0) | (F.col("its_part") == F.col("its_last"))
+    # Whole parts are groups of their own; no task gets them all.
+    rows = parts.select("*", F.struct(F.col(f"{SLICE}.k").alias("k"), F.when(~edge, F.col(SLICE)).alias("s"), F.when(~edge, F.col("its_part")).alias("p"), edge.alias("e")).alias("its_bin"))
+    run = Window.partitionBy("its_bin").orderBy(f"{SLICE}.s", "its_part")
+    rows = rows.withColumn("its_new", F.when(F.col("its_bin.e"), begins(run)).otherwise(1)).withColumn("its_run", F.sum("its_new").over(run.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy("its_bin", "its_run").agg(*aggregates).withColumn(key, F.col("its_bin.k")).drop("its_bin", "its_run")
 
 
-def spans(df: DataFrame, key: str, max_gap: int, ts: str = "ts", tie: str = "event_id", width: int = WIDTH) -> DataFrame:
-    """key, span_start, span_end, rows of each continuous span."""
-    found = islands(df.select(key, ts, tie), key, max_gap, ts, tie, width).groupBy(key, "island")
-    return found.agg(F.min(micros(ts)).alias("span_start"), F.max(micros(ts)).alias("span_end"), F.count("*").alias("n_rows")).drop("island")
+def spans(df: DataFrame, key: str, max_gap: int, ts: str = "ts", tie: str = "event_id", width: int | None = None) -> DataFrame:
+    """key, span_start, span_end, rows of each continuous span: of each slice first, then joined over their edges."""
+    local = _gaps_inside(df.select(key, ts, tie), key, max_gap, ts, tie, width)
+    last = F.max("its_part").over(Window.partitionBy(SLICE))
+    parts = local.groupBy(SLICE, F.col("its_breaks").alias("its_part")).agg(F.min(micros(ts)).alias("a"), F.max(micros(ts)).alias("b"), F.count("*").alias("n")).withColumn("its_last", last)
+    begins = lambda run: F.when(F.col("its_part") > 0, 1).otherwise(_breaks(F.col("a") - F.lag("b").over(run), max_gap))
+    found = _stitched(parts, key, begins, [F.min("a").alias("span_start"), F.max("b").alias("span_end"), F.sum("n").alias("n_rows")])
+    return found.select(key, "span_start", "span_end", "n_rows")
 
 
-def merge_spans(df: DataFrame, key: str, width: int = WIDTH) -> DataFrame:
+def merge_spans(df: DataFrame, key: str, width: int | None = None) -> DataFrame:
     """Union of overlapping or touching spans (key, span_start, span_end)."""
     order = ["span_start", "span_end"]
-    reached = running(sliced(df, F.col("span_start"), width), key, order, {"reach": ("max", F.col("span_end"))}, inclusive=False)
-    parts = running(reached, key, order, {"part": ("sum", F.when(F.col("span_start") <= F.col("reach"), 0).otherwise(1))})
-    return parts.groupBy(key, "part").agg(F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end")).drop("part")
+    local = sliced(df, key, F.col("span_start"), width).withColumn("its_reach", F.max("span_end").over(upto(order, -1)))
+    found = with_carry(local, {"its_end": F.max("span_end")}, [{"its_given": F.max("its_end").over(earlier())}], ["its_given"])
+    new = F.when(F.col("span_start") <= F.greatest("its_reach", "its_given"), 0).otherwise(1)
+    numbered = found.withColumn("its_part", F.sum(new).over(upto(order)))
+    parts = numbered.groupBy(SLICE, "its_part").agg(F.min("span_start").alias("a"), F.max("span_end").alias("b")).withColumn("its_last", F.max("its_part").over(Window.partitionBy(SLICE)))
+    # Part 0 goes on with what was open before the slice.
+    merged = _stitched(parts, key, lambda run: (F.col("its_part") > 0).cast("int"), [F.min("a").alias("span_start"), F.max("b").alias("span_end")])
+    return merged.select(key, "span_start", "span_end")
 
 
 def overlap_micros(a: DataFrame, b: DataFrame, key: str, width: int = WIDTH) -> DataFrame:
@@ -50,17 +97,24 @@ def overlap_micros(a: DataFrame, b: DataFrame, key: str, width: int = WIDTH) ->
     return met.groupBy(key).agg(F.sum(high - low).alias("overlap"))
 
 
-def smooth(df: DataFrame, key: str, how: str, value: str = "value", ts: str = "ts", tie: str = "event_id", width: int = WIDTH) -> DataFrame:
+def smooth(df: DataFrame, key: str, how: str, value: str = "value", ts: str = "ts", tie: str = "event_id", width: int | None = None) -> DataFrame:
     """Adds smoothed: median or mean of the row and the two before, whatever the time between."""
     if how == "none":
         return df.withColumn("smoothed", F.col(value))
-    rows = lagged(sliced(df, micros(ts), width), key, [ts, tie], {"back1": F.col(value)})
-    rows = lagged(rows, key, [ts, tie], {"back2": F.col("back1")})
+    own = inside([ts, tie])
+    local = sliced(df, key, micros(ts), width).withColumns({"back1": F.lag(value).over(own), "back2": F.lag(value, 2).over(own), "its_number": F.row_number().over(own)})
+    # The last two values of a slice; where it has one alone, the second comes from the slice before.
+    two = F.struct(F.col(value).alias("last"), F.col("back1").alias("second"), F.col("its_number").alias("n"))
+    scan = {"its_one": F.lag("its_end").over(along()), "its_two": F.lag("its_end", 2).over(along())}
+    found = with_carry(local, {"its_end": F.max_by(two, "its_number")}, [scan], ["its_one", "its_two"])
+    one, first = F.col("its_one"), F.col("its_number") == 1
+    second = F.when(one["n"] > 1, one["second"]).otherwise(F.col("its_two")["last"])
+    found = found.withColumns({"back2": F.when(first, second).when(F.col("its_number") == 2, one["last"]).otherwise(F.col("back2")), "back1": F.when(first, one["last"]).otherwise(F.col("back1"))})
     seen = F.array_sort(F.array_compact(F.array(value, "back1", "back2")))
     n = F.size(seen)
     middle = (F.get(seen, F.floor((n - 1) / 2).cast("int")) + F.get(seen, F.floor(n / 2).cast("int"))) / 2
     mean = F.try_divide(F.aggregate(seen, F.lit(0.0), lambda s, v: s + v), n)
-    return rows.withColumn("smoothed", {"median3": middle, "mean3": mean}[how]).drop("back1", "back2")
+    return found.withColumn("smoothed", {"median3": middle, "mean3": mean}[how]).drop("back1", "back2", "its_one", "its_two", "its_number")
 
 
 def back(key: str, ts: str, span: int) -> Window:
@@ -92,14 +146,24 @@ def label(slope: Column, threshold: float) -> Column:
     return F.when(slope < -threshold, "FALLING").when(slope > threshold, "RISING").otherwise("STABLE")
 
 
-def tumbling(df: DataFrame, key: str, rows: int, max_gap: int, ts: str = "ts", tie: str = "event_id", width: int = WIDTH) -> DataFrame:
+def tumbling(df: DataFrame, key: str, rows: int, max_gap: int, ts: str = "ts", tie: str = "event_id", width: int | None = None) -> DataFrame:
     """Adds block: consecutive whole blocks of `rows` rows inside each span; remainders go."""
     order = [ts, tie]
-    placed = running(islands(df, key, max_gap, ts, tie, width), key, order, {"place": ("sum", F.lit(1))})
-    begins = F.when((F.col("gap") > max_gap) | (F.col("gap") <= 0) | F.col("gap").isNull(), F.col("place"))
-    numbered = running(placed, key, order, {"begin": ("max", begins)}).withColumn("block", F.floor((F.col("place") - F.col("begin")) / rows))
+    local = _gaps_inside(df, key, max_gap, ts, tie, width).withColumn("its_number", F.row_number().over(inside(order)))
+    begin = F.when((F.col("its_number") > 1) & (F.col("its_gap").isNull() | (F.col("its_gap") > max_gap) | (F.col("its_gap") <= 0)), F.col("its_number"))
+    local = local.withColumn("its_begin", F.max(begin).over(upto(order)))
+    # Places count along the key: rows before the slice, and the place at which the last island began by then.
+    alone = F.col("its_prior").isNull() | F.col("its_low").isNull() | (F.col("its_first") == 1)
+    scans = [{"its_before": F.coalesce(F.sum("its_rows").over(earlier()), F.lit(0))}]
+    scans.append({"its_start": F.when(alone, F.col("its_before") + 1)})
+    scans.append({"its_latest": F.max(F.coalesce(F.col("its_before") + F.col("its_inner_begin"), F.col("its_start"))).over(earlier())})
+    scans.append({"its_open": F.coalesce("its_start", "its_latest")})
+    passed = {"its_rows": F.count("*"), "its_inner_begin": F.max("its_begin")}
+    found = _islands_carried(local, max_gap, ts, passed, scans, ["its_before", "its_open"])
+    place = F.col("its_before") + F.col("its_number") - F.coalesce(F.col("its_before") + F.col("its_begin"), F.col("its_open"))
+    found = found.withColumn("block", F.floor(place / rows)).drop("its_number", "its_begin", "its_before", "its_open")
     size = F.count("*").over(Window.partitionBy(key, "island", "block"))
-    return numbered.withColumn("size", size).where(F.col("size") == rows).drop("size", "place", "begin")
+    return found.withColumn("size", size).where(F.col("size") == rows).drop("size")
 
 
 def endpoint_delta(df: DataFrame, key: str, days: float, value: str = "value", ts: str = "ts", width: int = WIDTH) -> DataFrame:
@@ -110,19 +174,18 @@ def endpoint_delta(df: DataFrame, key: str, days: float, value: str = "value", t
     return rows.withColumn("delta", F.when(elapsed > 0, (F.last(value).over(w) - F.first(value).over(w)) / elapsed)).where("not copy").drop("copy")
 
 
-def eligible(df: DataFrame, key: str, days: float, support: int, max_gap: int, ts: str = "ts", tie: str = "event_id", width: int = WIDTH) -> DataFrame:
+def eligible(df: DataFrame, key: str, days: float, support: int, max_gap: int, ts: str = "ts", tie: str = "event_id", width: int | None = None) -> DataFrame:
     """Adds eligible: the range [ts - days, ts] has the rows, begins early enough and lies within one island."""
     span = int(days * DAY)
     w = back(key, ts, span)
     whole = (F.count("*").over(w) >= support) & (F.min(micros(ts)).over(w) <= micros(ts) - span + max_gap)
-    rows = with_reach(islands(df, key, max_gap, ts, tie, width), micros(ts), span, width)
+    rows = with_reach(islands(df, key, max_gap, ts, tie, width), micros(ts), span, width or WIDTH)
     return rows.withColumn("eligible", whole & (F.first("island").over(w) == F.col("island"))).where("not copy").drop("copy")
 
 
-def row_blocks(df: DataFrame, key: str, rows: int, ts: str = "ts", tie: str = "event_id", width: int = WIDTH) -> DataFrame:
+def row_blocks(df: DataFrame, key: str, rows: int, ts: str = "ts", tie: str = "event_id", width: int | None = None) -> DataFrame:
     """Adds block: consecutive blocks of `rows` rows of a key, gaps or not; the last may be shorter."""
-    placed = running(sliced(df, micros(ts), width), key, [ts, tie], {"place": ("sum", F.lit(1))})
-    return placed.withColumn("block", F.floor((F.col("place") - 1) / rows)).drop("place")
+    return placed(df, key, micros(ts), [ts, tie], width).withColumn("block", F.floor(F.col("i") / rows)).drop("i", "n")
 
 
 def window_features(blocks: DataFrame, key: str, value: str = "value", ts: str = "ts", tie: str = "event_id") -> DataFrame:

@@ -124,7 +124,7 @@ quantile_disc(gap, 0.5) AS median_gap, round(avg((step = 0)::INT), 6) AS flat_fr
 
 def profile_of(spark, d):
     """A record per stream, from one two-phase pass and one aggregate per (user, gap) and (user, value)."""
-    rows = sequences.sliced(table(spark, d, "events"), ts.micros("ts"))
+    rows = sequences.sliced(table(spark, d, "events"), "user_id", ts.micros("ts"))
     rows = sequences.lagged(rows, "user_id", ["ts", "event_id"], {"t0": ts.micros("ts"), "v0": F.col("value")})
     rows = rows.select("user_id", "value", ts.micros("ts").alias("t"), (ts.micros("ts") - F.col("t0")).alias("gap"), (F.col("value") - F.col("v0")).alias("step"))
     main = rows.groupBy("user_id").agg(

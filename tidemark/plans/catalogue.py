@@ -98,7 +98,8 @@ b AS (SELECT *, sum(CASE WHEN span_start <= reach THEN 0 ELSE 1 END) OVER (PARTI
 SELECT user_id, min(span_start) AS span_start, max(span_end) AS span_end FROM b GROUP BY user_id, part""")
 def w03_span_union(spark, d):
     both = _type_spans(spark, d, "click").union(_type_spans(spark, d, "view")).select("user_id", "span_start", "span_end")
-    return ts.merge_spans(both, "user_id")
+    # There are fewer spans than events, so the events' slices do for them.
+    return ts.merge_spans(both, "user_id", sequences.width_of(table(spark, d, "events"), "user_id", ts.micros("ts")))
 
 
 @query(f"""SELECT a.user_id, sum(least(a.span_end, b.span_end) - greatest(a.span_start, b.span_start))::BIGINT AS overlap FROM ({_type_spans_sql('click')}) a
@@ -535,7 +536,7 @@ def a15_corr_summary(spark, d):
 SELECT a.k AS before, b.k AS after, coalesce(n, 0) AS n FROM k a CROSS JOIN k b LEFT JOIN c ON before = a.k AND after = b.k""")
 def a19_transitions(spark, d):
     e = table(spark, d, "events")
-    rows = sequences.sliced(e.select("user_id", "ts", "event_id", "event_type"), ts.micros("ts"))
+    rows = sequences.sliced(e.select("user_id", "ts", "event_id", "event_type"), "user_id", ts.micros("ts"))
     met = sequences.lagged(rows, "user_id", ["ts", "event_id"], {"before": F.col("event_type")}).select("before", F.col("event_type").alias("after")).where("before IS NOT NULL")
     kinds = e.agg(F.collect_set("event_type").alias("kinds"))  # a handful of event types
     cells = kinds.select(F.explode("kinds").alias("before"), "kinds").select("before", F.explode("kinds").alias("after"))
