@@ -1,39 +1,107 @@
-"""Ranks and exact quantiles of few large groups: cumulated within ranges of the value, so that no group is one task."""
+"""Exact order statistics: quantiles of many groups at once, and ranks, from counted ranges of the value.
+
+Values are dealt to ranges by size (sixteen to each power of two), rows of each range are counted map-side, and the counts
+tell which ranges hold the places that are asked for. A range of more than ROWS rows is cut into 256 equal parts,
+counted again, and so on until it is small enough or has one value alone; equal values are counted together. So no
+group, however large, is sorted in one task, and all rows are looked at twice as long as no range is too full.
+Groups may be null; null values are left out of quantiles, NaN is larger than any number.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import stored
 
-def steps(rows: DataFrame, group: str, value: str, ranges: int = 200) -> DataFrame:
-    """its_group, its_value, same, below, total: each value met in a group (of few groups), how often, how many of the
-    group are lower, and how many there are."""
-    cuts = rows.groupBy(F.col(group).alias("g")).agg(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], 10_000).alias("cuts"))
-    found = rows.groupBy(F.col(group).alias("its_group"), F.col(value).alias("its_value")).agg(F.count("*").alias("same"))
-    part = F.size(F.filter("cuts", lambda c: c < F.col("its_value")))
-    found = found.join(F.broadcast(cuts), F.col("its_group").eqNullSafe(F.col("g"))).select("its_group", "its_value", "same", part.alias("part"))
-    totals, lower = found.groupBy(F.col("its_group").alias("g"), F.col("part").alias("p")).agg(F.sum("same").alias("m")), Window.partitionBy("g").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("g", "p", F.coalesce(F.sum("m").over(lower), F.lit(0)).alias("m0"), F.sum("m").over(Window.partitionBy("g")).alias("total"))
-    found = found.withColumn("upto", F.sum("same").over(Window.partitionBy("its_group", "part").orderBy("its_value")))
-    found = found.join(F.broadcast(base), F.col("its_group").eqNullSafe(F.col("g")) & (F.col("part") == F.col("p")))
-    return found.select("its_group", "its_value", "same", (F.col("m0") + F.col("upto") - F.col("same")).alias("below"), "total")
+ROWS, PARTS = 1 << 20, 256
 
 
-def placed(rows: DataFrame, group: str, value: str, ranges: int = 200) -> DataFrame:
-    """rows with how many of their group have a lower value (below), the same one (same), and any (total)."""
-    met = F.col(group).eqNullSafe(F.col("its_group")) & F.col(value).eqNullSafe(F.col("its_value"))
-    return rows.join(steps(rows, group, value, ranges), met).drop("its_group", "its_value")
+def _size(value: Column) -> Column:
+    """The range of a number by its size; a larger number never has a lower one."""
+    x = value.cast("double")
+    size = 1 + F.floor((F.log2(F.abs(x)) + 1075) * 16)
+    finite = F.when(x == 0, 0).otherwise(F.signum(x) * size)
+    return F.when(F.isnan(x), 200_000).when(F.abs(x) == float("inf"), F.signum(x) * 100_000).otherwise(finite).cast("long")
+
+
+def _part(value: Column, low: Column, high: Column) -> Column:
+    """Which of PARTS equal parts of [low, high] a value lies in."""
+    x, a, b = (c.cast("double") for c in (value, low, high))
+    share = F.when(b > a, (x / 2 - a / 2) / (b / 2 - a / 2)).otherwise(0.0)
+    return F.least(F.floor(share * PARTS), F.lit(PARTS - 1))
+
+
+def _counts(rows: DataFrame, of: list[str]) -> DataFrame:
+    """of, r, n, low, high of each range; written, as it is read for a decision and by the plan."""
+    return stored(rows.groupBy(*of, "r").agg(F.sum("c").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")), "ranges")
+
+
+def _holds(place: Column, before: Column, n: Column) -> Column:
+    return (before <= place) & (place < before + n)
 
 
-def quantiles(rows: DataFrame, group: str, value: str, names: dict[str, float]) -> DataFrame:
-    """group and, per name, the exact quantile between the two nearest values; nulls are left out."""
-    found = steps(rows.where(F.col(value).isNotNull()), group, value)
+def quantiles(rows: DataFrame, groups: str | list[str], value: str, names: dict[str, float], lower: bool = False, count: str | None = None, most: int = ROWS) -> DataFrame:
+    """groups and, per name, the exact quantile p of the values: between the two nearest, or the lower of them.
+
+    count: a column that says how often each value is to be counted, as of a histogram; it is positive.
+    """
+    groups = [groups] if isinstance(groups, str) else groups
+    own = rows.where(F.col(value).isNotNull()).select(F.struct(*groups).alias("g"), F.col(value).alias("v"), (F.col(count) if count else F.lit(1)).cast("long").alias("c"))
+    own = own.withColumn("r", F.array(_size(F.col("v"))))
+    upto = Window.partitionBy("g").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = _counts(own, ["g"]).withColumns({"before": F.coalesce(F.sum("n").over(upto), F.lit(0)), "total": F.sum("n").over(Window.partitionBy("g"))})
+    wanted = F.lit(False)
+    for p in names.values():
+        place = (F.col("total") - 1) * F.lit(p)
+        wanted = wanted | _holds(F.floor(place), F.col("before"), F.col("n")) | (F.lit(not lower) & _holds(F.ceil(place), F.col("before"), F.col("n")))
+    ranges = ranges.where(wanted)
+    while not ranges.where((F.col("n") > most) & (F.col("low") < F.col("high"))).isEmpty():
+        # Only rows of wanted ranges go on, in parts of them.
+        own = own.join(ranges.select("g", "r", "before", "total", "low", "high"), ["g", "r"])
+        own = own.select("g", "v", "c", "before", "total", F.concat("r", F.array(_part(F.col("v"), F.col("low"), F.col("high")))).alias("r"), F.col("r").alias("of"))
+        upto = Window.partitionBy("g", "of").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+        ranges = _counts(own, ["g", "of", "before", "total"]).withColumn("before", F.col("before") + F.coalesce(F.sum("n").over(upto), F.lit(0))).where(wanted)
+        own = own.select("g", "v", "c", "r")
+    values = own.join(ranges.select("g", "r", "before", "total"), ["g", "r"]).groupBy("g", "r", "before", "total", "v").agg(F.sum("c").alias("n"))
+    inside = Window.partitionBy("g", "r").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    values = values.withColumn("before", F.col("before") + F.sum("n").over(inside) - F.col("n"))
     out = []
     for name, p in names.items():
-        place = (F.col("total") - 1) * p
-        holds = lambda k: (F.col("below") <= k) & (k < F.col("below") + F.col("same"))
-        low, high = (F.max(F.when(holds(k), F.col("its_value"))) for k in (F.floor(place), F.ceil(place)))
-        part = F.max(place - F.floor(place))
-        out.append((low + (high - low) * part).alias(name))
-    return found.groupBy(F.col("its_group").alias(group)).agg(*out)
+        place = (F.col("total") - 1) * F.lit(p)
+        at = lambda k: F.max(F.when(_holds(k, F.col("before"), F.col("n")), F.col("v")))
+        low, high, part = at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))
+        out.append((low if lower else low + (high - low) * part).alias(name))
+    return values.groupBy("g").agg(*out).select("g.*", *names)
+
+
+def medians(rows: DataFrame, groups: list[str], columns: list[str]) -> DataFrame:
+    """groups, column, median: the median of each of several columns in each group, all from one selection."""
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("its_value")) for c in columns)))
+    return quantiles(rows.select(*groups, each.alias("x")).select(*groups, "x.*"), [*groups, "column"], "its_value", {"median": 0.5})
+
+
+def steps(rows: DataFrame, group: str, value: str, most: int = ROWS) -> DataFrame:
+    """its_group, its_value, same, below, total: each value met in a group, how often, how many of the group are lower,
+    and how many there are. Null is lower than any value."""
+    met = rows.groupBy(F.struct(F.col(group).alias("k")).alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("same"))
+    met = met.withColumns({"c": F.lit(1).cast("long"), "r": F.array(F.coalesce(_size(F.col("v")), F.lit(-(1 << 40))))})
+    while True:
+        ranges = stored(met.groupBy("g", "r").agg(F.sum("c").alias("n"), F.sum("same").alias("rows"), F.min("v").alias("low"), F.max("v").alias("high")), "ranges")
+        full = ranges.where((F.col("n") > most) & (F.col("low") < F.col("high")))
+        if full.isEmpty():
+            break
+        # At most one range in ROWS values is too full.
+        met = met.join(full.select("g", "r", "low", "high"), ["g", "r"], "left")
+        met = met.withColumn("r", F.when(F.col("low").isNotNull(), F.concat("r", F.array(_part(F.col("v"), F.col("low"), F.col("high"))))).otherwise(F.col("r"))).drop("low", "high")
+    upto = Window.partitionBy("g").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("g", "r", F.coalesce(F.sum("rows").over(upto), F.lit(0)).alias("before"), F.sum("rows").over(Window.partitionBy("g")).alias("total"))
+    inside = Window.partitionBy("g", "r").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = met.join(ranges, ["g", "r"]).withColumn("below", F.col("before") + F.sum("same").over(inside) - F.col("same"))
+    return found.select(F.col("g.k").alias("its_group"), F.col("v").alias("its_value"), "same", "below", "total")
+
+
+def placed(rows: DataFrame, group: str, value: str, most: int = ROWS) -> DataFrame:
+    """rows with how many of their group have a lower value (below), the same one (same), and any (total)."""
+    met = F.col(group).eqNullSafe(F.col("its_group")) & F.col(value).eqNullSafe(F.col("its_value"))
+    return rows.join(steps(rows, group, value, most), met).drop("its_group", "its_value")

@@ -43,9 +43,9 @@ JOIN (SELECT user_id, quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.
 def w18_train_robust_scale(spark, d):
     """As w18_robust_scale, but median and range come from the user's train rows alone, so nothing leaks."""
     train = splits.chronological_split(table(spark, d, "events"), "user_id", 0).where("split = 'train'")
-    q = train.groupBy("user_id").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = distribution.quantiles(train, "user_id", "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
     rows = joins.lookup(table(spark, d, "events").select("event_id", "user_id", "value"), q, ["user_id"])
-    return rows.select("event_id", r6((F.col("value") - F.col("q")[1]) / F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(1e-12))).alias("scaled"))
+    return rows.select("event_id", r6((F.col("value") - F.col("q50")) / F.greatest(F.col("q75") - F.col("q25"), F.lit(1e-12))).alias("scaled"))
 
 
 def gaps_of(spark, d):
@@ -54,12 +54,14 @@ def gaps_of(spark, d):
 
 @query(f"SELECT user_id, quantile_disc(gap, 0.5) AS median_gap, round(1e6 / nullif(quantile_disc(gap, 0.5), 0), 9) AS implied_rate FROM ({GAPS}) GROUP BY user_id")
 def a09_weighted_median(spark, d):
-    """The lower median of the gaps, from their histogram alone."""
-    h = gaps_of(spark, d).groupBy("user_id", "gap").agg(F.count("*").alias("n"))
-    rows = h.groupBy("user_id").agg(F.percentile("gap", 0.5, F.col("n")).alias("m"), F.sort_array(F.collect_list(F.struct("gap", "n"))).alias("h"), F.sum("n").alias("total"))
-    # The first gap whose cumulated count is over (total - 1) div 2, which a mean of two middle ones is not.
-    step = F.aggregate("h", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("gap")), lambda s, x: F.when(s["gap"].isNotNull(), s).otherwise(F.struct((s["seen"] + x["n"]).alias("seen"), F.when(s["seen"] + x["n"] > F.expr("(total - 1) div 2"), x["gap"]).alias("gap"))))
-    found = rows.select("user_id", step["gap"].alias("median_gap"))
+    """The lower median of the gaps, selected in their histogram by counted ranges."""
+    return median_gaps(gaps_of(spark, d))
+
+
+def median_gaps(gaps):
+    """user_id, median_gap, implied_rate (a second) of gaps in microseconds."""
+    h = gaps.groupBy("user_id", "gap").agg(F.count("*").alias("n"))
+    found = distribution.quantiles(h, "user_id", "gap", {"median_gap": 0.5}, lower=True, count="n")
     return found.withColumn("implied_rate", F.round(F.try_divide(F.lit(1e6), F.col("median_gap")), 9))
 
 
@@ -134,7 +136,7 @@ def profile_of(spark, d):
     values = rows.where("value IS NOT NULL").groupBy("user_id", "value").agg(F.count("*").alias("k")).groupBy("user_id").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.min_by("k", "value").alias("k_low"), F.max_by("k", "value").alias("k_high"), F.sum("k").alias("k"))
     constant = F.col("low") == F.col("high")
     values = values.select("user_id", "low", "high", r6((F.col("k_low") + F.when(constant, 0).otherwise(F.col("k_high"))) / F.col("k")).alias("extrema_fraction"), constant.alias("constant"))
-    median = a09_weighted_median(rows.sparkSession, d).select("user_id", "median_gap")
+    median = median_gaps(rows.where("gap IS NOT NULL")).select("user_id", "median_gap")
     return main.join(values, "user_id", "left").join(median, "user_id", "left")
 
 

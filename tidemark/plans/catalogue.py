@@ -287,8 +287,8 @@ def u03_intersect(spark, d):
 @query("SELECT event_id, round((value - q50) / greatest(q75 - q25, 1e-12), 6) AS scaled FROM events JOIN (SELECT user_id, quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS q50, quantile_cont(value, 0.75) AS q75 FROM events GROUP BY user_id) USING (user_id)")
 def w18_robust_scale(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", "value")
-    q = e.groupBy("user_id").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    return e.join(q, "user_id").select("event_id", r6((F.col("value") - F.col("q")[1]) / F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(1e-12))).alias("scaled"))
+    q = distribution.quantiles(e, "user_id", "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return e.join(q, "user_id").select("event_id", r6((F.col("value") - F.col("q50")) / F.greatest(F.col("q75") - F.col("q25"), F.lit(1e-12))).alias("scaled"))
 
 
 @query("SELECT doc_id, sha256(text) AS digest FROM documents")
@@ -464,7 +464,7 @@ def w17_blocks_rms(spark, d):
 
 def _train_quantiles(spark, d):
     train = splits.chronological_split(table(spark, d, "events"), "user_id", 0).where("split = 'train'")
-    return train.groupBy("user_id").agg(F.percentile("value", 0.1).alias("q10"), F.percentile("value", 0.25).alias("q25"))
+    return distribution.quantiles(train, "user_id", "value", {"q10": 0.1, "q25": 0.25})
 
 
 @query(f"SELECT user_id, round(q10, 6) AS q10, round(q25, 6) AS q25 FROM ({TRAIN_Q})")
