@@ -165,17 +165,6 @@ def test_ridge(spark):
     assert np.allclose(beta[1:], own) and math.isclose(beta[0], y.mean() - own @ x.mean(axis=0))
 
 
-def test_permutations_keep_labels_and_their_number(spark):
-    from tidemark.plans import study
-
-    rows = spark.createDataFrame([(i, i % 3) for i in range(30)], "doc_id long, y int")
-    found = study.permuted(rows, "doc_id", "y", 500).groupBy("permutation").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("y")).alias("ys"), F.count_distinct("doc_id").alias("ids"))
-    assert {(r.n, r.ids, tuple(r.ys)) for r in found.collect()} == {(30, 30, tuple(sorted(i % 3 for i in range(30))))}
-    for count in (499, 1001):
-        with pytest.raises(ValueError):
-            study.permuted(rows, "doc_id", "y", count)
-
-
 def test_joins_hold_their_contracts(spark):
     left = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
     right = spark.createDataFrame([(1, "x"), (3, "y")], "k long, v string")
@@ -234,7 +223,7 @@ def test_queries_without_sql_run(spark):
 
     d, found = "/root/testdata/sf0.01", catalogue.queries()
     got = {n: found[n](spark, d).collect() for n in sorted(set(found) - set(catalogue.oracle_sql()))}
-    assert set(got) == {"m03_logistic", "m05_baseline_suite", "m09_cross_validation", "m19_permutation_null", "n04_channel_features", "n05_peaks", "n08_band_pass", "n12_conditioned_windows"}
+    assert set(got) == {"m03_logistic", "m05_baseline_suite", "m09_cross_validation", "m09_fold_summary", "m19_permutation_null", "n04_channel_features", "n05_peaks", "n08_band_pass", "n12_conditioned_windows"}
     assert len(got["n04_channel_features"]) == len(got["n05_peaks"]) == len(got["n08_band_pass"]) == len(got["n12_conditioned_windows"]) == 500
     vectors = {r.vec_id: np.array(r.embedding, dtype=float) for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()}
     for r in got["n05_peaks"][:100]:
@@ -244,6 +233,7 @@ def test_queries_without_sql_run(spark):
         assert math.isclose(r.prominence_mean, np.mean([h for _, h in at]) if at else 0, abs_tol=1e-9) and math.isclose(r.bpm, 60 / gaps.mean() if len(gaps) else 0, abs_tol=1e-9)
     assert all(abs(r["mean"]) < 1e-6 and math.isclose(r["std"], 1, abs_tol=1e-6) and 0 <= r.band_ratio <= 1 for r in got["n12_conditioned_windows"])
     assert {r.model for r in got["m05_baseline_suite"]} == {"majority", "always_view", "logistic_all", "logistic_value", "logistic_shifted"} and all(0 <= r.macro_f1 <= 1 for r in got["m05_baseline_suite"])
-    assert sorted(r.fold for r in got["m09_cross_validation"]) == [-1, 0, 1, 2, 3, 4]
-    assert got["m19_permutation_null"][0].permutations == 500 and round(1 / 501, 6) <= got["m19_permutation_null"][0].p <= 1
+    assert sorted((r.repeat, r.fold) for r in got["m09_cross_validation"]) == [(0, -1), *((r, f) for r in range(1, 21) for f in range(5))]
+    assert {r.metric for r in got["m09_fold_summary"]} == {"macro_f1", "balanced_accuracy"} and all(r.q025 <= r.q50 <= r.q975 for r in got["m09_fold_summary"])
+    assert got["m19_permutation_null"][0].permutations == 1000 and round(1 / 1001, 6) <= got["m19_permutation_null"][0].p <= 1
     assert all(math.isclose(sum(r.probability), 1, abs_tol=1e-3) for r in got["m03_logistic"])

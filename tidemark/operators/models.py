@@ -13,11 +13,12 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .distribution import medians
 
 def prepared(df: DataFrame, features: list[str], train: Column) -> DataFrame:
     """Nulls become the median of the training rows, then each feature is scaled by their mean and population deviation."""
-    q = df.where(train).agg(*(F.percentile(c, 0.5).alias(c) for c in features)).first()
-    filled = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(q[c])) for c in features})
+    q = {r["column"]: r["median"] for r in medians(df.where(train), [], features).collect()}  # a row for each feature
+    filled = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(q.get(c))) for c in features})
     m = filled.where(train).agg(*(F.avg(c).alias(f"{c}_mean") for c in features), *(F.stddev_pop(c).alias(f"{c}_std") for c in features)).first()
     return filled.withColumns({c: (F.col(c) - m[f"{c}_mean"]) / (m[f"{c}_std"] or 1.0) for c in features})
 
@@ -43,6 +44,16 @@ def logistic(rows: DataFrame, model: str, features: list[str], label: str, weigh
     betas = {m: np.zeros(k) for m in names}
     kind = rows.schema[model].dataType.simpleString()
     ridge = np.diag([1e-9] + [penalty] * (k - 1))
+    try:
+        betas = _stepped(rows, model, kind, x, y, w, betas, ridge, steps)
+    finally:
+        rows.unpersist()
+    return spark.createDataFrame([(m, b.tolist()) for m, b in betas.items()], f"{model} {kind}, beta array<double>")
+
+
+def _stepped(rows: DataFrame, model: str, kind: str, x: list[Column], y: Column, w: Column, betas: dict, ridge: np.ndarray, steps: int) -> dict:
+    """Coefficients after Newton's steps; each is one aggregate."""
+    spark, k = rows.sparkSession, len(x)
     for _ in range(steps):
         table = spark.createDataFrame([(m, b.tolist()) for m, b in betas.items()], f"{model} {kind}, beta array<double>")
         met = rows.join(F.broadcast(table), model)
@@ -60,8 +71,7 @@ def logistic(rows: DataFrame, model: str, features: list[str], label: str, weigh
             moved = max(moved, float(np.abs(step).max()))
         if moved < 1e-8:
             break
-    rows.unpersist()
-    return spark.createDataFrame([(m, b.tolist()) for m, b in betas.items()], f"{model} {kind}, beta array<double>")
+    return betas
 
 
 def probability(features: list[str], beta: str = "beta") -> Column:

@@ -6,10 +6,12 @@ over three days stand for the truth and those over two and five days for predict
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, models, splits
+from ..operators import distribution, evaluation, folds, models, splits
+from ..operators.tables import stored
 from .audits import FOLDS
 from .catalogue import DAY, SPLIT, TRAIN_Q, _slopes, _slopes_sql, _train_quantiles, query, r6, table
 
@@ -33,7 +35,7 @@ def prepared(spark, d) -> DataFrame:
 @query(f"SELECT event_id, round(coalesce(v, (SELECT quantile_cont(v, 0.5) FROM {STUDY} WHERE split = 'train')), 6) AS value FROM {STUDY}")
 def m01_imputed(spark, d):
     rows = study(spark, d)
-    q = rows.where("split = 'train'").agg(F.percentile("value", 0.5).alias("q")).first()["q"]
+    q = distribution.medians(rows.where("split = 'train'"), [], ["value"]).first()["median"]
     return rows.select("event_id", r6(F.coalesce("value", F.lit(q))).alias("value"))
 
 
@@ -101,39 +103,78 @@ def m07_fold_count(spark, d):
     return table(spark, d, "labels").groupBy("quality").agg(F.count("*").alias("n")).agg(F.least(F.lit(5).cast("long"), n).alias("splits"), (n >= 2).alias("enough"))
 
 
+TEXT = ["size", "lower", "blanks"]
+REPEATS = 20
+TEXTS = """(SELECT doc_id, quality, ln(1 + n) AS size, CASE WHEN n >= 400 THEN length(regexp_replace(t, '[A-Z]', '', 'g')) / n END AS lower, len(string_split(t, ' ')) / greatest(n, 1) AS blanks
+FROM (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents) JOIN labels USING (doc_id))"""
+DEALT = f"""(SELECT doc_id, repeat, (row_number() OVER (PARTITION BY repeat, quality ORDER BY md5(repeat || ':' || doc_id), doc_id) - 1) % (SELECT least(5, min(n)) FROM (SELECT count(*) AS n FROM labels GROUP BY quality)) AS fold
+FROM labels CROSS JOIN (SELECT unnest(range(1, {REPEATS + 1})) AS repeat))"""
+
+
 def labelled(spark, d) -> DataFrame:
-    """doc_id, quality, toxic, three features of the text and fold of each labelled document."""
+    """doc_id, quality and three features of the text of each labelled document; one is missing for short texts."""
     text = F.coalesce(F.col("text"), F.lit(""))
     n = F.length(text)
-    docs = table(spark, d, "documents").select("doc_id", F.log1p(n).alias("size"), (F.length(F.regexp_replace(text, "[A-Z]", "")) / F.greatest(n, F.lit(1))).alias("lower"), (F.size(F.split(text, " ")) / F.greatest(n, F.lit(1))).alias("blanks"))
-    rows = models.prepared(table(spark, d, "labels").join(docs, "doc_id"), TEXT, F.lit(True))
-    return evaluation.stratified_folds(rows, "doc_id", "quality", 5).withColumn("fold", F.col("fold").cast("int"))
+    lower = F.when(n >= 400, F.length(F.regexp_replace(text, "[A-Z]", "")) / n)
+    docs = table(spark, d, "documents").select("doc_id", F.log1p(n).alias("size"), lower.alias("lower"), (F.size(F.split(text, " ")) / F.greatest(n, F.lit(1))).alias("blanks"))
+    return table(spark, d, "labels").select("doc_id", "quality").join(docs, "doc_id")
 
 
-TEXT = ["size", "lower", "blanks"]
+def dealt(spark, d, repeats: int = REPEATS) -> tuple[DataFrame, int]:
+    """labelled() with the folds of each repeat, written, as every step of a fit reads it; and the number of folds."""
+    labels = table(spark, d, "labels").select("doc_id", "quality")
+    count = folds.fold_count(labels, "quality")
+    return stored(labelled(spark, d).join(folds.repeated_folds(labels, "doc_id", "quality", count, repeats).select("doc_id", "folds"), "doc_id"), "dealt"), count
+
+
+@query(f"SELECT doc_id, repeat, fold FROM {DEALT}")
+def m07_repeated_folds(spark, d):
+    """The fold of each labelled document in each of 20 repeats, strata dealt out evenly; one digest order a repeat."""
+    labels = table(spark, d, "labels").select("doc_id", "quality")
+    found = folds.repeated_folds(labels, "doc_id", "quality", folds.fold_count(labels, "quality"), REPEATS)
+    return found.select("doc_id", F.posexplode("folds").alias("at", "fold")).select("doc_id", (F.col("at") + 1).cast("long").alias("repeat"), F.col("fold").cast("long").alias("fold"))
+
+
+@query(f"""WITH rows AS (SELECT repeat, k, size, lower, blanks FROM {DEALT} JOIN {TEXTS} USING (doc_id) JOIN (SELECT DISTINCT repeat, fold AS k FROM {DEALT}) o USING (repeat) WHERE fold <> k),
+f AS (SELECT repeat, k AS fold, unnest(['size', 'lower', 'blanks']) AS "column", unnest([size, lower, blanks]) AS x FROM rows), m AS (SELECT repeat, fold, "column", quantile_cont(x, 0.5) AS median FROM f GROUP BY ALL)
+SELECT repeat, fold, "column", round(any_value(median), 6) AS median, round(avg(coalesce(x, median)), 6) AS mean, round(stddev_pop(coalesce(x, median)), 6) AS std FROM f JOIN m USING (repeat, fold, "column") GROUP BY ALL""")
+def m09_preparation(spark, d):
+    """What each of 100 fits has learned of its training rows: medians, then means and deviations, none from held-out rows."""
+    rows, count = dealt(spark, d)
+    found = folds.preparation(rows, TEXT, count)
+    return found.select(F.col("repeat").cast("long").alias("repeat"), F.col("fold").cast("long").alias("fold"), "column", r6("median").alias("median"), r6("mean").alias("mean"), r6("std").alias("std"))
 
 
-def cross_validated(rows: DataFrame, features: list[str], label: str, by: list[str] | None = None) -> DataFrame:
-    """rows, each with the probability p of label 1 from the model that did not see its fold, for all folds (and all
-    values of `by`) fitted side by side."""
-    folds = F.array_remove(F.sequence(F.lit(0), F.lit(4)), F.col("fold"))
-    name = lambda k: F.concat_ws(":", *(by or []), k.cast("string"))
-    seen = rows.withColumn("k", F.explode(folds)).withColumn("model", name(F.col("k")))
-    fits = models.logistic(seen, "model", features, label)
-    return rows.withColumn("model", name(F.col("fold"))).join(F.broadcast(fits), "model").withColumn("p", models.probability(features)).drop("model", "beta")
+def cross_validated(spark, d) -> DataFrame:
+    """repeat, fold, label, guess of every held-out row of every repeat."""
+    rows, count = dealt(spark, d)
+    fits = folds.fits_of(folds.preparation(rows, TEXT, count), TEXT)
+    ready = stored(folds.with_row(rows, TEXT, "quality", "doc_id"), "fits")
+    found = folds.held_out(ready, fits, folds.logistic_fits(ready, fits))
+    return found.select("repeat", "fold", F.col("label").cast("int").alias("label"), (F.col("p") >= 0.5).cast("int").alias("guess"))
 
 
-def fold_scores(rows: DataFrame, groups: list[str], label: str) -> DataFrame:
-    guess = rows.withColumn("guess", (F.col("p") >= 0.5).cast("int"))
-    return evaluation.macro_f1(guess.withColumn(label, F.col(label).cast("int")), groups, label, "guess", [0, 1])
+def fold_scores(rows: DataFrame, groups: list[str]) -> DataFrame:
+    """groups, macro_f1, balanced_accuracy (over the classes that a group's labels hold)."""
+    s = evaluation.class_scores(rows, groups, "label", "guess", [0, 1])
+    return s.groupBy(*groups).agg(F.avg("f1").alias("macro_f1"), F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("balanced_accuracy"))
 
 
 @query()
 def m09_cross_validation(spark, d):
-    """fold (-1 for all pooled), macro_f1 of a logistic model that is fitted without the fold."""
-    rows = cross_validated(labelled(spark, d), TEXT, "quality")
-    both = rows.withColumn("fold", F.explode(F.array(F.col("fold"), F.lit(-1))))
-    return fold_scores(both, ["fold"], "quality").select("fold", r6("macro_f1").alias("macro_f1"))
+    """repeat, fold (0 and -1 for all pooled), scores of logistic models that are prepared and fitted without the fold."""
+    rows = cross_validated(spark, d)
+    own = F.array(F.struct("repeat", "fold"), F.struct(F.lit(0).cast("long").alias("repeat"), F.lit(-1).cast("long").alias("fold")))
+    both = rows.select("label", "guess", F.explode(own).alias("k")).select("label", "guess", "k.*")
+    return fold_scores(both, ["repeat", "fold"]).select("repeat", "fold", r6("macro_f1").alias("macro_f1"), r6("balanced_accuracy").alias("balanced_accuracy"))
+
+
+@query()
+def m09_fold_summary(spark, d):
+    """metric, mean, sd, q025, q50, q975 of the scores of all folds of all repeats."""
+    scores = stored(fold_scores(cross_validated(spark, d), ["repeat", "fold"]), "scores")
+    found = [evaluation.summary(scores, c).select(F.lit(c).alias("metric"), "*") for c in ("macro_f1", "balanced_accuracy")]
+    return found[0].unionByName(found[1])
 
 
 PAIRS = f"(SELECT a.event_id, a.user_id, a.label, b.label AS guess FROM ({_slopes_sql(3)}) a JOIN ({_slopes_sql(2)}) b USING (event_id))"
@@ -195,29 +236,29 @@ def m18_paired_folds(spark, d):
     return f.agg(F.count("*").alias("folds"), r6(F.avg(delta)).alias("mean_delta"), r6(F.stddev_samp(delta)).alias("sd"), r6(F.avg((delta > 0).cast("int"))).alias("positive"))
 
 
-def permuted(rows: DataFrame, identity: str, label: str, count: int, seed: str = "null") -> DataFrame:
-    """rows once for every permutation, label exchanged: the j-th row by one digest takes the label of the j-th by another.
-
-    A permutation is one window partition, so rows must be few for a task (participants, not samples).
-    """
-    if not 500 <= count <= 1000:
-        raise ValueError("a decisive null takes 500 to 1000 permutations")
-    each = rows.withColumn("permutation", F.explode(F.sequence(F.lit(1), F.lit(count))))
-    order = lambda part: F.row_number().over(Window.partitionBy("permutation").orderBy(F.md5(F.concat_ws(":", F.lit(seed + part), F.col("permutation").cast("string"), F.col(identity).cast("string"))), identity))
-    own, other = each.withColumn("j", order("a")), each.select("permutation", F.col(label).alias("its_label"), order("b").alias("j"))
-    return own.join(other, ["permutation", "j"]).withColumn(label, F.col("its_label")).drop("its_label", "j")
-
-
 @query()
 def m19_permutation_null(spark, d):
-    """permutations, observed, mean and quantiles of the null's macro-F1, and the upper tail: 500 permutations of the
-    labels, five folds each, all 2,500 models fitted side by side."""
-    rows = labelled(spark, d)
-    observed = fold_scores(cross_validated(rows, TEXT, "quality").withColumn("all", F.lit(0)), ["all"], "quality").first()["macro_f1"]
-    null = fold_scores(cross_validated(permuted(rows, "doc_id", "quality", 500), TEXT, "quality", ["permutation"]), ["permutation"], "quality")
-    found = evaluation.summary(null, "macro_f1")
-    tail = null.agg(F.count("*").alias("permutations"), r6(evaluation.upper_tail(F.col("macro_f1"), observed)).alias("p"))
-    return tail.withColumn("k", F.lit(1)).join(found.withColumn("k", F.lit(1)), "k").select("permutations", F.lit(round(observed, 6)).alias("observed"), "mean", "sd", "q025", "q50", "q975", "p")
+    """permutations, observed, mean and quantiles of the null's macro-F1, and the upper tail: 1,000 permutations of the
+    labels, one repeat of folds, all models fitted side by side as columns of matrices."""
+    rows, count = dealt(spark, d, repeats=1)
+    found = permuted_scores(rows, count, 1000)
+    null = found["null"]
+    tail = (1 + int((null >= found["observed"]).sum())) / (1 + len(null))
+    row = (len(null), found["observed"], null.mean(), null.std(ddof=1), *np.quantile(null, [0.025, 0.5, 0.975]), tail)
+    return spark.createDataFrame([(row[0], *(round(float(x), 6) for x in row[1:]))], "permutations int, observed double, mean double, sd double, q025 double, q50 double, q975 double, p double")
+
+
+def permuted_scores(rows: DataFrame, count: int, permutations: int) -> dict:
+    """observed: macro-F1 of the labels as they are; null: that of each permutation. A number a permutation, no rows."""
+    if not 500 <= permutations <= 1000:
+        raise ValueError("a decisive null takes 500 to 1000 permutations")
+    fits = folds.fits_of(folds.preparation(rows, TEXT, count), TEXT)
+    ready = stored(folds.with_row(rows, TEXT, "quality", "doc_id"), "fits")
+    guesses = folds.held_out(ready, fits, folds.logistic_fits(ready, fits)).select("label", (F.col("p") >= 0.5).cast("int").alias("guess"))
+    seen = guesses.agg(*(F.count_if((F.col("guess") == g) & (F.col("label") == t)) for g in (0, 1) for t in (0, 1))).first()
+    ones = ready.where("label = 1").count()
+    confusion = folds.permutation_null(ready, fits, folds.permutations(ready, len(TEXT), permutations, ones))
+    return {"observed": float(folds.macro_f1(np.array([list(seen)], float))[0]), "null": folds.macro_f1(confusion), "confusion": confusion}
 
 
 POLICY = f"(SELECT p.*, value >= q10 AS kept, split FROM {PAIRS} p JOIN (SELECT event_id, value, split FROM ({SPLIT})) e USING (event_id) JOIN ({TRAIN_Q}) q ON q.user_id = p.user_id)"
