@@ -680,4 +680,4 @@ def n06_cross_channel(spark, d):
 
 
 # The rest of the queries register themselves here.
-from . import audits, contracts, kernels, study  # noqa: E402, F401
+from . import audits, contracts, kernels, runners, study  # noqa: E402, F401
