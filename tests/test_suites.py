@@ -83,8 +83,10 @@ def test_no_rows_no_models(spark):
     assert suite.models == [] and none.select(suite.predicted().alias("p")).count() == 0
 
 
-def test_runners_train(spark):
+def test_runners_train(spark, monkeypatch):
     d = "/root/testdata/sf0.01"
+    once = runners.endpoints(spark, d)
+    monkeypatch.setattr(runners, "endpoints", lambda *_: once)
     got = {n: catalogue.queries()[n](spark, d).collect() for n in ("m05_history_suite", "m21_fitted_policies", "m22_fitted_selection", "m23_fitted_variants", "m24_fitted_sweep")}
     suite = {(r["model"], r["user_id"]): r for r in got["m05_history_suite"]}
     names = {"majority", "always_stable", "logistic_history", "logistic_current_window", "logistic_shifted_control"}

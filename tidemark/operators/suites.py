@@ -91,16 +91,16 @@ def fitted(train: DataFrame, classes: list[str], balanced: bool = False, penalty
     own = np.where(n > 0, n.sum(axis=1, keepdims=True) / ((n > 0).sum(axis=1, keepdims=True) * np.maximum(n, 1)), 0.0) if balanced else np.ones_like(n)
     upper = np.triu_indices(c * k)
     places = c * k + len(upper[0])
-    ridge = np.diag(np.tile([1e-9] + [penalty] * width, c))
+    ridge = np.stack([_ridge(met, width, penalty) for met in suite.met]) if names else np.zeros((0, c * k, c * k))
     code = F.array_position(F.array(*map(F.lit, classes)), F.col("label")) - 1
     which = F.array_position(F.array(*map(F.lit, names)), F.col("model")) - 1
     rows = train.select("x", code.cast("long").alias("label"), which.cast("long").alias("model"), F.col("weight").cast("double").alias("weight"))
     betas = suite.betas
     for _ in range(steps):
-        sums = _sums(rows, suite, betas, own, upper, places)
-        if not len(names):
+        if not names:
             break
-        g = sums[:, : c * k] - betas.reshape(len(names), -1) @ ridge
+        sums = _sums(rows, suite, betas, own, upper, places)
+        g = sums[:, : c * k] - np.einsum("mij,mj->mi", ridge, betas.reshape(len(names), -1))
         h = np.zeros((len(names), c * k, c * k))
         h[:, upper[0], upper[1]] = sums[:, c * k :]
         h = h + np.triu(h, 1).transpose(0, 2, 1) + ridge
@@ -111,6 +111,16 @@ def fitted(train: DataFrame, classes: list[str], balanced: bool = False, penalty
     return suite._replace(betas=betas)
 
 
+def _ridge(met: np.ndarray, width: int, penalty: float) -> np.ndarray:
+    """The penalty's Hessian. A shift common to all intercepts changes nothing, so their sum is held at 0."""
+    k = width + 1
+    out = np.diag(np.tile([0.0] + [penalty] * width, len(met)))
+    at = np.arange(len(met)) * k
+    out[np.ix_(at[met], at[met])] += 1
+    out[at[~met], at[~met]] = 1
+    return out
+
+
 def _sums(rows: DataFrame, suite: Suite, betas: np.ndarray, own: np.ndarray, upper: tuple, places: int) -> np.ndarray:
     """Gradient and upper triangle of the Hessian of each model, without the penalty."""
     c, k = betas.shape[1:]
