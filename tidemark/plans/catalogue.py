@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import distribution, evaluation, joins, sequences, signals, splits
+from ..operators import checks, distribution, evaluation, joins, sequences, signals, slopes, splits
 from ..operators import timeseries as ts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -362,14 +362,12 @@ def w05_theil_sen_all(spark, d):
 
 
 def _theil_sen(spark, d, ends):
-    """Median slope over the pairs of the three days up to each event that meets `ends`; pairs are made in the row."""
+    """Median slope over the pairs of the three days up to each event that meets `ends`."""
     e = table(spark, d, "events").withColumn("t", ts.micros("ts"))
     points = e.where(ends).select("event_id", "user_id", (F.col("t") - 3 * DAY).alias("a"), F.col("t").alias("b"))
     rows = joins.history_join(points, e.select("user_id", "value", "t"), "user_id", "a", "b", "t", 3 * DAY)
     seen = rows.groupBy("event_id").agg(F.collect_list(F.struct("t", "value")).alias("seen"))
-    slope = lambda a: lambda b: (b["value"] - a["value"]) / ((b["t"] - a["t"]) / F.lit(float(DAY)))
-    pairs = F.flatten(F.transform("seen", lambda a: F.transform(F.filter("seen", lambda b: b["t"] > a["t"]), slope(a))))
-    return seen.select("event_id", r6(signals.quantile(F.array_sort(F.array_compact(pairs)), 0.5)).alias("slope")).where("slope IS NOT NULL")
+    return seen.select("event_id", r6(slopes.theil_sen("seen", DAY)).alias("slope")).where("slope IS NOT NULL")
 
 
 @query("SELECT event_type, count_if(user_id % 2 = 0) AS even, count_if(user_id % 2 = 1) AS odd FROM events GROUP BY event_type")
@@ -408,8 +406,8 @@ def _slopes(spark, d, days):
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity >= 0 AND l_quantity < 10 THEN 0 WHEN l_quantity >= 10 AND l_quantity < 25 THEN 1 WHEN l_quantity >= 25 THEN 2 END AS bin FROM lineitem")
 def p04_halfopen_bins(spark, d):
-    q = F.col("l_quantity")
-    found = F.when((q >= 0) & (q < 10), 0).when((q >= 10) & (q < 25), 1).when(q >= 25, 2)
+    """Half-open bins of which exactly one must hold each value, or the query fails."""
+    found = checks.one_bin(F.col("l_quantity"), [(0, 0, 10), (1, 10, 25), (2, 25, None)])
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", found.alias("bin"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, joins, sequences, signals, splits
+from ..operators import checks, evaluation, joins, sequences, signals, splits
 from ..operators import timeseries as ts
 from .catalogue import DAY, SPLIT, _slopes, _slopes_sql, query, r6, table
 
@@ -117,6 +117,26 @@ def v06_endpoint_labels(spark, d):
     return rows.groupBy("candidate").agg((F.count("*") - F.count_distinct("user_id", "event_id")).alias("repeated"), n(~F.col("label").isin("FALLING", "STABLE", "RISING"), "unknown"), n(F.col("at").isNull(), "no_time"), n(late, "late_history"), n(F.col("tau") <= 0, "thresholds"), F.count("*").alias("n"))
 
 
+_planted = f"""(SELECT 'H' || h AS candidate, e.event_id - CASE WHEN e.event_id % 101 = 1 THEN 1 ELSE 0 END AS key, CASE WHEN e.event_id % 97 = 0 THEN NULL ELSE when_us END AS when_us, first_at + CASE WHEN e.event_id % 89 = 0 THEN {10 * DAY} ELSE 0 END AS history_start,
+CASE WHEN e.event_id % 83 = 0 THEN 'UP' ELSE label END AS label, CASE WHEN e.event_id % 79 = 0 THEN 20.0 - value ELSE 20.0 END AS threshold FROM (SELECT 3 AS h, * FROM ({_slopes_sql(3)}) UNION ALL SELECT 2, * FROM ({_slopes_sql(2)})) e
+JOIN (SELECT event_id, value, epoch_us(ts) AS when_us, min(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN {3 * DAY} PRECEDING AND CURRENT ROW) AS first_at FROM events) USING (event_id))"""
+
+
+@query(f"""SELECT candidate, count(*) AS n, count(*) - count(DISTINCT key) AS repeated, count_if(label NOT IN ('FALLING', 'STABLE', 'RISING')) AS unknown, count_if(when_us IS NULL) AS no_time, count_if(history_start > when_us) AS late_history, count_if(threshold <= 0) AS thresholds FROM {_planted} GROUP BY candidate""")
+def v06_endpoint_faults(spark, d):
+    """The rules of endpoint labels on a table in which each is broken somewhere: some events have their time taken, their
+    history moved on, another label, another event's key, or a threshold that their value lowers."""
+    e = table(spark, d, "events")
+    first = ts.trailing_slope(e, "user_id", 3).select("event_id", ts.micros("ts").alias("at"), F.col("first_point").alias("first_at"), F.col("value").alias("v"))
+    one = lambda h: _slopes(spark, d, h).select(F.lit(f"H{h}").alias("candidate"), "event_id", "label")
+    rows, k = one(3).unionByName(one(2)).join(first, "event_id"), F.col("event_id")
+    rows = rows.select(
+        "candidate", (k - F.when(k % 101 == 1, 1).otherwise(0)).alias("key"), F.when(k % 97 != 0, F.col("at")).alias("at"), (F.col("first_at") + F.when(k % 89 == 0, F.lit(10 * DAY)).otherwise(0)).alias("history_start"),
+        F.when(k % 83 == 0, "UP").otherwise(F.col("label")).alias("label"), F.when(k % 79 == 0, 20.0 - F.col("v")).otherwise(20.0).alias("threshold"),
+    )
+    return checks.endpoint_faults(rows, ["FALLING", "STABLE", "RISING"])
+
+
 @query("SELECT history, width, asked, history * 60 // width - 1 AS due, asked = history * 60 // width - 1 AS holds FROM (VALUES (30, 30, 59), (30, 60, 29), (20, 30, 30)) v(history, width, asked)")
 def v07_minimum_windows(spark, d):
     """The least number of windows asked for must be that of a whole history, less one."""
