@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import joins, signals
+from ..operators import conditioning, joins, signals
 from ..operators import timeseries as ts
 from .catalogue import DAY, query, r6, table
 
@@ -85,6 +85,18 @@ def n12_conditioned_windows(spark, d):
     return rows.select("vec_id", *(own[c].alias(c) for c in ("mean", "std", "min", "max", "q25", "q75")), raw["flat_share"].alias("flat_fraction"), F.log1p(raw["q75"] - raw["q25"]).alias("log_iqr"), F.least(band, F.lit(1.0)).alias("band_ratio"))
 
 
+SPECS = [conditioning.Spec("raw"), conditioning.Spec("bp_2_20_zscore", (2.0, 20.0), "zscore"), conditioning.Spec("bp_4_16_robust", (4.0, 16.0), "robust")]
+
+
+@query()
+def n12_signal_windows(spark, d):
+    """Windows of 16 samples of each user's events under three conditionings, up to the user's last purchase."""
+    e = table(spark, d, "events")
+    stops = e.where("event_type = 'purchase'").groupBy("user_id").agg(F.max("ts").alias("stop_at"))
+    windows = conditioning.signal_windows(e, "user_id", 16, 5 * DAY, stops=stops)
+    return conditioning.conditioned(windows, "user_id", RATE, SPECS, (2.0, 8.0))
+
+
 @query("SELECT l_suppkey, count(*) AS n, round(sqrt(avg(l_quantity * l_quantity + l_discount * l_discount + l_tax * l_tax)), 6) AS rms FROM lineitem WHERE l_quantity IS NOT NULL AND l_discount IS NOT NULL AND l_tax IS NOT NULL GROUP BY l_suppkey")
 def n13_triaxial_rms(spark, d):
     """Root mean square of a magnitude over three axes; rows without one of them go."""
