@@ -1,8 +1,6 @@
-"""Event logs, motion, metadata, archives and sinks on small files."""
+"""Event logs, motion, metadata and sinks on small files."""
 
-import hashlib
 import json
-import zipfile
 
 import pytest
 
@@ -44,19 +42,6 @@ def test_configs_are_mappings(tmp_path):
         files.read_config(str(tmp_path / "b.json"))
 
 
-def test_archive_members_match_a_manifest(spark, tmp_path):
-    folder = tmp_path / "zips"
-    folder.mkdir()
-    with zipfile.ZipFile(folder / "one.zip", "w") as z:
-        for name, data in (("root/a.csv", b"a"), ("root/b.csv", b"b"), ("../up.csv", b"u"), ("extra.csv", b"e")):
-            z.writestr(name, data)
-    (tmp_path / "manifest").write_text(f"{hashlib.sha256(b'a').hexdigest()} a.csv\n{hashlib.sha256(b'x').hexdigest()} root/b.csv\n{hashlib.sha256(b'g').hexdigest()} gone.csv\n")
-    members = files.archive_members(files.inventory(spark, str(folder)))
-    assert {(r.member, r.bytes, r.safe) for r in members.collect()} == {("root/a.csv", 1, True), ("root/b.csv", 1, True), ("../up.csv", 1, False), ("extra.csv", 1, True)}
-    got = {(r.name, r.member, r.state) for r in files.match_members(members, files.read_manifest(spark, str(tmp_path / "manifest"))).collect()}
-    assert got == {("a.csv", "root/a.csv", "ok"), ("root/b.csv", "root/b.csv", "differs"), ("gone.csv", None, "missing"), (None, "extra.csv", "unlisted")}
-
-
 def test_sinks_do_not_overwrite(spark, tmp_path):
     df = spark.createDataFrame([(1, float("nan"), "a|b"), (2, 0.5, None)], "k int, v double, s string")
     for write, name in ((writers.write_parquet, "p"), (writers.write_csv, "c")):

@@ -1,10 +1,9 @@
-"""File sources: signal, event and motion CSV, typed metadata, configs and manifests, archives, and digests of files."""
+"""File sources: signal, event and motion CSV, typed metadata, configs and manifests, and digests of files."""
 
 from __future__ import annotations
 
 import hashlib
 import json
-import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -158,38 +157,3 @@ def verify_files(spark: SparkSession, manifest: DataFrame, folder: str) -> DataF
     both = manifest.join(file_digests(inventory(spark, folder)).select("name", "found"), "name", "full")
     state = F.when(F.col("digest").isNull(), "unlisted").when(~F.col("valid"), "invalid").when(F.col("found").isNull(), "missing")
     return both.select("name", state.when(F.col("found") == F.col("digest"), "ok").otherwise("differs").alias("state"))
-
-
-def archive_members(files: DataFrame) -> DataFrame:
-    """archive, member, bytes, found (SHA-256), safe of every member of ZIP files of an inventory.
-
-    A member is not safe if its path is absolute or leads upwards. Members are hashed as they are extracted, in parts.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path, name in zip(batch["path"], batch["name"], strict=True):
-                with opened(path) as f, zipfile.ZipFile(f) as z:
-                    for m in z.infolist():
-                        if not m.is_dir():
-                            inside = m.filename.replace("\\", "/")
-                            safe = not inside.startswith("/") and ".." not in inside.split("/") and ":" not in inside
-                            with z.open(m) as part:
-                                rows.append((name, inside, m.file_size, digest_of(part), safe))
-            yield pd.DataFrame(rows, columns=["archive", "member", "bytes", "found", "safe"])
-
-    return files.select("path", "name").mapInPandas(run, "archive string, member string, bytes long, found string, safe boolean")
-
-
-def match_members(members: DataFrame, manifest: DataFrame) -> DataFrame:
-    """name, archive, member, state of every name of the manifest or safe member: a member matches by its whole path or
-    by its path without the first folder; several for one name are `ambiguous`."""
-    m = members.where("safe").withColumn("short", F.regexp_replace("member", "^[^/]+/", ""))
-    keys = m.withColumn("name", F.explode(F.array_distinct(F.array("member", "short"))))
-    hits = keys.join(manifest, "name").groupBy("name").agg(F.count("*").alias("hits"), F.min("archive").alias("archive"), F.min("member").alias("member"), F.min((F.col("found") == F.col("digest")).cast("int")).alias("same"))
-    named = manifest.select("name").join(hits, "name", "left")
-    state = F.when(F.col("hits").isNull(), "missing").when(F.col("hits") > 1, "ambiguous").when(F.col("same") == 1, "ok").otherwise("differs")
-    rows = named.select("name", "archive", "member", state.alias("state"))
-    rest = m.join(hits.select("archive", "member"), ["archive", "member"], "left_anti").select(F.lit(None).cast("string").alias("name"), "archive", "member", F.lit("unlisted").alias("state"))
-    return rows.unionByName(rest)
