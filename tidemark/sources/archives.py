@@ -19,6 +19,7 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import islice
 
 import pandas as pd
 import pyarrow.fs
@@ -151,11 +152,18 @@ def streams(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
             stream.close()
 
 
+def framed(rows: Iterator[tuple], schema: str, size: int = 1000) -> Iterator[pd.DataFrame]:
+    """Rows as tables of at most `size` of them; a table costs far more than a row."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    while part := list(islice(rows, size)):
+        yield pd.DataFrame(part, columns=names)
+
+
 def archive_members(files: DataFrame, task_bytes: int = 64 << 20) -> DataFrame:
     """archive (its path), member, bytes, header_at, safe, intact and found (SHA-256) of every member of the archives of
     an inventory."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for stream, m in streams(batches):
             digest, intact = sha256(), True
             try:
@@ -163,9 +171,9 @@ def archive_members(files: DataFrame, task_bytes: int = 64 << 20) -> DataFrame:
                     digest.update(part)
             except Damaged:
                 intact = False
-            yield pd.DataFrame([(m.archive, m.member, m.bytes, m.header_at, m.safe, intact, digest.hexdigest() if intact else None)], columns=[c.split()[0] for c in MEMBERS.split(", ")])
+            yield m.archive, m.member, m.bytes, m.header_at, m.safe, intact, digest.hexdigest() if intact else None
 
-    return dealt(directory(files), task_bytes).mapInPandas(run, MEMBERS)
+    return dealt(directory(files), task_bytes).mapInPandas(lambda batches: framed(read(batches), MEMBERS), MEMBERS)
 
 
 def archive_lines(files: DataFrame, member: str, task_bytes: int = 64 << 20, rows: int = 10_000) -> DataFrame:
@@ -238,7 +246,7 @@ def extract_verified(files: DataFrame, manifest: DataFrame, folder: str, task_by
     if odd:
         raise ValueError(f"archives and manifest differ: {odd}")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         system, top = pyarrow.fs.FileSystem.from_uri(folder)
         for stream, m in streams(batches):
             path = f"{top.rstrip('/')}/{m.name}"
@@ -257,7 +265,7 @@ def extract_verified(files: DataFrame, manifest: DataFrame, folder: str, task_by
                 system.move(partial, path)
             else:
                 system.delete_file(partial)
-            yield pd.DataFrame([(m.name, m.archive, m.member, m.bytes, state)], columns=[c.split()[0] for c in EXTRACTED.split(", ")])
+            yield m.name, m.archive, m.member, m.bytes, state
 
     wanted = listing.join(matched.select("name", "archive", "member"), ["archive", "member"]).join(manifest.select("name", "digest"), "name")
-    return stored(dealt(wanted, task_bytes).mapInPandas(run, EXTRACTED), "extracted")
+    return stored(dealt(wanted, task_bytes).mapInPandas(lambda batches: framed(write(batches), EXTRACTED), EXTRACTED), "extracted")
