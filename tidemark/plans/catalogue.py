@@ -678,4 +678,4 @@ def n06_cross_channel(spark, d):
 
 
 # The rest of the queries register themselves here.
-from . import archived, audits, contracts, kernels, runners, study  # noqa: E402, F401
+from . import archived, audits, contracts, exchanged, kernels, runners, study  # noqa: E402, F401

@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +20,14 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def write_csv(df: DataFrame, path: str, files: int | None = None) -> None:
+def write_csv(df: DataFrame, path: str, files: int | None = None, partition_by: list[str] | None = None) -> None:
     """With a header, in as many files as the rows have partitions, or in `files`; fails if there is something at path.
 
-    One file means one task: ask for it where the rows are a report's.
+    One file means one task: ask for it where the rows are a report's. Columns of partition_by name folders and are not
+    in the files.
     """
-    (df.coalesce(files) if files else df).write.mode("errorifexists").option("header", True).csv(path)
+    writer = (df.coalesce(files) if files else df).write.mode("errorifexists").option("header", True)
+    (writer.partitionBy(*partition_by) if partition_by else writer).csv(path)
 
 
 def plain(value: Any) -> Any:
@@ -46,10 +49,25 @@ def few(df: DataFrame, most: int) -> list[dict]:
     return rows
 
 
+def write_text(text: str, path: str) -> None:
+    """A small file in any of Arrow's file systems, or at a local path; fails if it exists."""
+    if ":" not in path.split("/")[0]:
+        with open(path, "x", encoding="utf-8") as f:
+            f.write(text)
+        return
+    system, place = pyarrow.fs.FileSystem.from_uri(path)
+    if system.get_file_info(place).type != pyarrow.fs.FileType.NotFound:
+        raise FileExistsError(f"would overwrite {path}")
+    system.create_dir(place.rpartition("/")[0], recursive=True)
+    partial = f"{place}.{uuid.uuid4().hex}.partial"
+    with system.open_output_stream(partial) as out:
+        out.write(text.encode("utf-8"))
+    system.move(partial, place)
+
+
 def write_json(report: dict, path: str) -> None:
     """A report as indented JSON; fails if the file exists."""
-    with open(path, "x", encoding="utf-8") as f:
-        f.write(json.dumps(plain(report), indent=2) + "\n")
+    write_text(json.dumps(plain(report), indent=2) + "\n", path)
 
 
 def markdown_table(df: DataFrame, most: int = 1000) -> str:
@@ -64,8 +82,7 @@ def write_markdown(title: str, sections: dict[str, str | DataFrame], path: str)
     parts = [f"# {title}"]
     for name, content in sections.items():
         parts += [f"## {name}", markdown_table(content) if isinstance(content, DataFrame) else content]
-    with open(path, "x", encoding="utf-8") as f:
-        f.write("\n\n".join(parts) + "\n")
+    write_text("\n\n".join(parts) + "\n", path)
 
 
 def fingerprint(df: DataFrame) -> str:

@@ -132,10 +132,11 @@ def digest_of(stream) -> str:
     return found.hexdigest()
 
 
-def inventory(spark: SparkSession, folder: str) -> DataFrame:
-    """path, name, bytes of every file; contents are not read."""
+def inventory(spark: SparkSession, folder: str, depth: int = 1) -> DataFrame:
+    """path, name, bytes of every file; contents are not read. name: the last `depth` parts of the path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return files.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("bytes"))
+    name = F.regexp_extract("path", rf"([^/]+(?:/[^/]+){{{depth - 1}}})$", 1)
+    return files.select("path", name.alias("name"), F.col("length").alias("bytes"))
 
 
 def file_digests(files: DataFrame) -> DataFrame:
@@ -152,8 +153,8 @@ def file_digests(files: DataFrame) -> DataFrame:
     return files.select("path", "name").mapInPandas(run, "path string, name string, found string")
 
 
-def verify_files(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
+def verify_files(spark: SparkSession, manifest: DataFrame, folder: str, depth: int = 1) -> DataFrame:
     """name, state of every name in the manifest or folder: ok, differs, missing, unlisted or invalid."""
-    both = manifest.join(file_digests(inventory(spark, folder)).select("name", "found"), "name", "full")
+    both = manifest.join(file_digests(inventory(spark, folder, depth)).select("name", "found"), "name", "full")
     state = F.when(F.col("digest").isNull(), "unlisted").when(~F.col("valid"), "invalid").when(F.col("found").isNull(), "missing")
     return both.select("name", state.when(F.col("found") == F.col("digest"), "ok").otherwise("differs").alias("state"))
