@@ -60,7 +60,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
     held = toxicity.fold() == 0
-    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+    return toxicity.tagged(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted", "spans")
 
 
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

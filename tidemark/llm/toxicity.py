@@ -101,7 +101,9 @@ class Field:
 
     def spans(self, text: str | None) -> list[dict]:
         """First and last character offsets and probability of the words more likely toxic than not."""
-        words = [(m.start(), m.end(), self.strengths.get(m.group().lower(), 0)) for m in WORD.finditer(text or "")]
+        if not text or not self.hits(text)[0]:
+            return []  # offsets are found only where there is something to tag
+        words = [(m.start(), m.end(), self.strengths.get(m.group().lower(), 0)) for m in WORD.finditer(text)]
         hits = [(i, s) for i, (_, _, s) in enumerate(words) if s]
         p = self.marginals(hits, len(words))
         return [{"start": words[i][0], "end": words[i][1], "p": float(q)} for (i, _), q in zip(hits, p, strict=True) if q >= 0.5]
@@ -324,6 +326,20 @@ def score(docs: DataFrame, model: Field) -> DataFrame:
     return rows.select("doc_id", scorer(model, docs.sparkSession)("text").alias("p")).select("doc_id", "p.*")
 
 
+def tagged(docs: DataFrame, model: Field) -> DataFrame:
+    """doc_id, score, predicted and spans (start, end, p of each word that is more likely toxic than not) of every row."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("score double, predicted int, spans array<struct<start:long,end:long,p:double>>")
+    def tag(texts: pd.Series) -> pd.DataFrame:
+        p = np.array([shared.value.score(t) for t in texts], dtype=float)
+        spans = [shared.value.spans(t) for t in texts]
+        return pd.DataFrame({"score": p, "predicted": (p >= 0.5).astype("int32"), "spans": spans})
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.select("doc_id", tag("text").alias("p")).select("doc_id", "p.*")
+
+
 def offending(docs: DataFrame, model: Field) -> DataFrame:
     """doc_id, start, end, p of every word that is more likely toxic than not."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
