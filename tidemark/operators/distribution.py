@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .tables import stored
 
 ROWS, PARTS = 1 << 20, 256
+SPLITTER = 134217729.0  # 2^27 + 1: halves the digits of a double
 
 
 def _size(value: Column) -> Column:
@@ -41,6 +42,20 @@ def _holds(place: Column, before: Column, n: Column) -> Column:
     return (before <= place) & (place < before + n)
 
 
+def between(low: Column, high: Column, part: Column) -> Column:
+    """low * (1 - part) + high * part with the product of low rounded together with the sum, as a fused multiply-add
+    does in DuckDB's quantile_cont. Comparisons with a quantile hang on its last digit."""
+    a, b = low.cast("double"), 1 - part
+    c, p = high.cast("double") * part, a * b
+    halves = lambda x: (h := SPLITTER * x - (SPLITTER * x - x), x - h)
+    (ah, al), (bh, bl) = halves(a), halves(b)
+    lost = ((ah * bh - p) + ah * bl + al * bh) + al * bl  # what p lacks of the product
+    s = p + c
+    rest = (p - (s - (s - p))) + (c - (s - p))  # what s lacks of the sum
+    plain = (F.abs(a) > 1e290) | (F.abs(high) > 1e290) | F.isnan(a) | F.isnan(high.cast("double"))
+    return F.when(part == 0, a).when(plain, s).otherwise(s + (rest + lost))
+
+
 def quantiles(rows: DataFrame, groups: str | list[str], value: str, names: dict[str, float], lower: bool = False, count: str | None = None, most: int = ROWS) -> DataFrame:
     """groups and, per name, the exact quantile p of the values: between the two nearest, or the lower of them.
 
@@ -71,8 +86,9 @@ def quantiles(rows: DataFrame, groups: str | list[str], value: str, names: dict[
         place = (F.col("total") - 1) * F.lit(p)
         at = lambda k: F.max(F.when(_holds(k, F.col("before"), F.col("n")), F.col("v")))
         low, high, part = at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))
-        out.append((low if lower else low + (high - low) * part).alias(name))
-    return values.groupBy("g").agg(*out).select("g.*", *names)
+        out.append(F.struct(low.alias("low"), high.alias("high"), part.alias("part")).alias(name))
+    of = lambda q: q["low"] if lower else between(q["low"], q["high"], q["part"])
+    return values.groupBy("g").agg(*out).select("g.*", *(of(F.col(name)).alias(name) for name in names))
 
 
 def medians(rows: DataFrame, groups: list[str], columns: list[str]) -> DataFrame:
