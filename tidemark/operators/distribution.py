@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .tables import stored
 
-ROWS, PARTS = 1 << 20, 256
+ROWS, PARTS, FEW = 1 << 20, 256, 1 << 16
 SPLITTER = 134217729.0  # 2^27 + 1: halves the digits of a double
 
 
@@ -42,6 +42,11 @@ def _holds(place: Column, before: Column, n: Column) -> Column:
     return (before <= place) & (place < before + n)
 
 
+def _met(rows: DataFrame, ranges: DataFrame, few: bool) -> DataFrame:
+    """rows of the ranges. Rows that were exploded look small to the optimizer, so it is told never to broadcast them."""
+    return rows.join(F.broadcast(ranges) if few else ranges.hint("shuffle_hash"), ["g", "r"])
+
+
 def between(low: Column, high: Column, part: Column) -> Column:
     """low * (1 - part) + high * part with the product of low rounded together with the sum, as a fused multiply-add
     does in DuckDB's quantile_cont. Comparisons with a quantile hang on its last digit."""
@@ -71,14 +76,18 @@ def quantiles(rows: DataFrame, groups: str | list[str], value: str, names: dict[
         place = (F.col("total") - 1) * F.lit(p)
         wanted = wanted | _holds(F.floor(place), F.col("before"), F.col("n")) | (F.lit(not lower) & _holds(F.ceil(place), F.col("before"), F.col("n")))
     ranges = ranges.where(wanted)
-    while not ranges.where((F.col("n") > most) & (F.col("low") < F.col("high"))).isEmpty():
+    # How many ranges are wanted, and whether one of them is too full.
+    known = lambda: ranges.agg(F.count("*") <= FEW, F.coalesce(F.max((F.col("n") > most) & (F.col("low") < F.col("high"))), F.lit(False))).first()
+    few, full = known()
+    while full:
         # Only rows of wanted ranges go on, in parts of them.
-        own = own.join(ranges.select("g", "r", "before", "total", "low", "high"), ["g", "r"])
+        own = _met(own, ranges.select("g", "r", "before", "total", "low", "high"), few)
         own = own.select("g", "v", "c", "before", "total", F.concat("r", F.array(_part(F.col("v"), F.col("low"), F.col("high")))).alias("r"), F.col("r").alias("of"))
         upto = Window.partitionBy("g", "of").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
         ranges = _counts(own, ["g", "of", "before", "total"]).withColumn("before", F.col("before") + F.coalesce(F.sum("n").over(upto), F.lit(0))).where(wanted)
         own = own.select("g", "v", "c", "r")
-    values = own.join(ranges.select("g", "r", "before", "total"), ["g", "r"]).groupBy("g", "r", "before", "total", "v").agg(F.sum("c").alias("n"))
+        few, full = known()
+    values = _met(own, ranges.select("g", "r", "before", "total"), few).groupBy("g", "r", "before", "total", "v").agg(F.sum("c").alias("n"))
     inside = Window.partitionBy("g", "r").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     values = values.withColumn("before", F.col("before") + F.sum("n").over(inside) - F.col("n"))
     out = []
@@ -113,7 +122,7 @@ def steps(rows: DataFrame, group: str, value: str, most: int = ROWS) -> DataFram
     upto = Window.partitionBy("g").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select("g", "r", F.coalesce(F.sum("rows").over(upto), F.lit(0)).alias("before"), F.sum("rows").over(Window.partitionBy("g")).alias("total"))
     inside = Window.partitionBy("g", "r").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = met.join(ranges, ["g", "r"]).withColumn("below", F.col("before") + F.sum("same").over(inside) - F.col("same"))
+    found = _met(met, ranges, False).withColumn("below", F.col("before") + F.sum("same").over(inside) - F.col("same"))
     return found.select(F.col("g.k").alias("its_group"), F.col("v").alias("its_value"), "same", "below", "total")
 
 

@@ -44,7 +44,8 @@ def repeated_folds(df: DataFrame, identity: str, stratum: str, folds: int, repea
     counts = rows.groupBy("repeat", F.struct(stratum).alias("of"), "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("repeat", "of").orderBy("part")) - F.col("n")
     base = counts.select(F.struct("repeat", "of", "part").alias("its"), before.alias("before"))
-    placed = rows.withColumn("inside", inside).join(base, F.struct("repeat", F.struct(stratum).alias("of"), "part") == F.col("its"))
+    # A row for each repeat, stratum and slice. Rows that were exploded look small, and would be broadcast in its place.
+    placed = rows.withColumn("inside", inside).join(F.broadcast(base), F.struct("repeat", F.struct(stratum).alias("of"), "part") == F.col("its"))
     fold = ((F.col("inside") - 1 + F.col("before")) % folds).cast("int")
     each = placed.groupBy(identity).agg(F.sort_array(F.collect_list(F.struct("repeat", fold.alias("fold")))).alias("f"))
     return each.select(identity, F.transform("f", lambda x: x["fold"]).alias("folds"))

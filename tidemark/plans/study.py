@@ -117,14 +117,15 @@ def labelled(spark, d) -> DataFrame:
     n = F.length(text)
     lower = F.when(n >= 400, F.length(F.regexp_replace(text, "[A-Z]", "")) / n)
     docs = table(spark, d, "documents").select("doc_id", F.log1p(n).alias("size"), lower.alias("lower"), (F.size(F.split(text, " ")) / F.greatest(n, F.lit(1))).alias("blanks"))
-    return table(spark, d, "labels").select("doc_id", "quality").join(docs, "doc_id")
+    # By keys: both sides look smaller than they are, and grow with the table.
+    return table(spark, d, "labels").select("doc_id", "quality").hint("merge").join(docs, "doc_id")
 
 
 def dealt(spark, d, repeats: int = REPEATS) -> tuple[DataFrame, int]:
     """labelled() with the folds of each repeat, written, as every step of a fit reads it; and the number of folds."""
     labels = table(spark, d, "labels").select("doc_id", "quality")
     count = folds.fold_count(labels, "quality")
-    return stored(labelled(spark, d).join(folds.repeated_folds(labels, "doc_id", "quality", count, repeats).select("doc_id", "folds"), "doc_id"), "dealt"), count
+    return stored(labelled(spark, d).join(folds.repeated_folds(labels, "doc_id", "quality", count, repeats).select("doc_id", "folds").hint("merge"), "doc_id"), "dealt"), count
 
 
 @query(f"SELECT doc_id, repeat, fold FROM {DEALT}")
