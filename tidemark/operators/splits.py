@@ -12,7 +12,10 @@ from .sequences import SLICE, micros, placed
 
 
 def chronological_split(df: DataFrame, key: str, embargo: int, train: float = 0.6, validation: float = 0.2, ts: str = "ts", tie: str = "event_id", width: int | None = None) -> DataFrame:
-    """Adds split: train, validation, test by place in time, or excluded_embargo within `embargo` of a boundary."""
+    """Adds split: train, validation, test by place in time, or excluded_embargo within `embargo` of a boundary.
+
+    An embargo of 0 excludes nothing, not even rows at the very time of a boundary, which their places split.
+    """
     n = F.col("n")
     i1 = F.least(F.greatest(F.floor(n * train), F.lit(1)), n - 2)
     i2 = F.least(F.greatest(F.floor(n * (train + validation)), i1 + 1), n - 1)
@@ -23,7 +26,7 @@ def chronological_split(df: DataFrame, key: str, embargo: int, train: float = 0.
         | ((part == "validation") & ((F.col("t") < F.col("b1") + embargo) | (F.col("t") >= F.col("b2") - embargo)))
         | ((part == "test") & (F.col("t") < F.col("b2") + embargo))
     )
-    return df.withColumn("split", F.when(out, "excluded_embargo").otherwise(part))
+    return df.withColumn("split", F.when(out, "excluded_embargo").otherwise(part) if embargo else part)
 
 
 def circular_shift(df: DataFrame, key: str, fraction: float, column: str, ts: str = "ts", tie: str = "event_id", width: int | None = None) -> DataFrame:
