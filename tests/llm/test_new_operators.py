@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import conversations, fingerprints, resampling
+from tidemark.llm.storage import stored
 
 DOCS = "doc_id long, text string, print string, hash long"
 TURNS = "conv_id long, turn long, role string, text string, rows int"
@@ -219,3 +220,17 @@ def test_resampling_of_odd_tables(spark):
     # Many rows with one doc_id and one text: all of one score, each with a rank of its own.
     got = resampling.resample(docs(spark, [(3, "w " * 25)] * 40 + [(4, "short")]), none).collect()
     assert len(got) == 41 and sorted(r["rank"] for r in got if r["rank"]) == [1, 2, 3, 4]
+
+
+def test_row_groups_of_stored_blocks_are_bounded(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rows = docs(spark, [(i, " ".join(f"w{i}x{k}" for k in range(400))) for i in range(600)]).select("doc_id", "text")
+    blocks = stored(resampling.csr_blocks(rows.coalesce(1).repartition(1), buckets=1 << 20).limit(600), "csr", 1 << 16)
+    small = stored(spark.range(5000).selectExpr("id", "array_repeat(id * 7919, 50) AS x").coalesce(1), "small", 1 << 16)
+    for table in (blocks, small):
+        groups = [pq.ParquetFile(f).metadata for f in glob.glob(table.stored_at.removeprefix("file:") + "/*.parquet")]
+        most = max(m.row_group(k).num_rows for m in groups for k in range(m.num_row_groups))
+        assert most <= 500 and sum(m.num_rows for m in groups) == table.count()

@@ -3,6 +3,7 @@
 Each document's features (runs of words) are counted by hash bucket. The sparse document-by-bucket matrix is written
 once as CSR blocks: rows of Parquet that hold the ids of up to 1,024 documents, where each one's entries begin, and the
 entries' buckets and counts; a block is closed early once it has 2^18 entries, so blocks are bounded whatever the texts.
+Row groups of these tables are bounded too, as a task that reads blocks holds a row group of them.
 Column sums over the blocks give the two distributions, from them come the gains of the buckets, and a sparse
 matrix-vector product with the gains gives every document's weight. Only vectors of the buckets' size reach the driver
 and the tasks. Scores add noise that a digest of doc_id decides, so the draw is one without replacement in proportion
@@ -31,6 +32,7 @@ from .storage import release, stored
 
 BUCKETS, WORDS, LEAST_WORDS, PERCENT, SEED = 10_000, 1, 20, 10, 2024
 BLOCK_ROWS, BLOCK_ENTRIES, PART, MOST_KNOWN = 1024, 1 << 18, 1 << 20, 1 << 18
+GROUP_BYTES = 8 << 20  # of a row group of blocks; a task holds few of them at once, however long its file
 BLOCK = "ids array<bigint>, begins array<bigint>, buckets array<int>, counts array<bigint>, words array<bigint>"
 #: Lower-cases A-Z and turns what is no word, among ASCII, into blanks; bytes of other characters stay.
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -194,7 +196,7 @@ def drawn(scored: DataFrame, least_words: int, percent: int) -> DataFrame:
 def resample(docs: DataFrame, target: DataFrame, words: int = WORDS, buckets: int = BUCKETS, least_words: int = LEAST_WORDS, percent: int = PERCENT, seed: int = SEED) -> DataFrame:
     """doc_id, n_features, weight, score, rank of every document; target has a column text."""
     text = F.col("text").cast("string").alias("text")
-    blocks = stored(csr_blocks(docs.select(F.col("doc_id").cast("long").alias("id"), text), words, buckets), "csr")
+    blocks = stored(csr_blocks(docs.select(F.col("doc_id").cast("long").alias("id"), text), words, buckets), "csr", GROUP_BYTES)
     wanted = csr_blocks(target.select(F.lit(None).cast("long").alias("id"), text), words, buckets)
     gain = gains(column_sums(blocks, buckets), column_sums(wanted, buckets))
     scored = weighed(blocks, gain)

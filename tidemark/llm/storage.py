@@ -26,10 +26,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """df as written to the shared folder: its lineage is cut and a lost executor costs nothing."""
+def stored(df: DataFrame, name: str = "table", group_bytes: int | None = None) -> DataFrame:
+    """df as written to the shared folder: its lineage is cut and a lost executor costs nothing.
+
+    group_bytes bounds Parquet's row groups, for rows that are large. Spark reads up to 4,096 rows of a row group at
+    once, so without it a task may hold all that its file has.
+    """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    writer = df.write
+    if group_bytes:
+        for key, value in (("parquet.block.size", group_bytes), ("parquet.block.size.row.check.min", 1), ("parquet.page.size.row.check.min", 1)):
+            writer = writer.option(key, value)
+    writer.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
