@@ -8,6 +8,8 @@ control characters, special tokens) goes to the library whole.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 from array import array
@@ -111,3 +113,16 @@ def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
+
+
+def forget() -> None:
+    """Gives back this worker's encoders and the words they hold, for work that encodes nothing: Spark reuses a Python
+    worker, which would keep them beside all that the next stages hold."""
+    if not _encoders:
+        return
+    for known in _encoders.values():
+        known.words.clear()
+    _encoders.clear()
+    gc.collect()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)

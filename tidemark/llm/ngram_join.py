@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from .bloom import filter_of
 from .components import connected_components
+from .encoding import forget
 from .spread import SALTS, spread_join
 from .storage import release, stored
 
@@ -113,6 +114,7 @@ def sets_of(docs: DataFrame, words: int, often: int = 2) -> DataFrame:
     per task with the grams that at least `often` of its classes hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         seen: set[tuple] = set()
         pending: list[np.ndarray] = []
         held, common = 0, defaultdict(int)
