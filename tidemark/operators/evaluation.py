@@ -54,17 +54,26 @@ def bootstrap_means(df: DataFrame, identity: str, value: str, draws: int) -> Dat
 
     The rows of a draw add up map-side, so the shuffle carries a sum and a count for each draw and task.
     """
-    rows = df.where(F.col(value).isNotNull()).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    u = uniform(F.col(identity), F.col("draw")) * math.e
+    rows = df.where(F.col(value).isNotNull())
+    return bootstrap_means_of(rows, identity, [value], draws).select("draw", F.col(value).alias("mean"))
+
+
+def bootstrap_means_of(df: DataFrame, identity: str, values: list[str], draws: int) -> DataFrame:
+    """draw and the means of several values, nulls left out, as bootstrap_means() gives for each: how often a row counts
+    in a draw is worked out once for all of them."""
+    rows = df.select(identity, *values).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    # A column of its own, as it is dear and compared many times.
+    rows = rows.withColumn("its_u", uniform(F.col(identity), F.col("draw")) * math.e)
     times, reach = F.lit(6), 0.0
     steps = []
     for k in range(6):
         reach += 1 / math.factorial(k)
         steps.append((reach, k))
     for limit, k in reversed(steps):
-        times = F.when(u < limit, k).otherwise(times)
-    rows = rows.withColumn("times", times)
-    return rows.groupBy("draw").agg(F.try_divide(F.sum(F.col(value) * F.col("times")), F.sum("times")).alias("mean"))
+        times = F.when(F.col("its_u") < limit, k).otherwise(times)
+    rows = rows.withColumn("its_times", times)
+    mean = lambda c: F.try_divide(F.sum(F.col(c) * F.col("its_times")), F.sum(F.when(F.col(c).isNotNull(), F.col("its_times"))))
+    return rows.groupBy("draw").agg(*(mean(c).alias(c) for c in values))
 
 
 def summary(df: DataFrame, value: str) -> DataFrame:
