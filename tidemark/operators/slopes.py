@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .signals import quantile
-
-FEW = 128  # points of which all pairs are made within the row
+FEW = 128  # points of which all pairs are made
 
 
 def _not_above(t: np.ndarray, v: np.ndarray, slope: float) -> int:
@@ -71,23 +69,45 @@ def _ties(t: np.ndarray, v: np.ndarray) -> int:
     return int((same * (same - 1) // 2).sum())
 
 
-def _many(t: Column, v: Column) -> Column:
-    @F.pandas_udf("double")
-    def run(t: pd.Series, v: pd.Series) -> pd.Series:
-        found = [None if a is None else median_slope(np.asarray(a, float), np.asarray(b, float)) for a, b in zip(t, v, strict=True)]
-        return pd.Series(found, dtype="float64")
-
-    return run(t, v)
+def _few(t: np.ndarray, v: np.ndarray, unit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The median slope of each row of points over its pairs at different times, and which rows have such a pair."""
+    a, b = np.triu_indices(t.shape[1], 1)
+    apart = t[:, b] - t[:, a]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        slope = np.where(apart != 0, (v[:, b] - v[:, a]) / (apart / float(unit)), np.nan)
+    slope.sort(axis=1)  # what is left out comes last
+    pairs = (apart != 0).sum(axis=1)
+    place, row = np.maximum(pairs - 1, 0) / 2, np.arange(len(t))
+    low, high = slope[row, np.floor(place).astype(int)], slope[row, np.ceil(place).astype(int)]
+    with np.errstate(invalid="ignore"):
+        return np.where(place == np.floor(place), low, low + (high - low) * 0.5), pairs > 0
 
 
 def theil_sen(points: str, unit: int, few: int = FEW) -> Column:
     """The median slope, per `unit` of t, over all pairs of an array of (t, value) at different t; points of null value
-    are left out. Up to `few` points the pairs are made in the row, beyond it slopes are counted."""
-    seen = F.filter(points, lambda p: p["value"].isNotNull())
-    slope = lambda a: lambda b: (b["value"] - a["value"]) / ((b["t"] - a["t"]) / F.lit(float(unit)))
-    # The points are bound once, and not worked out again for each of them.
-    pairs = lambda s: F.flatten(F.transform(s, lambda a: F.transform(F.filter(s, lambda b: b["t"] > a["t"]), slope(a))))
-    small = F.get(F.transform(F.filter(F.array(seen), lambda s: F.size(s) <= few), lambda s: F.get(F.transform(F.array(F.array_sort(pairs(s))), lambda p: quantile(p, 0.5)), F.lit(0))), F.lit(0))
-    large = F.when(F.size(seen) > few, seen)
-    part = lambda name: F.transform(large, lambda p: (p[name] / F.lit(float(unit)) if name == "t" else p[name]).cast("double"))
-    return F.coalesce(small, _many(part("t"), part("value")))
+    are left out. Up to `few` points all pairs are made, those of rows with equally many points at once; beyond it
+    slopes are counted."""
+
+    @F.arrow_udf("double")
+    def run(t: pa.Array, value: pa.Array) -> pa.Array:
+        n = np.nan_to_num(t.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        row, flat = np.repeat(np.arange(len(n)), n), value.flatten()
+        known = flat.is_valid().to_numpy(zero_copy_only=False)
+        row, at, v = row[known], t.flatten().to_numpy(zero_copy_only=False)[known], flat.to_numpy(zero_copy_only=False).astype(float)[known]
+        n = np.bincount(row, minlength=len(n))
+        begin, out, met = np.cumsum(n) - n, np.zeros(len(n)), np.zeros(len(n), bool)
+        for size in np.unique(n[n > 1]):
+            rows = np.flatnonzero(n == size)
+            if size > few:
+                for r in rows:
+                    found = median_slope(at[begin[r] : begin[r] + size] / float(unit), v[begin[r] : begin[r] + size])
+                    met[r], out[r] = found is not None, found or 0.0
+                continue
+            step = max(1, (1 << 20) // int(size * size))
+            for own in (rows[k : k + step] for k in range(0, len(rows), step)):
+                places = begin[own][:, None] + np.arange(size)
+                out[own], met[own] = _few(at[places], v[places], unit)
+        return pa.array(out, pa.float64(), mask=~met)
+
+    part = lambda name, kind: F.transform(points, lambda p: p[name].cast(kind))
+    return run(part("t", "long"), part("value", "double"))
