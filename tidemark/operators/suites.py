@@ -212,11 +212,12 @@ class Suite(NamedTuple):
         return run(F.col(model), F.col(x))
 
 
-def fitted(train: DataFrame, classes: list[str], balanced: bool = False, penalty: float = 1.0, steps: int = 40) -> Suite:
+def fitted(train: DataFrame, classes: list[str], balanced: bool = False, penalty: float = 1.0, steps: int = 40, scaled: bool = True) -> Suite:
     """A suite fitted on train (model, x, label, weight), which is read once.
 
     The loss is summed over rows, with penalty / 2 times the squared coefficients of all classes, intercepts spared.
     balanced: in each model, every class weighs as much as any other. Rows of other labels are left out.
+    scaled: features are centred and divided by their deviation; if not, they come as the penalty is to meet them.
     """
     rows = blocks(train, classes)
     c = len(classes)
@@ -229,7 +230,9 @@ def fitted(train: DataFrame, classes: list[str], balanced: bool = False, penalty
         return Suite([], classes, *(np.zeros((0, 0)) for _ in range(3)), np.zeros((0, c, 1)), n > 0)
     median, mean, std = preparation(rows, names, width)
     moves = std > 1e-9 * np.maximum(1, np.abs(mean))  # features of one value alone have a coefficient of 0
-    suite = Suite(names, classes, median, mean, np.where(moves, std, 1.0), np.zeros((len(names), c, width + 1)), n > 0)
+    mean, std = (mean, np.where(moves, std, 1.0)) if scaled else (np.zeros_like(mean), np.ones_like(std))
+    moves = moves | (not scaled)
+    suite = Suite(names, classes, median, mean, std, np.zeros((len(names), c, width + 1)), n > 0)
     weights = np.where(n > 0, n.sum(axis=1, keepdims=True) / ((n > 0).sum(axis=1, keepdims=True) * np.maximum(n, 1)), 0.0) if balanced else np.ones_like(n)
     share = sum(r["blocks"] for r in met) // (BEGIN * len(names))
     if share >= 4:

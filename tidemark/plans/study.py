@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import distribution, evaluation, folds, models, splits
+from ..operators import distribution, evaluation, folds, models, splits, suites
 from ..operators.tables import stored
 from .audits import FOLDS
 from .catalogue import DAY, SPLIT, TRAIN_Q, _slopes, _slopes_sql, _train_quantiles, query, r6, table
@@ -56,23 +56,20 @@ def m03_logistic(spark, d):
 @query()
 def m05_baseline_suite(spark, d):
     """model, macro_f1, balanced_accuracy on validation: the majority, a constant, all features, one, and shifted ones."""
-    rows = prepared(spark, d).select("event_id", "user_id", "ts", "split", F.col("event_type").alias("label"), *FEATURES).persist()
+    rows = stored(prepared(spark, d).select("event_id", "user_id", "ts", "split", F.col("event_type").alias("label"), *FEATURES), "study")
     train, held = rows.where("split = 'train'"), rows.where("split = 'validation'")
     majority = train.groupBy("label").count().orderBy(F.desc("count"), "label").first()["label"]
-    # All features of a row move together, in one pass; read by two fits and a report, so kept.
+    # All features of a row move together, in one pass; read by a fit and a report, so stored.
     moved = splits.circular_shift(rows.withColumn("its_features", F.struct(*FEATURES)), "user_id", 0.25, "its_features")
-    shifted = moved.select("event_id", "split", "label", *(F.col("shifted")[c].alias(c) for c in FEATURES)).persist()
-    by = {
-        "majority": held.withColumn("prediction", F.lit(majority)),
-        "always_view": held.withColumn("prediction", F.lit("view")),
-        "logistic_all": models.softmax(train, FEATURES, "label", KINDS, balanced=True)(held),
-        "logistic_value": models.softmax(train, ["value"], "label", KINDS, balanced=True)(held),
-        "logistic_shifted": models.softmax(shifted.where("split = 'train'"), FEATURES, "label", KINDS, balanced=True)(shifted.where("split = 'validation'")),
-    }
+    shifted = stored(moved.select("split", "label", *(F.col("shifted")[c].alias(c) for c in FEATURES)), "shifted")
     every = None
-    for name, found in by.items():
-        own = found.select(F.lit(name).alias("model"), "label", "prediction")
+    for name, of, features in (("logistic_all", rows, FEATURES), ("logistic_value", rows, ["value"]), ("logistic_shifted", shifted, FEATURES)):
+        own = of.select(F.lit(name).alias("model"), "split", "label", suites.padded([F.col(c) for c in features], len(features)).alias("x"), F.lit(1.0).alias("weight"))
         every = own if every is None else every.unionByName(own)
+    suite = suites.fitted(every.where("split = 'train'"), KINDS, balanced=True, scaled=False)
+    every = every.where("split = 'validation'").select("model", "label", suite.predicted().alias("prediction"))
+    for name, constant in (("majority", majority), ("always_view", "view")):
+        every = every.unionByName(held.select(F.lit(name).alias("model"), "label", F.lit(constant).alias("prediction")))
     s = evaluation.class_scores(every, ["model"], "label", "prediction", KINDS)
     return s.groupBy("model").agg(r6(F.avg("f1")).alias("macro_f1"), r6(F.avg(F.when(F.col("support") > 0, F.col("recall")))).alias("balanced_accuracy"))
 
