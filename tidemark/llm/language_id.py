@@ -127,8 +127,8 @@ def discount(counts: np.ndarray) -> float:
     return one / (one + 2 * two) if one and two else 0.5
 
 
-def build(table: pd.DataFrame) -> Model:
-    """The model from rows lang, gram, n."""
+def build(table: pd.DataFrame, names: list[str] | None = None) -> Model:
+    """The model from rows lang, gram, n; with names, in order, lang is a place among them."""
     languages = sorted(table["lang"].unique())
     grams = np.unique(table["gram"].to_numpy(np.uint32))
     contexts = ALPHABET ** (ORDER - 1)
@@ -153,7 +153,7 @@ def build(table: pd.DataFrame) -> Model:
         seen[np.searchsorted(grams, g)] = np.maximum(n - d, 0) / total[g // ALPHABET]
         logs[:, k] = np.log2(seen + left[grams // ALPHABET] * p[grams % contexts])
         backoff[:, k], lower[:, k] = np.log2(np.maximum(left, 1e-12)), np.log2(p)
-    return Model([str(x) for x in languages], grams, logs, backoff, lower)
+    return Model([names[x] if names else str(x) for x in languages], grams, logs, backoff, lower)
 
 
 def half() -> Column:
@@ -192,12 +192,18 @@ def fit(docs: DataFrame, held_out: int = 2, sample: int = 2000) -> Model:
     """The model learned from text and lang of the rows outside the held-out fold."""
     train = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != held_out))
     # At most ALPHABET ** ORDER rows a language and half: the alphabet bounds what comes to the driver, not the corpus.
-    table = gram_counts(train).toPandas().astype({"lang": str})
-    model = build(table.groupby(["lang", "gram"], as_index=False)["n"].sum())
+    # Languages come as numbers, and the counts go before anything else is made.
+    counts = stored(gram_counts(train), "grams")
+    languages = sorted(str(r["lang"]) for r in counts.select("lang").distinct().collect())
+    place = F.array_position(F.array(*map(F.lit, languages)), F.col("lang")) - 1 if languages else F.lit(0)
+    table = counts.select(place.cast("int").alias("lang"), "half", F.col("gram").cast("int"), "n").toPandas()
+    release(counts)
+    model = build(table.groupby(["lang", "gram"], as_index=False)["n"].sum(), languages)
     if not model.languages:
         return model
     # A half that lacks a language can't measure it; where that is so (tiny tables), the whole model stands in.
-    by_half = [build(table[table["half"] == k]) for k in (0, 1)]
+    by_half = [build(table[table["half"] == k], languages) for k in (0, 1)]
+    del table
     other = [by_half[1 - k] if by_half[1 - k].languages == model.languages else model for k in (0, 1)]
     one_in = max(1, train.count() // sample)
     rows = surprisals(train.select(F.col("lang").cast("string").alias("lang"), half().alias("half"), "text", "doc_id"), other)
